@@ -60,4 +60,26 @@ SELECT doc_id, CAST(len(w) AS bigint) AS n_words, CAST(coalesce(hit, 0) AS bigin
 FROM d LEFT JOIN x USING (rid) LEFT JOIN y USING (rid)
 """
 
-SQL = {"op1_host_reputation": OP1, "op8_benchmark_leaks": OP8}
+OP3 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.rid JOIN n b ON y = b.rid WHERE 100 * i >= 80 * (a.n + b.n - i)),
+r AS (SELECT rid, rid AS to_rid FROM d UNION SELECT r.rid, l.y FROM r JOIN l ON r.to_rid = l.x),
+c AS (SELECT r.rid, min(d.doc_id) AS component_id FROM r JOIN d ON d.rid = r.to_rid GROUP BY r.rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS bigint) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
+OP10 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, i, sha256(array_to_string(w[i:i + 34], ' ')) AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+m AS (SELECT g FROM g GROUP BY g HAVING count(*) > 1),
+x AS (SELECT DISTINCT rid, unnest(range(i, i + 35)) AS j FROM g JOIN m USING (g)),
+k AS (
+  SELECT e.rid, count(*) FILTER (x.j IS NOT NULL) AS gone, string_agg(word, ' ' ORDER BY e.j) FILTER (x.j IS NULL) AS kept
+  FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) e LEFT JOIN x ON e.rid = x.rid AND e.j = x.j GROUP BY e.rid)
+SELECT doc_id, CAST(len(w) AS bigint) AS n_words, CAST(coalesce(gone, 0) AS bigint) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
+"""
+
+SQL = {"op10_repeated_passages": OP10, "op3_near_duplicates": OP3, "op1_host_reputation": OP1, "op8_benchmark_leaks": OP8}
