@@ -145,15 +145,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "vid long, set array<long>")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 4, percent: int = 80, report: dict | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable over links), kept (doc_id is that) of each row.
-
-    Rows are linked when 100 x shingles in common >= percent x shingles in either. report: gets the counts of each round.
-    """
+def grouped(docs: DataFrame, width: int, percent: int, report: dict | None) -> DataFrame:
+    """d, k1, k3, n, root (of the component of the row's set; null without shingles) of each row of docs (d, text)."""
     spark = docs.sparkSession
     arrow_limits(spark)
     said = report if report is not None else {}
-    docs = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text"))
     table = cut(sketches(docs, width), "sketches")
     # One row for each set of shingles; the row that its text is read from is its least.
     least = F.min(F.struct("d", "k1", "k3")).alias("r")
@@ -202,8 +198,27 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     # Component of each class, and the least id of each component.
     final = classes.select("vid", "c1", "c2", "n").join(roots.withColumnRenamed("node", "vid"), "vid", "left").select("c1", "c2", "n", F.coalesce("root", "vid").alias("root"))
     final = cut(final, "roots")
-    of = cut(table.select("d", "n", "c1", "c2").join(final, ["c1", "c2", "n"], "left"), "rooted")
+    return cut(table.select("d", "k1", "k3", "n", "c1", "c2").join(final, ["c1", "c2", "n"], "left").select("d", "k1", "k3", "n", "root"), "rooted")
+
+
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, report: dict | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least id reachable over links), kept (doc_id is that) of each row.
+
+    Rows are linked when 100 x shingles in common >= percent x shingles in either. report: gets the counts of each round.
+    """
+    of = grouped(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), width, percent, report)
     heads = cut(of.filter("root IS NOT NULL").groupBy("root").agg(F.min("d").alias("component_id")), "heads")
     some = of.filter("root IS NOT NULL").join(heads, "root").select("d", "n", "component_id")
     every = some.union(of.filter("root IS NULL").select("d", "n", F.col("d").alias("component_id")))
     return every.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("d") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, the least by id and then by text, with all columns as they came; rows without words stay."""
+    k1, k2 = text_key(F.col(text))
+    keyed = docs.select(k1, F.xxhash64(doc_id, k1, k2).alias("k3"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    of = grouped(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), width, percent, None)
+    heads = of.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "k1", "k3")).alias("r")).select("r.k1", "r.k3")
+    wordless = ~F.coalesce(F.col(f"row.`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    chosen = keyed.join(cut(heads, "heads"), ["k1", "k3"], "left_semi").dropDuplicates(["k1", "k3"])
+    return chosen.select("row.*").union(keyed.filter(wordless).select("row.*"))

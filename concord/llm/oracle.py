@@ -82,4 +82,11 @@ k AS (
 SELECT doc_id, CAST(len(w) AS bigint) AS n_words, CAST(coalesce(gone, 0) AS bigint) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (rid)
 """
 
-SQL = {"op10_repeated_passages": OP10, "op3_near_duplicates": OP3, "op1_host_reputation": OP1, "op8_benchmark_leaks": OP8}
+OP5 = """
+WITH v AS (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: floor(256 * x::double)) AS q FROM embeddings),
+s AS (SELECT a.rid, a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS bigint) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.rid <> b.rid)
+SELECT query_id, CAST(rank AS integer) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+SQL = {"op5_top_k": OP5, "op10_repeated_passages": OP10, "op3_near_duplicates": OP3, "op1_host_reputation": OP1, "op8_benchmark_leaks": OP8}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, near_dedup, sentencepiece_backend, substring_dedup, token_files
+from . import ball_tree, byte_bpe, context_tree, crf_language, near_dedup, sentencepiece_backend, substring_dedup, token_files
 from . import decontaminate as leaks
 from . import url_reputation as urls
 
@@ -35,7 +35,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_language.identify(table(spark, sf_dir, "documents"))
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree.score(table(spark, sf_dir, "documents"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +69,4 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("row.doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_host_reputation, op2_token_counts, op3_near_duplicates, op7_token_files, op8_benchmark_leaks, op9_sentencepiece, op10_repeated_passages)}
+QUERIES = {f.__name__: f for f in (op1_host_reputation, op2_token_counts, op3_near_duplicates, op4_language, op5_top_k, op6_context_tree, op7_token_files, op8_benchmark_leaks, op9_sentencepiece, op10_repeated_passages)}

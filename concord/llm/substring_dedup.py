@@ -150,7 +150,7 @@ def spread(docs: DataFrame, text: str, window: int, hot: list[int], buckets: int
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
-            if not held:
+            if not any(len(h[0]) for h in held):
                 return
             bucket, k1, k2, start, windows = (np.concatenate([h[i] for h in held]) for i in range(5))
             strings = [s for h in held for s in h[5]]
@@ -258,8 +258,8 @@ def repeated_stretches(docs: DataFrame, *, text: str = "text", window: int = 35)
     return cut(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", window: int = 35) -> DataFrame:
-    """row (a struct of all columns), n_words, n_removed, kept (the words that stay, joined by one space) of each row."""
+def remove_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, as_it_was: bool = False) -> DataFrame:
+    """row (a struct of all other columns), n_words, n_removed, kept (the words that stay, joined by one space) of each row. as_it_was: a text that loses nothing is kept as it came."""
     arrow_limits(docs.sparkSession)
     spans = repeated_stretches(docs, text=text, window=window)
     rest = [c for c in docs.columns if c != text]
@@ -286,6 +286,10 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", window: int = 35) ->
                 ends = np.concatenate([[0], np.cumsum(np.where(stays, size, 0))])[texts.first]
                 raw, ends = memoryview(np.ascontiguousarray(kept)), ends.tolist()
                 out = [bytes(raw[x : max(x, y - 1)]).decode() for x, y in zip(ends, ends[1:], strict=False)]
+                if as_it_was:
+                    whole = np.flatnonzero(np.diff(count) == texts.words)
+                    for i, t in zip(whole.tolist(), some.column("text").take(pa.array(whole)).to_pylist(), strict=True):
+                        out[i] = t[:-1]
                 yield pa.RecordBatch.from_arrays([some.column("row"), pa.array(texts.words, pa.int64()), pa.array(texts.words - np.diff(count), pa.int64()), pa.array(out, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     return joined.mapInArrow(remove, f"row {kind}, n_words long, n_removed long, kept string")
