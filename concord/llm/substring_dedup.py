@@ -31,7 +31,7 @@ from .words import SEEDS, SPACE, hash_words, mix, split
 
 U = np.uint64
 #: Words of a gram, windows of a packed string at most, bytes of a bucket about, bytes packed before blobs are made.
-GRAM, LONGEST, BUCKET, HELD = 8, 256, 24 << 20, 32 << 20
+GRAM, LONGEST, BUCKET, HELD = 8, 256, 8 << 20, 32 << 20
 #: A minimiser is hot with an eighth of a bucket's strings; hot ones are at most so many.
 HOT_MOST = 1 << 20
 
@@ -146,7 +146,7 @@ def spread(docs: DataFrame, text: str, window: int, hot: list[int], buckets: int
     shared = docs.sparkSession.sparkContext.broadcast(hot_values)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, held, size = zstandard.ZstdCompressor(level=1), [], 0
+        squeeze, held, size = zstandard.ZstdCompressor(level=3), [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, size
