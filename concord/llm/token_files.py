@@ -36,7 +36,7 @@ from .byte_bpe import byte_bpe
 from .common import arrow_limits, cut, pieces, work_path
 
 MAGIC = b"CNCRANS1"
-LANES, BLOCK, FILE_TOKENS, FILE_DOCS = 2048, 1 << 18, 1 << 22, 1 << 18
+LANES, BLOCK, FILE_TOKENS, FILE_DOCS = 2048, 1 << 18, 1 << 21, 1 << 18
 LOW = np.uint64(1 << 31)
 U = np.uint64
 
@@ -89,13 +89,16 @@ def decode_block(payload: bytes, n: int, f: np.ndarray, cum: np.ndarray, slots:
 
 def to_bytes(ids: np.ndarray, lengths: np.ndarray, doc_ids: np.ndarray, nulls: int) -> bytes:
     """A file. ids: of all documents, in order; doc_ids: the first `nulls` of them are null."""
-    symbols, number, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    tally = np.bincount(ids)
+    symbols = np.flatnonzero(tally)
+    counts, number = tally[symbols], np.zeros(len(tally), np.int32)
+    number[symbols] = np.arange(len(symbols))
     f, bits = scaled(counts)
     cum = np.cumsum(f) - f
     f64, cum64 = f.astype(U), cum.astype(U)
     payloads, directory = [], []
     for begin in range(0, len(ids), BLOCK):
-        payload = encode_block(number[begin : begin + BLOCK], f64, cum64, bits)
+        payload = encode_block(number[ids[begin : begin + BLOCK]], f64, cum64, bits)
         some = ids[begin : begin + BLOCK].astype("<u4")
         payloads.append(payload)
         directory.append((len(some), len(payload), zlib.crc32(payload), zlib.crc32(some)))
@@ -181,7 +184,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, *, d
         tokens = count = 0
         for batch in batches:
             for some in pieces(batch, "text"):
-                ids, lengths = byte_bpe(path).encode(some.column("text").to_pylist())
+                ids, lengths = byte_bpe(path).encode(some.column("text"))
                 ends = np.cumsum(lengths)
                 held.append((np.insert(ids, ends, np.uint32(end_id)).astype(np.uint32), lengths + 1, some.column("doc_id")))
                 tokens, count = tokens + len(ids) + len(lengths), count + len(lengths)

@@ -45,7 +45,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stream: i
     if not len(starts):
         return np.zeros(0, U)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    loads = np.ndarray(shape=(len(data),), dtype="<u8", buffer=padded.data, strides=(1,))
+    loads = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
     length = ends - starts
     out = mix(length.astype(U) * SEEDS[stream])
     rest, begin, left = None, starts, length
