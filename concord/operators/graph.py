@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.plans.work import cut, drop
+from concord.plans.work import cut_small, drop
 
 
 def _step(links: DataFrame, large: bool) -> DataFrame:
     """links: u, v with u > v. One star step."""
     seen = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    least = cut(seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    least = cut_small(seen.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     new = seen.join(least, "u")
     if large:
         new = new.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         new = new.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    out = cut(new.filter("u > v").distinct(), "links")
+    out = cut_small(new.filter("u > v").distinct(), "links")
     drop(least)
     return out
 
@@ -31,7 +31,7 @@ def _step(links: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for every node of links (columns a, b), roots left out. Self-links and nulls don't count."""
     ends = links.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = cut(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    now = cut_small(ends.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     mark = None
     while True:
         for large in (True, False):

@@ -9,6 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,6 +47,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_small(df: DataFrame, name: str) -> DataFrame:
+    """cut() into few files, for tables that are small next to the cluster: each file costs an executor a process on some stores."""
+    return cut(df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism)), name)
+
+
+def hold(df: DataFrame, held: list[DataFrame]) -> DataFrame:
+    """df kept on the executors' disks and listed in held, for a table that is read more than once by the steps of one call.
+
+    What a lost executor held is computed again from the plan, so this is for deterministic plans with a short lineage.
+    """
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    kept.count()
+    held.append(kept)
+    return kept
+
+
+def let_go(held: list[DataFrame]) -> None:
+    """Free what hold() kept, when the results no longer read it."""
+    while held:
+        held.pop().unpersist()
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table that cut() made, when nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
