@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concord.operators import graph, relations, similarity, timeline, votes
+from concord.functions import columns as K
+from concord.operators import graph, pages, relations, services, similarity, timeline, votes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -656,3 +657,201 @@ SELECT user_id, event_type, event_id AS best, copies FROM (SELECT user_id, event
 def G24_best_copy(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return relations.best_copy(e, ["user_id", "event_type"], [F.col("value") > 50, F.length("props")], ["event_id"]).withColumnRenamed("event_id", "best")
+
+
+# --- codes and packets: values are encoded, damaged as far as the code can mend, decoded, and must be what they were
+
+#: The first 60 bytes of a text, as DuckDB sees them.
+PAYLOAD = "SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS payload FROM documents WHERE length(regexp_replace(text, '[^ -~]', '', 'g')) > 0"
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, kind: str, bent: bool = True) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60).alias("t")).filter("length(t) > 0")
+    d = d.withColumn("size", F.length("t")).withColumn("sent", K.encode_bytes(F.col("t").cast("binary"), kind))
+    if bent:
+        d = d.withColumn("sent", K.damage(F.col("sent"), F.col("doc_id"), kind))
+    return d.select("doc_id", K.decode_bytes(F.col("sent"), F.col("size"), kind).cast("string").alias("payload"))
+
+
+@query(PAYLOAD)
+def E01_rt_hamming84(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "hamming84")
+
+
+@query(PAYLOAD)
+def E02_rt_hamming2418(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "hamming2418")
+
+
+@query(PAYLOAD)
+def E03_rt_hamming74(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "hamming74")
+
+
+@query(PAYLOAD)
+def E04_rt_parity(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "parity", bent=False)
+
+
+@query(PAYLOAD)
+def E12_rt_difference_set(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "difference_set")
+
+
+@query(PAYLOAD)
+def E13_rt_product_code(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "product")
+
+
+@query(PAYLOAD)
+def E15_rt_bch(spark, sf_dir):
+    return _round_trip(spark, sf_dir, "bch")
+
+
+@query("SELECT p_partkey, true AS arc_ok, true AS open_ok, true AS kermit_ok FROM part")
+def E07_crc_residues(spark, sf_dir):
+    """A message followed by its own CRC leaves no remainder, whatever the message."""
+    name = F.col("p_name").cast("binary")
+
+    def tail(value, size):
+        return F.concat(*[F.unhex(F.lpad(F.hex(F.shiftright(value, 8 * k).bitwiseAND(F.lit(255))), 2, "0")) for k in range(size)])
+
+    p = table(spark, sf_dir, "part").select("p_partkey", name.alias("d"))
+    p = p.withColumn("a", K.crc_column(F.col("d"), 16, 0x8005)).withColumn("k", K.crc_column(F.col("d"), 16, 0x1021)).withColumn("o", K.crc32_open(F.col("d")))
+    p = p.withColumn("a2", K.crc_column(F.concat("d", tail(F.col("a"), 2)), 16, 0x8005)).withColumn("k2", K.crc_column(F.concat("d", tail(F.col("k"), 2)), 16, 0x1021))
+    p = p.withColumn("o2", K.crc_column(F.concat("d", tail(F.col("o"), 4)), 32, 0x04C11DB7, init=0xFFFFFFFF))
+    return p.select("p_partkey", (F.col("a2") == 0).alias("arc_ok"), (F.col("o2") == 0).alias("open_ok"), (F.col("k2") == 0).alias("kermit_ok"))
+
+
+@query("""
+SELECT p_partkey, list_reduce(list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i::int, 1))), lambda a, b: xor(a, b)) AS lrc,
+  CAST(list_sum(list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i::int, 1)))) % 128 AS integer) AS sum128 FROM part WHERE length(p_name) > 0""")
+def E17_checksums(spark, sf_dir):
+    b = K.byte_list(F.col("p_name").cast("binary"))
+    return table(spark, sf_dir, "part").filter("length(p_name) > 0").select("p_partkey", K.xor_all(b).alias("lrc"), K.sum_mod128(b).alias("sum128"))
+
+
+@query("SELECT event_id, CAST(bit_count(xor(event_id, user_id)) AS integer) AS distance, CAST(bit_count(event_id) % 2 = 1 AS boolean) AS odd, (event_id >> 2) & 15 AS field FROM events")
+def C01_bits(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.bit_count(F.col("event_id").bitwiseXOR(F.col("user_id"))).alias("distance"), (F.bit_count("event_id") % 2 == 1).alias("odd"), K.bits(F.col("event_id"), 2, 4).alias("field"))
+
+
+@query("SELECT event_id, CAST(list_sum(list_transform(range(0, 8), lambda i: ((event_id >> i) & 1) << (7 - i))) AS bigint) AS reversed FROM events")
+def C02_bit_reversal(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", K.reverse_bits(F.col("event_id") % 256).alias("reversed"))
+
+
+@query("SELECT p_partkey, CAST(hamming(rpad(p_name, 40, ' '), rpad(reverse(p_name), 40, ' ')) AS integer) AS distance FROM part")
+def C04_position_distance(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", similarity.distance(F.col("p_name"), F.reverse("p_name"), 40).alias("distance"))
+
+
+@query("SELECT o_orderkey, regexp_extract(t, '(^|[^0-9/])([0-9]{2})/([0-9]{2})($|[^0-9/])', 2) AS part, regexp_extract(t, '(^|[^0-9/])([0-9]{2})/([0-9]{2})($|[^0-9/])', 3) AS parts FROM (SELECT o_orderkey, 'page ' || lpad(CAST(o_custkey % 120 AS varchar), 2, '0') || '/' || lpad(CAST(o_orderkey % 130 AS varchar), 2, '0') || ' end' AS t FROM orders)")
+def C05_page_counter(spark, sf_dir):
+    t = F.concat(F.lit("page "), F.lpad((F.col("o_custkey") % 120).cast("string"), 2, "0"), F.lit("/"), F.lpad((F.col("o_orderkey") % 130).cast("string"), 2, "0"), F.lit(" end"))
+    # lpad() cuts what is longer, in both engines.
+    found = lambda k: F.regexp_extract("t", r"(?<![0-9/])([0-9]{2})/([0-9]{2})(?![0-9/])", k)
+    return table(spark, sf_dir, "orders").select("o_orderkey", t.alias("t")).select("o_orderkey", found(1).alias("part"), found(2).alias("parts"))
+
+
+@query("SELECT n_nationkey, n_name AS name FROM nation")
+def C06_spaced_names(spark, sf_dir):
+    spaced = F.array_join(F.split("n_name", ""), " ")
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.regexp_replace(spaced, r"(?<=\S) (?=\S)", "").alias("name"))
+
+
+@query("SELECT o_orderkey, CAST(TIMESTAMP '1992-01-01' + to_minutes(CAST(o_orderkey AS integer)) AS timestamp) AS at, CAST(CAST(DATE '1858-11-17' + CAST(45000 + o_custkey AS integer) AS date) AS varchar) AS day FROM orders")
+def C09_epoch_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", K.epoch_minutes(F.col("o_orderkey").cast("int")).alias("at"), K.mjd_date(F.col("o_custkey") + 45000).cast("string").alias("day"))
+
+
+@query("""
+WITH n AS (SELECT o_orderkey, (o_orderkey * 977) % 2589408 AS n FROM orders), p AS (SELECT o_orderkey, n, n + (n // 17982) * 18 + CASE WHEN n % 17982 >= 2 THEN ((n % 17982 - 2) // 1798) * 2 ELSE 0 END AS c FROM n)
+SELECT o_orderkey, lpad(CAST(c // 108000 AS varchar), 2, '0') || ':' || lpad(CAST(c // 1800 % 60 AS varchar), 2, '0') || ':' || lpad(CAST(c // 30 % 60 AS varchar), 2, '0') || ':' || lpad(CAST(c % 30 AS varchar), 2, '0') AS code, n AS back FROM p""")
+def C11_drop_frame(spark, sf_dir):
+    n = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 977 % 2589408).alias("n")).withColumn("code", K.timecode_of(F.col("n")))
+    part = lambda k: F.split("code", ":")[k].cast("int")
+    return n.select("o_orderkey", "code", K.timecode_to_count(part(0), part(1), part(2), part(3)).alias("back"))
+
+
+@query("SELECT event_id, CAST(((CAST(round(100 + 1.5 * event_id) AS bigint) % 86400) + 86400) % 86400 AS bigint) AS air FROM events")
+def C13_clock_line(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", K.clock_line(F.col("event_id"), 1.5, 100.0).alias("air"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.page') AS page, coalesce(json_extract_string(props, '$.none'), 'x') AS other FROM events")
+def C18_json(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.page").alias("page"), F.coalesce(F.get_json_object("props", "$.none"), F.lit("x")).alias("other"))
+
+
+@query("SELECT page_id, CASE WHEN starts_with(upper(html), '<!DOCTYPE') THEN 'html' WHEN regexp_matches(substr(html, 1, 8), '^[\\x20-\\x7E\\s]+$') THEN 'text' END AS kind FROM pages")
+def C20_type_sniff(spark, sf_dir):
+    d = table(spark, sf_dir, "pages").select("page_id", "html", services.file_type(F.col("html").cast("binary")).alias("kind"))
+    return d.select("page_id", F.when(F.upper("html").startswith("<!DOCTYPE"), "html").otherwise(F.col("kind")).alias("kind"))
+
+
+#: Pages made of texts: page and subcode from the id, six rows of 40 characters.
+LINES = """
+WITH t AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents WHERE doc_id < 4000), r AS (SELECT doc_id, i AS row, substr(t, 40 * (i - 1)::int + 1, 40) AS line FROM t, unnest(range(1, 7)) AS u(i))"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").filter("doc_id < 4000").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
+    rows = t.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.struct(i.alias("row"), F.substring("t", 40 * (i - 1) + 1, F.lit(40)).alias("text")))).alias("x"))
+    # A page number is eight bits without the filler, a subcode thirteen.
+    return rows.select("doc_id", (1 + F.col("doc_id") % 8).cast("int").alias("magazine"), F.floor(F.col("doc_id") / 8 % 200).cast("int").alias("page"), F.floor(F.col("doc_id") / 1600).cast("int").alias("subcode"), "x.row", "x.text")
+
+
+@query(LINES + " SELECT doc_id, CAST(row AS integer) AS row, rpad(line, 40, ' ') AS text FROM r")
+def D01_rt_pages(spark, sf_dir):
+    """Pages to packets, five copies with a bit wrong in one of them at each place in turn, and back by votes."""
+    lines = _lines(spark, sf_dir)
+    one = pages.to_packets(lines)
+    bent = F.pmod(F.xxhash64("seq", "copy"), F.lit(38)) + 3  # never an address
+    flip = F.pmod(F.xxhash64("seq"), F.lit(5)) == F.col("copy")
+    byte = F.unhex(F.lpad(F.hex(K.byte_at(F.col("packet"), bent.cast("int") - 1).bitwiseXOR(F.lit(4))), 2, "0"))
+    wrong = F.concat(F.substring(F.col("packet"), F.lit(1), (bent - 1).cast("int")), byte, F.substring(F.col("packet"), (bent + 1).cast("int"), F.lit(42)))
+    row = F.col("seq") % 32 > 0
+    copies = one.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(F.lit("made").alias("recording"), (F.col("copy") * 10_000_000_000 + F.col("seq")).alias("seq"), F.when(flip & row, wrong).otherwise(F.col("packet")).alias("packet"))
+    voted = pages.vote_pages(pages.quorum_pages(pages.paginate(pages.parse(copies)))).filter("row > 0")
+    return voted.select((F.col("subcode") * 1600 + F.col("page") * 8 + F.col("magazine") - 1).cast("long").alias("doc_id"), "row", "text")
+
+
+@query(LINES + " SELECT doc_id, sha256(string_agg(rtrim(line), chr(10) ORDER BY row)) AS text FROM r GROUP BY doc_id")
+def K06_page_text(spark, sf_dir):
+    copies = pages.to_packets(_lines(spark, sf_dir)).select(F.lit("made").alias("recording"), "seq", "packet")
+    text = pages.page_text(pages.vote_pages(pages.paginate(pages.parse(copies))))
+    return text.select((F.col("subcode") * 1600 + F.col("page") * 8 + F.col("magazine") - 1).cast("long").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text"))
+
+
+@query("SELECT o_orderkey, CAST(1 + o_orderkey % 28 AS integer) AS day, CAST(1 + o_custkey % 12 AS integer) AS month, CAST(o_orderkey % 24 AS integer) AS hour, CAST(o_custkey % 60 AS integer) AS minute, CAST(o_orderkey % 4096 AS integer) AS cni FROM orders")
+def D18_programme_labels(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    made = services.make_label(1 + F.col("o_orderkey") % 28, 1 + F.col("o_custkey") % 12, F.col("o_orderkey") % 24, F.col("o_custkey") % 60, F.col("o_orderkey") % 4096, F.lit(0))
+    return o.select("o_orderkey", services.programme_label(made).alias("l")).filter(services.plausible_label(F.col("l"))).select("o_orderkey", *[F.col(f"l.{c}").cast("int").alias(c) for c in ("day", "month", "hour", "minute", "cni")])
+
+
+@query("""
+WITH c AS (SELECT user_id, event_type, (event_id * 37) % 1000 AS minute_at FROM events WHERE event_type = 'view'), s AS (SELECT s_suppkey, s_suppkey * 20 AS a, 15 + s_suppkey % 30 AS m, lead(s_suppkey * 20) OVER (ORDER BY s_suppkey * 20) AS following FROM supplier)
+SELECT user_id, minute_at, s_suppkey, following FROM c JOIN s ON minute_at >= a AND minute_at < a + m""")
+def D36_on_air(spark, sf_dir):
+    clock = table(spark, sf_dir, "events").filter("event_type = 'view'").select("user_id", (F.col("event_id") * 37 % 1000).alias("minute_at"), F.lit("c").alias("channel"))
+    slots = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 20).alias("a"), (15 + F.col("s_suppkey") % 30).alias("m"), F.lit("c").alias("channel"))
+    return services.on_air(clock, slots, ["channel"], "minute_at", "a", "m").select("user_id", "minute_at", "s_suppkey", "following")
+
+
+@query("SELECT CAST(source AS varchar) AS source, sha256(string_agg(part, '' ORDER BY k)) AS data, count(*) AS blocks, count(*) = 5 AS whole FROM (SELECT source, doc_id % 5 AS k, min(encode(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 10))) AS b, min(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 10)) AS part FROM documents GROUP BY source, doc_id % 5) GROUP BY source")
+def D24_files_from_blocks(spark, sf_dir):
+    head = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 10)
+    blocks = table(spark, sf_dir, "documents").groupBy("source", (F.col("doc_id") % 5).alias("k")).agg(F.min(head).alias("t")).select("source", "k", F.col("t").cast("binary").alias("d"), F.lit(5).alias("n"))
+    return services.assemble(blocks, "source", "k", "d", "n").select("source", F.sha2("data", 256).alias("data"), "blocks", "whole")
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, grouping_id(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def A20_cube(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE (event_id - 1) % 100 = 0")
+def S17_sampled_scan(spark, sf_dir):
+    return table(spark, sf_dir, "events").filter("(event_id - 1) % 100 = 0").select("event_id", "event_type")
