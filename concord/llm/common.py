@@ -1,63 +1,25 @@
-"""What the corpus operators share: work tables in the cluster's shared folder, and Arrow text buffers."""
+"""What the corpus operators share: keys of texts and Arrow text buffers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: What one Python call gets at once: rows and bytes.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a folder of our own."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="concord-")
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a work table, in whatever store it is."""
-    try:
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-    except Exception:  # the session may have ended; the folder is scratch space
-        return
+from concord.plans.work import cut, cut_small, drop, hold, let_go, shared_dir, ship, work_path
 
+__all__ = ["arrow_limits", "ascii_lower", "cut", "cut_small", "drop", "hold", "let_go", "pieces", "shared_dir", "text_buffer", "text_key", "work_path"]
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/concord-{name}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """df written as a table in the shared folder and read again: lineage ends here, and a lost executor costs nothing before it."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table that cut() made, when nothing reads it any more."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        remove(df.sparkSession, path)
+#: What one Python call gets at once: rows and bytes.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound the Arrow batches that go to Python, so that long texts don't pile up in a worker."""
+    """Bound the Arrow batches that go to Python, so that long texts don't pile up in a worker, and see that workers have this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
@@ -90,7 +52,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about so many bytes of text, whole rows each."""
     _, at = text_buffer(batch.column(column))
     begin = 0

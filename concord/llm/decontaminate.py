@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, text_key
+from .common import ascii_lower, cut, cut_small, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_LITERALS = 20_000
@@ -52,13 +52,13 @@ def rarest_words(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
     each = docs.select(F.explode(words).alias("word"))
     counts = (each if some is not None else each.join(vocabulary, "word", "left_semi")).groupBy("word").agg(F.count("*").alias("n"))
     least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"), F.col("off"))).alias("least")
-    return terms.join(cut(counts, "word-counts"), "word", "left").groupBy("w", "len").agg(least).select("w", "len", F.col("least.word").alias("rare"), F.col("least.off").alias("off"), F.col("least.n").alias("n"))
+    return terms.join(cut_small(counts, "word-counts"), "word", "left").groupBy("w", "len").agg(least).select("w", "len", F.col("least.word").alias("rare"), F.col("least.off").alias("off"), F.col("least.n").alias("n"))
 
 
 def find_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, hits, windows): a row for each document (doc_id, k1, k2, n_words); k1, k2, start, len, w of each place where a window occurs, once for identical texts; item_id, w, len."""
-    windows = cut(item_windows(items, item_id, item_text, window), "item-windows")
-    rare = cut(rarest_words(docs, text, windows.select("w", "len").distinct()), "rarest")
+    windows = cut_small(item_windows(items, item_id, item_text, window), "item-windows")
+    rare = cut_small(rarest_words(docs, text, windows.select("w", "len").distinct()), "rarest")
     rare = rare.filter("n > 0")  # a word that no document has
     some = literals(rare, "rare")
     words = docs.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), words_of(F.col(text)).alias("words"))
@@ -77,7 +77,7 @@ def find_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     fits = (F.col("c") >= F.col("off")) & (start + F.col("len") <= F.col("n_words"))
     same = F.concat_ws(" ", F.slice("ctx", F.greatest(F.col("c") - F.col("off"), F.lit(0)) + 1, F.col("len"))) == F.col("w")
     hits = places.join(rare.drop("n"), "rare").filter(fits & same).select("k1", "k2", start.alias("start"), "len", "w")
-    return table.select("doc_id", "k1", "k2", "n_words"), cut(hits, "hits"), windows
+    return table.select("doc_id", "k1", "k2", "n_words"), cut_small(hits, "hits"), windows
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
@@ -86,14 +86,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(start, start + len - 1)")))))
     marks = hits.groupBy("k1", "k2").agg(covered.alias("n_hit"))
     ids = hits.select("k1", "k2", "w").distinct().join(windows.select("w", "item_id"), "w").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    marks = cut(marks.join(ids, ["k1", "k2"]), "marks")
+    marks = cut_small(marks.join(ids, ["k1", "k2"]), "marks")
     return table.join(marks, ["k1", "k2"], "left").select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce(F.col("n_hit").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", **names) -> DataFrame:
     """The documents without any occurrence of a window, all columns as they came."""
     _, hits, _ = find_windows(docs, items, doc_id=text, text=text, **names)
-    bad = cut(hits.select("k1", "k2").distinct(), "contaminated")
+    bad = cut_small(hits.select("k1", "k2").distinct(), "contaminated")
     k1, k2 = text_key(F.col(text))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), k1, k2)
     return keyed.join(bad, ["k1", "k2"], "left_anti").select("row.*")

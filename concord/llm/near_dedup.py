@@ -3,10 +3,11 @@
 One hash of each shingle serves all bins: its high bits choose the bin, and the least hash in a bin is the bin's value. An empty
 bin takes the value of the first full bin in an order of its own, the same for all documents. Documents with one set of shingles
 are one class, and only classes go on. Bands of bins make buckets; in a bucket every member is paired with a hub, not with all
-others, so pairs grow with members and not with their square. Pairs are confirmed on full sets. Where a bucket still holds
-members of several components, those outside the component of its first hub become hubs in later rounds, a few a bucket and
-round, until each has been compared with all of its bucket outside its own component: no pair of a bucket is lost, and the pairs
-inside what is already one component are never made.
+others, so pairs grow with members and not with their square. Pairs are confirmed on full sets. Where a hub's star then still
+holds members of several components, those outside the hub's are compared with all of the star, block by block inside tasks, and
+only links that join components come out. While that would be very many pairs a member (a giant group), some of those outside
+first become hubs of their own, which joins nearly all of them at a cost that grows with members. Either way no pair of a bucket
+is lost, and the pairs inside what is already one component are never made.
 
 BANDS x ROWS bins: a pair with a similarity of 0.8 shares no bucket with a chance of (1 - 0.8^5)^36, about 6e-7.
 
@@ -25,15 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, cut, drop, pieces, text_buffer, text_key
-from .components import components
+from concord.operators.graph import components
+
+from .common import arrow_limits, cut, cut_small, hold, let_go, pieces, text_buffer, text_key
 from .words import LOWER, SEEDS, hash_words, mix, split
 
 U = np.uint64
 ROWS, BANDS = 5, 36
 BINS = ROWS * BANDS
-#: Hubs a bucket gets in each round after the first; a bin's order of full bins is walked for so many steps, and then looked up.
+#: Hubs a star gets in each round after the first; a bin's order of full bins is walked for so many steps, and then looked up.
 HUBS, WALK = 8, 24
+#: Members that a task compares with as many others; open stars are searched out up to so many pairs a member.
+BLOCK, FINISH = 256, 1 << 16
 
 
 def shingles(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +138,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """vid, set of the classes in wanted (vid, k1, k3), from the texts of their rows."""
     k1, k2 = text_key(F.col("text"))
-    rows = docs.select(k1, F.xxhash64("d", k1, k2).alias("k3"), "text").join(wanted, ["k1", "k3"]).dropDuplicates(["k1", "k3"]).select("vid", "text")
+    # By the same kind of join at every size; the list of wanted rows grows with the input.
+    rows = docs.select(k1, F.xxhash64("d", k1, k2).alias("k3"), "text").join(wanted.hint("merge"), ["k1", "k3"]).dropDuplicates(["k1", "k3"]).select("vid", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,60 +150,122 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "vid long, set array<long>")
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that are links, by their full sets."""
+    both = pairs.join(sets.select(F.col("vid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("vid").alias("b"), F.col("set").alias("y")), "b")
+    both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
+    return both.filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b")
+
+
+def searched_out(here: DataFrame, open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: links that join the components of a star, from comparing what is outside its hub's component with all of it.
+
+    here: key, vid, label, rest of all members; open_: key, m, r of the stars to search, with members and members outside.
+    A task compares up to BLOCK members outside with up to BLOCK others on full sets, and gives links only as far as they join
+    what wasn't joined before, fewer than it has members.
+    """
+    rows = here.select("key", "vid", "label", "rest").join(open_, "key").withColumn("mb", F.ceil(F.col("m") / BLOCK)).withColumn("rb", F.ceil(F.col("r") / BLOCK))
+    i, j = F.pmod(F.xxhash64("vid", F.lit(2)), F.col("rb")), F.pmod(F.xxhash64("vid", F.lit(3)), F.col("mb"))
+    one = (F.col("mb") == 1) & (F.col("rb") == 1)
+    small = rows.filter(one).select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "vid", "label", F.col("rest").alias("left"), F.lit(True).alias("right"))
+    others = rows.filter(~one).select("key", F.explode(F.expr("sequence(0L, rb - 1)")).alias("i"), j.alias("j"), "vid", "label", F.lit(False).alias("left"), F.lit(True).alias("right"))
+    outside = rows.filter(~one & F.col("rest")).select("key", i.alias("i"), F.explode(F.expr("sequence(0L, mb - 1)")).alias("j"), "vid", "label", F.lit(True).alias("left"), F.lit(False).alias("right"))
+    dealt = small.union(others).union(outside).join(sets, "vid")
+
+    def compare(table: pa.Table) -> pa.Table:
+        column = table.column("set").combine_chunks()
+        sizes = np.diff(column.offsets.to_numpy())
+        _, code = np.unique(column.flatten().to_numpy(), return_inverse=True)
+        member = np.repeat(np.arange(len(sizes)), sizes)
+        often = np.bincount(code) > 1 if len(code) else np.zeros(0, bool)  # what one member has alone is in no intersection
+        member, code = member[often[code]], (np.cumsum(often) - 1)[code[often[code]]]
+        left, right = (np.flatnonzero(table.column(c).to_numpy()) for c in ("left", "right"))
+        label, vid = table.column("label").to_numpy(), table.column("vid").to_numpy()
+        common = np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(code, kind="stable")
+        code, member = code[order], member[order]
+        wide = 1 << 12
+        for begin in range(0, int(code[-1]) + 1 if len(code) else 0, wide):
+            at = slice(*np.searchsorted(code, [begin, begin + wide]))
+            held = np.zeros((len(sizes), wide), np.float32)
+            held[member[at], code[at] - begin] = 1
+            common += held[left] @ held[right].T
+        i = common.astype(np.int64)
+        linked = (100 * i >= percent * (sizes[left][:, None] + sizes[right][None, :] - i)) & (label[left][:, None] != label[right][None, :])
+        root = {int(x): int(x) for x in np.unique(label)}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        found = []
+        for p, q in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+            a, b = find(int(label[left[p]])), find(int(label[right[q]]))
+            if a != b:
+                root[a] = b
+                found.append((int(vid[left[p]]), int(vid[right[q]])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def grouped(docs: DataFrame, width: int, percent: int, report: dict | None) -> DataFrame:
     """d, k1, k3, n, root (of the component of the row's set; null without shingles) of each row of docs (d, text)."""
     spark = docs.sparkSession
     arrow_limits(spark)
     said = report if report is not None else {}
-    table = cut(sketches(docs, width), "sketches")
+    held: list[DataFrame] = []
+    table = hold(sketches(docs, width), held)
     # One row for each set of shingles; the row that its text is read from is its least.
     least = F.min(F.struct("d", "k1", "k3")).alias("r")
     classes = table.filter("n > 0").groupBy("c1", "c2", "n").agg(least, F.any_value("keys").alias("keys"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("vid"), "c1", "c2", "n", "r.k1", "r.k3", "keys"), "classes")
     members = classes.select(F.explode("keys").alias("key"), "vid", "n")
-    hubs = cut(members.groupBy("key").agg(F.min(F.struct("vid", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("key", "hub", "m"), "hubs")
-    shared = cut(members.join(hubs, "key").select("key", "vid", "n", F.col("hub.vid").alias("hub"), F.col("hub.n").alias("hub_n")), "members")
+    hubs = hold(members.groupBy("key").agg(F.min(F.struct("vid", "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("key", "hub"), held)
+    shared = hold(members.join(hubs, "key").select("key", "vid", "n", F.col("hub.vid").alias("hub"), F.col("hub.n").alias("hub_n")), held)
+    # A hub's star: all that share a bucket whose hub it is. What shares a bucket is in one star, and a pair's many buckets are few stars.
+    stars = hold(shared.select(F.col("hub").alias("key"), "vid", "n", "hub", "hub_n").distinct(), held)
+    wanted = hold(shared.select("vid").distinct().join(classes.select("vid", "k1", "k3"), "vid"), held)
+    sets = cut(sets_of(docs, wanted, width), "sets")
     near = F.expr(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)")
-    pairs = cut(shared.filter("vid <> hub").filter(near).select(F.col("vid").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    known = links = sets = roots = used = None
+    pairs = hold(stars.filter("vid <> hub").filter(near).select(F.col("vid").alias("a"), F.col("hub").alias("b")), held)
+    known, links, used = pairs, hold(confirmed(pairs, sets, percent), held), None
     rounds = said.setdefault("rounds", [])
     while True:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct()
-        if sets is not None:
-            ends = ends.join(sets.select("vid"), "vid", "left_anti")
-        new = cut(sets_of(docs, cut(ends.join(classes.select("vid", "k1", "k3"), "vid"), "wanted"), width), "sets")
-        sets = new if sets is None else sets.union(new)
-        both = pairs.join(sets.select(F.col("vid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("vid").alias("b"), F.col("set").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        right = cut(both.withColumn("i", common).filter(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b"), "right")
-        links = right if links is None else links.union(right)
-        known = pairs if known is None else known.union(pairs)
-        more = right.limit(1).count() > 0
-        if more or roots is None:
+        roots = components(links)
+        # Stars whose members are not all in the component of the hub are open: some of their pairs weren't compared.
+        here = stars.join(roots.withColumnRenamed("node", "vid"), "vid", "left").withColumn("label", F.coalesce("root", "vid")).drop("root")
+        here = here.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("rest", F.col("label") != F.coalesce("hub_root", "hub"))
+        here = hold(here.select("key", "vid", "n", "label", "rest"), held)
+        sizes = here.groupBy("key").agg(F.count("*").alias("m"), F.count_if("rest").alias("r"))
+        open_ = hold(sizes.filter("m > 2 AND r > 0"), held)  # in a star of two the hub has met the other
+        row = open_.agg(F.count("*").alias("n"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("r")).alias("pairs")).first()
+        rounds.append({"links": links.count(), "open": row.n, "pairs": row.pairs})
+        if not row.n:
+            break
+        if row.pairs <= FINISH * row.m:
+            links = links.union(hold(searched_out(here, open_, sets, percent), held))
             roots = components(links)
-        rounds.append({"pairs": pairs.count(), "links": right.count()})
-        # Buckets whose members are not all in the first hub's component go on, with other members as hubs.
-        label = F.coalesce("root", "vid")
-        here = shared.join(roots.withColumnRenamed("node", "vid"), "vid", "left").withColumn("label", label).drop("root")
-        here = here.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left").withColumn("hub_label", F.coalesce("hub_root", "hub"))
-        here = cut(here.select("key", "vid", "n", "label", "hub_label"), "labelled")
-        rest = here.filter("label <> hub_label").select("key", "vid", "n", "label")
-        if used is not None:
-            rest = rest.join(used, ["key", "vid"], "left_anti")
-        # The least of each residue: up to HUBS hubs a bucket.
-        turn = F.min(F.struct("vid", "n", "label")).alias("h")
-        chosen = cut(rest.groupBy("key", F.pmod(F.xxhash64("vid"), F.lit(HUBS)).alias("part")).agg(turn).select("key", F.col("h.vid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("of")), "hubs")
-        if chosen.limit(1).count() == 0:
             break
+        # Too many to search out: up to HUBS more hubs for each star, from outside the component of its own.
+        rest = here.filter("rest").join(open_.select("key"), "key", "left_semi")
+        rest = rest if used is None else rest.join(used, ["key", "vid"], "left_anti")
+        turn = F.min(F.struct("vid", "n", "label")).alias("h")
+        chosen = cut_small(rest.groupBy("key", F.pmod(F.xxhash64("vid"), F.lit(HUBS)).alias("part")).agg(turn).select("key", F.col("h.vid").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.label").alias("of")), "hubs")
+        if not chosen.limit(1).count():
+            break  # every member outside has been a hub
         used = chosen.select("key", F.col("hub").alias("vid")) if used is None else used.union(chosen.select("key", F.col("hub").alias("vid")))
-        open_pairs = here.select("key", "vid", "n", "label").join(chosen, "key").filter("label <> of").filter(near)
-        pairs = open_pairs.select(F.greatest("vid", "hub").alias("a"), F.least("vid", "hub").alias("b")).distinct()
-        pairs = cut(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        drop(here)
+        met = here.select("key", "vid", "n", "label").join(chosen, "key").filter("label <> of").filter(near)
+        pairs = met.select(F.greatest("vid", "hub").alias("a"), F.least("vid", "hub").alias("b")).distinct()
+        pairs = cut_small(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
+        known, links = known.union(pairs), links.union(cut_small(confirmed(pairs, sets, percent), "right"))
     # Component of each class, and the least id of each component.
     final = classes.select("vid", "c1", "c2", "n").join(roots.withColumnRenamed("node", "vid"), "vid", "left").select("c1", "c2", "n", F.coalesce("root", "vid").alias("root"))
-    final = cut(final, "roots")
-    return cut(table.select("d", "k1", "k3", "n", "c1", "c2").join(final, ["c1", "c2", "n"], "left").select("d", "k1", "k3", "n", "root"), "rooted")
+    final = hold(final, held)
+    rooted = cut(table.select("d", "k1", "k3", "n", "c1", "c2").join(final, ["c1", "c2", "n"], "left").select("d", "k1", "k3", "n", "root"), "rooted")
+    let_go(held)
+    return rooted
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, report: dict | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from concord.llm import common, components, decontaminate, near_dedup, substring_dedup, words
+from concord.llm import common, decontaminate, near_dedup, substring_dedup, words
 from tests.llm import util
 
 
@@ -57,7 +57,11 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(map(str, [(r.doc_id, r.text) for r in kept.collect()])) == sorted(map(str, want))
 
 
-def test_a_bucket_of_unlinked_members_is_searched_out(spark):
+@pytest.mark.parametrize("finish", [1 << 16, 0])
+@pytest.mark.parametrize("block", [256, 7])
+def test_a_star_of_unlinked_members_is_searched_out(spark, monkeypatch, finish, block):
+    monkeypatch.setattr(near_dedup, "FINISH", finish)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     # A chain: each text is near the next one only, and all share buckets with many others.
     rng = random.Random(5)
     base = [f"w{i}" for i in range(120)]
@@ -85,19 +89,6 @@ def test_signatures_estimate_similarity():
         assert abs(same - true) < 0.08, (size, same, true)
 
 
-def test_components(spark):
-    rng = random.Random(9)
-    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(300 + i, 301 + i) for i in range(50)] + [(None, 4), (8, 8)]
-    label = util.components(400, [(a, b) for a, b in links if a is not None])
-    least = {}
-    for i, x in enumerate(label):
-        least[x] = min(least.get(x, i), i)
-    want = {i: least[x] for i, x in enumerate(label) if least[x] != i}
-    found = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert found == want
-    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
-
-
 @pytest.mark.parametrize("seed", [4, 6])
 @pytest.mark.parametrize("hot", [False, True])
 def test_repeated_passages(spark, monkeypatch, seed, hot):
