@@ -3,8 +3,8 @@
 A byte is eight binary decisions. Every context of the last 0 to DEPTH bytes keeps, for each of the 255 places in the tree of
 decisions, how often 0 and 1 followed, and estimates them as Krichevsky and Trofimov do; context-tree weighting mixes the
 estimates of all depths, each node weighing its own estimate against that of its children by how well either codes all
-training text. The counts come from all bytes of all training texts. A context is a node of its own when it holds at least a
-NODES-th of the training bytes, so a depth has at most NODES of them (that bounds what is broadcast); the bytes of a node's
+training text. The counts come from all bytes of all training texts. The NODES most frequent contexts over all depths are nodes of their
+own (that bounds what is broadcast, 2 KB a node), none with less than a NODES-th of the training bytes; the bytes of a node's
 rarer contexts are one child together. A text's score is the log10 probability of its bytes after lower-casing A-Z; with its
 length that is the code length per byte.
 
@@ -29,7 +29,7 @@ from .crf_language import held_out as _held_out
 from .words import LOWER, hash_words, split
 
 U = np.uint64
-DEPTH, NODES, COMMON = 4, 8192, 1 << 19
+DEPTH, NODES, COMMON = 5, 1 << 16, 1 << 19
 #: Entries that a counting task holds before it merges them.
 HELD = 1 << 20
 
@@ -79,56 +79,87 @@ def byte_logs(p_one: np.ndarray) -> np.ndarray:
     return out
 
 
+Level = tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def dense(level: Level, some: slice = slice(None)) -> np.ndarray:
+    """contexts x 256 counts of a level: its contexts, and (context, byte, count) of what followed them, sorted by context."""
+    contexts, (row, byte, n) = level
+    begin, end, _ = some.indices(len(contexts))
+    at = slice(*np.searchsorted(row, [begin, end]))
+    out = np.zeros((end - begin, 256))
+    out[row[at] - begin, byte[at]] = n[at]
+    return out
+
+
+def by_parts(n: int, size: int = 2048) -> list[slice]:
+    return [slice(k, min(k + size, n)) for k in range(0, n, size)]
+
+
 class ContextTree:
-    """moves[node, byte]: the node one byte further back, or -1; logs[node, byte]: log10 probability where the walk ends there."""
+    """moves[node, symbol]: the node one byte further back, or -1; logs[node, byte]: log10 probability where the walk ends there; symbol: the column of each byte."""
 
-    def __init__(self, moves: np.ndarray, logs: np.ndarray, depth: int):
-        self.moves, self.logs, self.depth = moves.astype(np.int32), logs.astype(np.float32), depth
+    def __init__(self, moves: np.ndarray, symbol: np.ndarray, logs: np.ndarray, depth: int):
+        self.moves, self.symbol, self.logs, self.depth = moves, symbol, logs, depth
 
     @classmethod
-    def build(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
-        """levels: for each depth (sorted contexts, contexts x 256 counts); a context is its bytes as a number, the last byte lowest."""
-        base = np.cumsum([0, *(len(c) for c, _ in levels)])
-        moves = np.full((int(base[-1]), 256), -1, np.int32)
+    def build(cls, levels: list[Level]) -> ContextTree:
+        """levels: for each depth its sorted contexts and their counts; a context is its bytes as a number, the last byte lowest. A context's own contexts are there too."""
+        sizes = [len(c) for c, _ in levels]
+        base = np.cumsum([0, *sizes])
+        used = np.unique(np.concatenate([(levels[d][0] >> U(8 * (d - 1))).astype(np.int64) for d in range(1, len(levels))] or [np.zeros(0, np.int64)]))
+        symbol = np.full(256, len(used), np.int64)
+        symbol[used] = np.arange(len(used))
+        moves = np.full((int(base[-1]), len(used) + 1), -1, np.int32)
         parents: list[np.ndarray] = [np.zeros(0, np.int64)]
         for d in range(1, len(levels)):
             contexts = levels[d][0]
             up = np.searchsorted(levels[d - 1][0], contexts & U((1 << (8 * (d - 1))) - 1))
-            moves[base[d - 1] + up, (contexts >> U(8 * (d - 1))).astype(np.int64)] = base[d] + np.arange(len(contexts))
+            moves[base[d - 1] + up, symbol[(contexts >> U(8 * (d - 1))).astype(np.int64)]] = base[d] + np.arange(len(contexts))
             parents.append(up)
-        # From the leaves up: the weighted log probability of each node, and its own share against its children's.
-        share: list[np.ndarray] = [np.zeros(0)] * len(levels)
-        ends: list[np.ndarray] = [np.zeros(0)] * len(levels)
-        below = None
+        # From the leaves up: the weighted log probability of each node, its own share against its children's, and what a walk
+        # that ends there sees.
+        share = [np.ones((n, 255), np.float32) for n in sizes]
+        ends = [np.zeros((n, 255), np.float32) for n in sizes]
+        below = np.zeros((0, 255))
         for d in range(len(levels) - 1, -1, -1):
-            zeros, ones = decisions(levels[d][1])
-            own, estimate = kt_log(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
-            if d + 1 < len(levels) and len(levels[d + 1][0]):
+            children, inner, rest = np.zeros((sizes[d], 255)), np.zeros(sizes[d], bool), None
+            if d + 1 < len(levels):
                 up = parents[d + 1]
-                rest = levels[d][1].copy()
-                np.subtract.at(rest, up, levels[d + 1][1])
-                z, o = decisions(rest)
-                children = kt_log(z, o)
+                inner[up] = True
                 np.add.at(children, up, below)
-                inner = np.bincount(up, minlength=len(own)) > 0
-                gap = np.clip(children - own, -700, 700)
-                w = np.where(inner[:, None], 1 / (1 + np.exp(gap)), 1.0)
-                ends[d] = np.where(inner[:, None], w * estimate + (1 - w) * (o + 0.5) / (z + o + 1), estimate)
-                below = np.where(inner[:, None], np.logaddexp(own, children) - np.log(2), own)
-            else:
-                w, ends[d], below = np.ones(own.shape), estimate, own
-            share[d] = w
-            levels[d] = (levels[d][0], levels[d][1])
+                # What the children don't have is one child together.
+                row, byte, n = levels[d + 1][1]
+                rest = np.zeros((sizes[d], 256))
+                np.subtract.at(rest, (up[row], byte), n)
+            weighted = np.zeros((sizes[d], 255))
+            for part in by_parts(sizes[d]):
+                counts = dense(levels[d], part)
+                zeros, ones = decisions(counts)
+                own, estimate = kt_log(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
+                weighted[part], ends[d][part] = own, estimate
+                if rest is not None and inner[part].any():
+                    z, o = decisions(counts + rest[part])
+                    under, within = children[part] + kt_log(z, o), inner[part][:, None]
+                    w = np.where(within, 1 / (1 + np.exp(np.clip(under - own, -700, 700))), 1.0)
+                    share[d][part] = w
+                    ends[d][part] = np.where(within, w * estimate + (1 - w) * (o + 0.5) / (z + o + 1), estimate)
+                    weighted[part] = np.where(within, np.logaddexp(own, under) - np.log(2), own)
+            below = weighted
         # From the root down: what all nodes above leave to this one.
-        logs, above, left = [], np.zeros((1, 255)), np.ones((1, 255))
+        logs = np.zeros((int(base[-1]), 256), np.float32)
+        above, left = np.zeros((1, 255), np.float32), np.ones((1, 255), np.float32)
         for d in range(len(levels)):
-            logs.append(byte_logs(above + left * ends[d]).astype(np.float32))
+            under_above, under_left = np.empty_like(above), np.empty_like(left)
+            for part in by_parts(sizes[d]):
+                p = (above[part] + left[part] * ends[d][part]).astype(np.float64)
+                logs[base[d] + part.start : base[d] + part.stop] = byte_logs(np.clip(p, 1e-12, 1 - 1e-12))
+                zeros, ones = decisions(dense(levels[d], part))
+                under_above[part] = above[part] + left[part] * share[d][part] * (ones + 0.5) / (zeros + ones + 1)
+                under_left[part] = left[part] * (1 - share[d][part])
             if d + 1 < len(levels):
-                zeros, ones = decisions(levels[d][1])
-                estimate, up = (ones + 0.5) / (zeros + ones + 1), parents[d + 1]
-                above = (above + left * share[d] * estimate)[up]
-                left = (left * (1 - share[d]))[up]
-        return cls(moves, np.concatenate(logs), len(levels) - 1)
+                above, left = under_above[parents[d + 1]], under_left[parents[d + 1]]
+        return cls(moves, symbol, logs, len(levels) - 1)
 
     def scores(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each text; data: lower case."""
@@ -136,9 +167,9 @@ class ContextTree:
             return np.zeros(len(at) - 1)
         padded, place = with_gaps(data, at, self.depth)
         node, live = np.zeros(len(data), np.int64), np.ones(len(data), bool)
-        flat = self.moves.ravel()
+        flat, wide = self.moves.ravel(), self.moves.shape[1]
         for k in range(1, self.depth + 1):
-            to = flat[node * 256 + padded[place - k]]
+            to = flat[node * wide + self.symbol[padded[place - k]]]
             live &= to >= 0
             node = np.where(live, to, node)
         total = np.concatenate([[0], np.cumsum(self.logs.ravel()[node * 256 + data], dtype=np.float64)])
@@ -217,27 +248,35 @@ def counted(texts: DataFrame, depth: int) -> DataFrame:
 
 
 def learn_tree(counts: DataFrame, depth: int, nodes: int) -> ContextTree:
-    """The tree from the counts of bytes in context. At most nodes x 256 rows a depth reach the driver."""
+    """The tree from the counts of bytes in context. What reaches the driver is a depth's contexts with a nodes-th of all bytes, and up to 256 counts of each of the nodes."""
     codes = counts.filter("kind = 1").select("key", "n")
     total = codes.agg(F.sum("n")).first()[0] or 0
     least = max(2, -(-total // nodes))
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def context(d: int):
+        return F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("c")
+
+    sizes = []
+    for d in range(1, depth + 1):
+        sizes.append(codes.groupBy(context(d)).agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("n").toArrow().column("n").to_numpy())
+    every = np.sort(np.concatenate(sizes or [np.zeros(0, np.int64)]))[::-1]
+    if len(every) > nodes:  # the most frequent contexts, over all depths; those a context ends with are as frequent or more
+        least = int(every[nodes]) + 1
+    levels: list[Level] = []
     for d in range(depth + 1):
-        context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * d)) - 1))
-        own = codes.select(context.alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("b"), "n")
+        own = codes.select(context(d), F.col("key").bitwiseAND(F.lit(255)).alias("b"), "n")
         by = own.groupBy("c", "b").agg(F.sum("n").alias("n"))
         if d:
             big = own.groupBy("c").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("c")
             by = by.join(big, "c", "left_semi")
         got = by.toArrow()
         c, b, n = (got.column(x).to_numpy() for x in ("c", "b", "n"))
-        contexts = np.unique(c.astype(np.int64).view(U)) if d else np.zeros(1, U)
-        table = np.zeros((len(contexts), 256))
-        table[np.searchsorted(contexts, c.astype(np.int64).view(U)), b.astype(np.int64)] = n
-        levels.append((contexts, table))
+        order = np.argsort(c, kind="stable")
+        c, b, n = c[order].astype(np.int64).view(U), b[order].astype(np.int64), n[order]
+        contexts, row = np.unique(c, return_inverse=True) if d else (np.zeros(1, U), np.zeros(len(c), np.int64))
         if d and not len(contexts):
-            levels.pop()
             break
+        levels.append((contexts, (row, b, n)))
     return ContextTree.build(levels)
 
 

@@ -187,8 +187,9 @@ def test_weights_match_a_direct_recursion():
         names = np.unique(contexts)
         table = np.zeros((len(names), 256))
         np.add.at(table, (np.searchsorted(names, contexts), (codes & np.uint64(255)).astype(int)), 1)
-        levels.append((names, table))
-    tree = context_tree.ContextTree.build([(c, t.copy()) for c, t in levels])
+        row, byte = np.nonzero(table)
+        levels.append((names, (row, byte, table[row, byte])))
+    tree = context_tree.ContextTree.build(levels)
     padded = b"\0" * depth + text
 
     def counts(context, prefix, size):
