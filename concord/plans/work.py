@@ -13,6 +13,11 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: For folders on a mounted file system: no checksum file beside each of a work table's files, and so a third of the processes
+#: that Hadoop starts to set permissions. Other stores don't look at it.
+SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a folder of our own."""
     got = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,7 +48,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends here, and a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
