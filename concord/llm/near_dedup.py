@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Rows are linked when 100 x shingles in common >= percent x shingles in either. report: gets the counts of each round.
     """
     of = grouped(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), width, percent, report)
-    heads = cut(of.filter("root IS NOT NULL").groupBy("root").agg(F.min("d").alias("component_id")), "heads")
+    heads = cut_small(of.filter("root IS NOT NULL").groupBy("root").agg(F.min("d").alias("component_id")), "heads")
     some = of.filter("root IS NOT NULL").join(heads, "root").select("d", "n", "component_id")
     every = some.union(of.filter("root IS NULL").select("d", "n", F.col("d").alias("component_id")))
     return every.select(F.col("d").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("d") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
@@ -287,5 +287,5 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     of = grouped(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), width, percent, None)
     heads = of.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "k1", "k3")).alias("r")).select("r.k1", "r.k3")
     wordless = ~F.coalesce(F.col(f"row.`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    chosen = keyed.join(cut(heads, "heads"), ["k1", "k3"], "left_semi").dropDuplicates(["k1", "k3"])
+    chosen = keyed.join(cut_small(heads, "heads"), ["k1", "k3"], "left_semi").dropDuplicates(["k1", "k3"])
     return chosen.select("row.*").union(keyed.filter(wordless).select("row.*"))
