@@ -92,7 +92,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", **names) -> DataFrame:
     """The documents without any occurrence of a window, all columns as they came."""
-    _, hits, _ = find_windows(docs, items, doc_id=text, text=text, **names)
+    _, hits, _ = find_windows(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), items, **names)
     bad = cut_small(hits.select("k1", "k2").distinct(), "contaminated")
     k1, k2 = text_key(F.col(text))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), k1, k2)
