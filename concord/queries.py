@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concord.functions import columns as K
-from concord.operators import graph, pages, relations, services, similarity, timeline, votes
+from concord.operators import clusters, graph, pages, recovery, relations, services, similarity, timeline, votes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -855,3 +855,100 @@ def A20_cube(spark, sf_dir):
 @query("SELECT event_id, event_type FROM events WHERE (event_id - 1) % 100 = 0")
 def S17_sampled_scan(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("(event_id - 1) % 100 = 0").select("event_id", "event_type")
+
+
+# --- copies and recovery
+
+
+@query("""
+WITH m AS (SELECT user_id, event_type, event_id, value > 50 AS v, lag(value > 50) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS p FROM events)
+SELECT user_id, event_type, event_id, v, CAST(dense_rank() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS integer) AS state FROM m WHERE p IS NULL OR p <> v""")
+def G10_snapshots(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", (F.col("value") > 50).alias("v"))
+    return clusters.snapshots(e, ["user_id"], "event_id", "event_type", "v")
+
+
+@query("""
+WITH f AS (SELECT user_id % 5 AS zone, event_type, event_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id % 5, event_type ORDER BY event_id) <= 20 THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT *, sum(new) OVER (PARTITION BY zone, event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT zone, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS copies, max(event_id) - min(event_id) + 1 - count(*) AS missed FROM g GROUP BY zone, event_type, run""")
+def G23_fold_messages(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("zone"), "event_type", "event_id")
+    return clusters.fold_messages(e, ["zone"], "event_id", "event_type", 20)
+
+
+@query("""
+WITH r AS (SELECT p_brand AS page, p_size % 4 AS sub, p_partkey % 7 AS row, min(p_name) AS t FROM part GROUP BY ALL), v AS (SELECT page, row, t AS top FROM (SELECT page, row, t, row_number() OVER (PARTITION BY page, row ORDER BY count(*) DESC, t) AS rn FROM r GROUP BY page, row, t) WHERE rn = 1),
+a AS (SELECT page, row, max(hamming(rpad(t, 40, ' '), rpad(top, 40, ' '))) AS worst, count(DISTINCT sub) AS subs, min(top) AS top FROM r JOIN v USING (page, row) GROUP BY page, row), c AS (SELECT page, row, top FROM a WHERE worst <= 12 AND subs > 1),
+w AS (SELECT p.page, p.sub, c.row, c.top FROM (SELECT DISTINCT page, sub FROM r) p JOIN c USING (page))
+SELECT coalesce(w.page, r.page) AS page, coalesce(w.sub, r.sub) AS sub, coalesce(w.row, r.row) AS row, coalesce(r.t, w.top) AS t, r.t IS NULL AS filled FROM w FULL JOIN r ON w.page = r.page AND w.sub = r.sub AND w.row = r.row""")
+def G25_shared_rows(spark, sf_dir):
+    r = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("page"), (F.col("p_size") % 4).alias("sub"), (F.col("p_partkey") % 7).alias("row")).agg(F.min("p_name").alias("t"))
+    return clusters.shared_rows(r, "page", "sub", "row", "t", most=12)
+
+
+@query("""
+WITH v AS (SELECT p_brand, p_size % 5 AS row, p_name AS t, count(*) AS n, max(p_partkey) AS seen FROM part GROUP BY ALL), s AS (SELECT a.p_brand, a.row, a.t, a.seen, sum(b.n) AS weight FROM v a JOIN v b ON a.p_brand = b.p_brand AND a.row = b.row AND hamming(rpad(a.t, 40, ' '), rpad(b.t, 40, ' ')) <= 8 GROUP BY ALL)
+SELECT p_brand, row, t, CAST(weight AS bigint) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, row ORDER BY weight DESC, seen DESC, t DESC) AS rn FROM s) WHERE rn = 1""")
+def G18_full_rows(spark, sf_dir):
+    r = table(spark, sf_dir, "part").select("p_brand", (F.col("p_size") % 5).alias("row"), F.col("p_name").alias("t"), F.col("p_partkey").alias("at"))
+    return recovery.full_rows(r, ["p_brand"], "row", "t", "at", most=8)
+
+
+@query("""
+WITH h AS (SELECT user_id, event_id, CASE WHEN value <= 90 THEN length(event_type) END AS page FROM events), c AS (SELECT *, lag(page) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM h),
+n AS (SELECT user_id, b, page, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id, b) AS t, row_number() OVER (PARTITION BY user_id, b ORDER BY count(*) DESC, page) AS rn FROM c WHERE page IS NOT NULL AND b IS NOT NULL GROUP BY user_id, b, page), u AS (SELECT user_id, b, page AS g FROM n WHERE rn = 1 AND n >= 2 AND n * 100 >= t * 40)
+SELECT c.user_id, c.event_id, coalesce(c.page, u.g) AS page, c.page IS NULL AND u.g IS NOT NULL AS guessed FROM c LEFT JOIN u ON c.user_id = u.user_id AND c.b = u.b""")
+def G03_recover_headers(spark, sf_dir):
+    h = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.lit(0).alias("row"), F.when(F.col("value") <= 90, F.length("event_type")).alias("page"))
+    return recovery.recover_headers(h, ["user_id"], percent=40).select("user_id", F.col("seq").alias("event_id"), "page", "guessed")
+
+
+@query("""
+WITH r AS (SELECT DISTINCT source, lang, line FROM (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 5), o AS (SELECT DISTINCT doc_id AS orphan, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 7 = 0) WHERE length(line) > 5),
+m AS (SELECT orphan, lang, count(DISTINCT line) AS n FROM o JOIN (SELECT DISTINCT lang, line FROM r) USING (line) GROUP BY orphan, lang), k AS (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY n DESC, lang DESC) AS rn, lead(n, 1, 0) OVER (PARTITION BY orphan ORDER BY n DESC, lang DESC) AS second FROM m)
+SELECT orphan, lang, n FROM k WHERE rn = 1 AND n >= 3 AND n >= 3 * second""")
+def G04_own_orphans(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).filter("length(line) > 5")
+    rows = d.select("lang", F.col("line").alias("text")).distinct().withColumn("row", F.col("text"))
+    loose = d.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("orphan"), F.col("line").alias("text")).distinct().withColumn("row", F.col("text"))
+    return recovery.own_orphans(rows, loose, ["lang"], "row", "text")
+
+
+@query("""
+WITH p AS (SELECT o_custkey, o_orderkey, i AS k, CASE WHEN (o_orderkey + i) % 3 = 0 THEN 0 ELSE ascii(substr(o_orderpriority, i::int, 1)) END AS b FROM orders, unnest(range(1, 6)) AS t(i)),
+v AS (SELECT o_custkey, k, b, row_number() OVER (PARTITION BY o_custkey, k ORDER BY count(*) DESC, b) AS rn FROM p WHERE b <> 0 GROUP BY o_custkey, k, b)
+SELECT c.o_custkey, string_agg(lpad(upper(to_hex(coalesce(v.b, 0))), 2, '0'), '' ORDER BY c.k) AS data FROM (SELECT DISTINCT o_custkey, k FROM p) c LEFT JOIN v ON c.o_custkey = v.o_custkey AND c.k = v.k AND rn = 1 GROUP BY c.o_custkey""")
+def A19_combine_copies(spark, sf_dir):
+    char = lambda i: F.when((F.col("o_orderkey") + i) % 3 == 0, F.lit("00")).otherwise(F.hex(F.substring(F.col("o_orderpriority").cast("binary"), i, 1)))
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.unhex(F.concat(*[char(i) for i in range(1, 6)])).alias("data"))
+    return clusters.combine_copies(o, ["o_custkey"], "data", F.lit(1)).select("o_custkey", F.hex("data").alias("data"))
+
+
+@query()
+def G08_first_fit(spark, sf_dir):
+    """Order-dependent; tested against its definition."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", "p_name")
+    return clusters.first_fit(p, ["p_brand"], ["p_partkey"], "p_name", most=12)
+
+
+@query()
+def G07_split_rotation(spark, sf_dir):
+    """Connected parts by shared rows without a contradiction; tested against its definition."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 50).alias("page"), F.col("l_orderkey").alias("copy"), F.col("l_linenumber").alias("row"), "l_returnflag").filter("copy < 4000").dropDuplicates(["copy", "row"])
+    return clusters.split_rotation(rows, ["page"], "copy", "row", "l_returnflag")
+
+
+@query("""
+WITH c AS (SELECT l_suppkey, l_linenumber AS part, count(*) AS copies FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL HAVING count(*) >= 3)
+SELECT l_suppkey, part, copies FROM (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS k FROM c) WHERE k >= 2""")
+def G12_rotations_by_counter(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.format_string("news %02d/%02d", F.col("l_linenumber"), F.lit(5)).alias("t"))
+    return recovery.rotations_by_counter(recovery.counters(rows, ["l_suppkey"], "t"), ["l_suppkey"])
+
+
+@query()
+def A08_vote_with_slip(spark, sf_dir):
+    """Copies moved to agree before the vote; tested against copies that were slipped on purpose."""
+    p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_name").cast("binary").alias("data"))
+    return clusters.vote_with_slip(p, ["p_brand"], "p_partkey", "data").select("p_brand", F.hex("data").alias("data"), "copies", "dropped")
