@@ -173,11 +173,11 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, *, d
             nonlocal seq, held
             ids, lengths = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
             keys = pa.concat_arrays([h[2] for h in held])
-            name = f"{root}/part-{part:06d}-{seq:06d}-{attempt}.rans"
+            name = f"part-{part:06d}-{seq:06d}-{attempt}.rans"
             store.create_dir(root, recursive=True)
-            with store.open_output_stream(name) as out:
+            with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(to_bytes(ids, lengths, keys.fill_null(0).to_numpy(zero_copy_only=False), keys.null_count))
-            row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [name], "n_docs": [len(lengths)], "n_tokens": [len(ids)]}, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            row = pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [f"{folder.rstrip('/')}/{name}"], "n_docs": [len(lengths)], "n_tokens": [len(ids)]}, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
             seq, held = seq + 1, []
             return row
 
@@ -208,15 +208,11 @@ def with_starts(manifest: DataFrame) -> DataFrame:
 
 
 def _read(manifest: DataFrame, schema: str, make) -> DataFrame:
-    spark = manifest.sparkSession
-    # The store is the one that the folder's URI names; files are listed without it.
-    folder = spark.conf.get("spark.checkpoint.dir")
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                with store.open_input_stream(row["file"]) as f:
+                store, name = fs.FileSystem.from_uri(row["file"])
+                with store.open_input_stream(name) as f:
                     held = TokenFile(f.read())
                 yield make(held, row["start"])
 
