@@ -4,7 +4,7 @@ The library splits a text into pre-tokens and merges each alone, so a text's tok
 vocabulary string is encoded alone: those that come back as one id are proven whole tokens, and a pre-token that equals one of
 them counts directly. The rest are merged by the library's model, each distinct one once for a worker's bounded memory of them.
 
-Texts of ASCII and of the letters of Latin-1 and Latin Extended-A, most of the input, are split on their bytes with NumPy, all
+Texts of ASCII, of the letters of Latin-1 and Latin Extended-A and of their usual signs are split on their bytes with NumPy, all
 texts of a batch at once; others by the pattern itself. Pre-tokens are known by 64-bit hashes.
 
 Defined results: a null text is empty and has no tokens; strings of added tokens inside texts are those tokens, as the library
@@ -15,6 +15,7 @@ space, where no pre-token continues; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -54,6 +55,18 @@ HARD = np.zeros(256, bool)
 HARD[0xC6:] = True  # other scripts and signs
 HARD[0x1C:0x20] = True  # white space for some
 HARD[0xC2] = True  # signs, numbers and spaces of Latin-1
+#: Of these, what is neither letter, number nor white space: second bytes after 0xC2, and third bytes after 0xE2 0x80 (dashes,
+#: quotation marks, ellipsis).
+SIGN, DASH = np.zeros(256, bool), np.zeros(256, bool)
+SIGN[0xA1:0xC0] = True
+SIGN[[0xAA, 0xB2, 0xB3, 0xB5, 0xB9, 0xBA, 0xBC, 0xBD, 0xBE]] = False
+DASH[0x90:0xA8] = True
+
+
+@lru_cache(maxsize=1)
+def unassigned() -> np.ndarray:
+    """Which characters aren't assigned yet as far as Python knows: the two libraries know them from different editions."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
 
 
 class ByteBpe:
@@ -84,8 +97,15 @@ class ByteBpe:
         found = self.library.encode_batch_fast(strings, add_special_tokens=False)
         return {s: e.ids[0] for s, e in zip(strings, found, strict=True) if len(e.ids) == 1}
 
-    def split(self, text: str) -> Iterator[list[str]]:
-        """The pre-tokens of a text by the pattern, in lists."""
+    def sizes(self, text: str) -> Iterator[list[int]]:
+        """The bytes of each pre-token of a text, in lists: by the pattern, or by the library for characters that it may see otherwise."""
+        strange = unassigned()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
+
+        def split(part: str) -> list[int]:
+            if strange:  # the library writes a character for each byte
+                return [len(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(part)]
+            return [len(p.encode()) for p in PATTERN.findall(part)]
+
         parts = [text]
         if self.special is not None and (marks := self.special.findall(text)):
             rest = self.special.split(text)
@@ -93,12 +113,12 @@ class ByteBpe:
         for k, part in enumerate(parts):
             if k % 2:
                 if part:
-                    yield [part]
+                    yield [len(part.encode())]
                 continue
             while len(part) > STRETCH and (cut := LONE_SPACE.search(part, STRETCH)):
-                yield PATTERN.findall(part[: cut.start()])
+                yield split(part[: cut.start()])
                 part = part[cut.start() :]
-            yield PATTERN.findall(part)
+            yield split(part)
 
     def begins(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin in some texts, one after the other in data."""
@@ -110,6 +130,12 @@ class ByteBpe:
         first = first[:n]
         sign = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
         kind[sign] = kind[sign + 1] = OTHER
+        strange = HARD[data]
+        two = np.flatnonzero((data[:-1] == 0xC2) & SIGN[data[1:]])
+        kind[two] = kind[two + 1] = OTHER
+        three = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & DASH[data[2:]])
+        kind[three] = kind[three + 1] = kind[three + 2] = OTHER
+        strange[two] = strange[three] = False
         change = first.copy()
         change[1:] |= kind[1:] != kind[:-1]
         white, last = kind == WHITE, np.append(first[1:], True)
@@ -129,7 +155,7 @@ class ByteBpe:
         end = end[end < n]
         start[end[(kind[end] == LETTER) & ~first[end]]] = True
         # Texts that need the pattern.
-        hard = sums(HARD[data], np.diff(at)) > 0
+        hard = sums(strange, np.diff(at)) > 0
         for s in self.special_bytes:
             raw = data.tobytes()
             found = raw.find(s)
@@ -138,8 +164,7 @@ class ByteBpe:
                 found = raw.find(s, found + 1)
         for k in np.flatnonzero(hard).tolist():
             own = data[at[k] : at[k + 1]]
-            parts = chain.from_iterable(self.split(own.tobytes().decode()))
-            sizes = np.cumsum([len(p.encode()) for p in parts])
+            sizes = np.cumsum(list(chain.from_iterable(self.sizes(own.tobytes().decode()))))
             start[at[k] : at[k + 1]] = False
             start[at[k] + np.concatenate([[0], sizes[:-1]]).astype(np.int64)] = True
         return np.flatnonzero(start)

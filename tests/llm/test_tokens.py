@@ -48,6 +48,17 @@ def test_ids_match_the_library_on_any_text(texts):
     assert bpe.counts(column)[0].tolist() == n.tolist()
 
 
+def test_every_character_of_the_fast_path():
+    """Each character up to U+2FFF, and of blocks with new letters, between letters, digits, spaces and signs, as the library splits it."""
+    bpe = byte_bpe.byte_bpe(JSON)
+    library = Tokenizer.from_file(JSON)
+    texts = [f"ab{c}cd 1{c}2 {c} {c}{c}'s.{c}é{c}" for c in map(chr, [*range(0x3000), *range(0xA700, 0xABFF), *range(0x10900, 0x10F00), *range(0x18D00, 0x18E10), *range(0x1E600, 0x1E700)])]
+    ids, n = bpe.encode(pa.array(texts))
+    want = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    got = [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_long_texts_and_a_full_memory(monkeypatch):
     monkeypatch.setattr(byte_bpe, "STRETCH", 50)
     monkeypatch.setattr(byte_bpe, "MEMORY", 5)
