@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 #: For folders on a mounted file system: no checksum file beside each of a work table's files, and so a third of the processes
-#: that Hadoop starts to set permissions. Other stores don't look at it.
-SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+#: that Hadoop starts to set permissions. Other stores don't look at it. Small row groups, as a writer holds a whole one.
+SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.block.size": str(16 << 20)}
 
 
 def shared_dir(spark: SparkSession) -> str:
