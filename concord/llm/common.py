@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from concord.plans.work import cut, cut_small, drop, hold, let_go, shared_dir, ship, work_path
 
-__all__ = ["arrow_limits", "ascii_lower", "cut", "cut_small", "drop", "hold", "let_go", "pieces", "shared_dir", "text_buffer", "text_key", "work_path"]
+__all__ = ["arrow_limits", "ascii_lower", "cut", "cut_small", "drop", "hold", "let_go", "pieces", "shared_dir", "short_batches", "text_buffer", "text_key", "work_path"]
 
 #: What one Python call gets at once: rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
@@ -22,6 +22,13 @@ def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    short_batches(spark)
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Read columns of long texts a few rows at once: a reader's buffers hold whole batches, and double as they fill."""
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
+    spark.conf.set("spark.sql.inMemoryColumnarStorage.batchSize", "1000")
 
 
 def ascii_lower(c: Column) -> Column:
