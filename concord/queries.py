@@ -896,7 +896,7 @@ def G18_full_rows(spark, sf_dir):
 
 
 @query("""
-WITH h AS (SELECT user_id, event_id, CASE WHEN value <= 90 THEN length(event_type) END AS page FROM events), c AS (SELECT *, lag(page) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM h),
+WITH h AS (SELECT user_id, event_id, CASE WHEN value <= 90 THEN CAST(length(event_type) AS integer) END AS page FROM events), c AS (SELECT *, lag(page) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM h),
 n AS (SELECT user_id, b, page, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id, b) AS t, row_number() OVER (PARTITION BY user_id, b ORDER BY count(*) DESC, page) AS rn FROM c WHERE page IS NOT NULL AND b IS NOT NULL GROUP BY user_id, b, page), u AS (SELECT user_id, b, page AS g FROM n WHERE rn = 1 AND n >= 2 AND n * 100 >= t * 40)
 SELECT c.user_id, c.event_id, coalesce(c.page, u.g) AS page, c.page IS NULL AND u.g IS NOT NULL AS guessed FROM c LEFT JOIN u ON c.user_id = u.user_id AND c.b = u.b""")
 def G03_recover_headers(spark, sf_dir):
