@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from concord.operators.graph import components
 
-from .common import arrow_limits, cut, cut_small, hold, let_go, pieces, text_buffer, text_key
+from .common import arrow_limits, cut, cut_small, drop, hold, let_go, pieces, text_buffer, text_key
 from .words import LOWER, SEEDS, hash_words, mix, split
 
 U = np.uint64
@@ -265,6 +265,8 @@ def grouped(docs: DataFrame, width: int, percent: int, report: dict | None) -> D
     final = hold(final, held)
     rooted = cut(table.select("d", "k1", "k3", "n", "c1", "c2").join(final, ["c1", "c2", "n"], "left").select("d", "k1", "k3", "n", "root"), "rooted")
     let_go(held)
+    for done in (classes, sets):
+        drop(done)
     return rooted
 
 
@@ -287,5 +289,7 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     of = grouped(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), width, percent, None)
     heads = of.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct(F.col("d").isNull().alias("z"), "d", "k1", "k3")).alias("r")).select("r.k1", "r.k3")
     wordless = ~F.coalesce(F.col(f"row.`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    chosen = keyed.join(cut_small(heads, "heads"), ["k1", "k3"], "left_semi").dropDuplicates(["k1", "k3"])
+    heads = cut_small(heads, "heads")
+    drop(of)
+    chosen = keyed.join(heads, ["k1", "k3"], "left_semi").dropDuplicates(["k1", "k3"])
     return chosen.select("row.*").union(keyed.filter(wordless).select("row.*"))
