@@ -391,16 +391,32 @@ def mend_line(line: np.ndarray, lost: np.ndarray) -> bool:
     return False
 
 
+def all_syndromes(lines: np.ndarray) -> np.ndarray:
+    """Both sums of every line (lines x bytes)."""
+    power, _ = gf_tables()
+    k = np.arange(lines.shape[1])
+    return np.stack([np.bitwise_xor.reduce(gf_mul(lines, power[f * k % 255][None]), axis=1) for f in (1, 3)], axis=1)
+
+
+def with_checks(lines: np.ndarray) -> np.ndarray:
+    """Lines with their last two bytes set so that both sums are zero."""
+    power, log = gf_tables()
+    out = lines.copy()
+    i, j = out.shape[1] - 2, out.shape[1] - 1
+    out[:, i:] = 0
+    s0, s1 = all_syndromes(out).T
+    a, b, c, d = (int(power[f * k % 255]) for f, k in ((1, i), (1, j), (3, i), (3, j)))
+    over = power[(255 - log[int(gf_mul(a, d) ^ gf_mul(b, c))]) % 255]
+    out[:, i], out[:, j] = gf_mul(gf_mul(s0, d) ^ gf_mul(s1, b), over), gf_mul(gf_mul(s1, a) ^ gf_mul(s0, c), over)
+    return out
+
+
 def encode_product(data: np.ndarray) -> np.ndarray:
     """Rows x columns of bytes with two check bytes to every row and two check rows."""
     out = np.zeros((data.shape[0] + 2, data.shape[1] + 2), np.uint8)
     out[:-2, :-2] = data
-    for row in out[:-2]:
-        fill_two(row, len(row) - 2, len(row) - 1)
-    for k in range(out.shape[1]):
-        column = out[:, k].copy()
-        fill_two(column, len(column) - 2, len(column) - 1)
-        out[:, k] = column
+    out[:-2] = with_checks(out[:-2])
+    out[:] = with_checks(out.T.copy()).T
     return out
 
 
@@ -410,10 +426,10 @@ def decode_product(block: np.ndarray, lost: np.ndarray, rounds: int = 6) -> tupl
     for _ in range(rounds):
         before = block.copy(), lost.copy()
         for lines, gone in ((block, lost), (block.T, lost.T)):
-            for line, g in zip(lines, gone, strict=True):
-                mend_line(line, g)
+            for k in np.flatnonzero(all_syndromes(lines).any(axis=1) | gone.any(axis=1)):
+                mend_line(lines[k], gone[k])
         if np.array_equal(before[0], block) and np.array_equal(before[1], lost):
             break
-    good = np.array([line_syndromes(r) == (0, 0) and not g.any() for r, g in zip(block[:-2], lost[:-2], strict=True)])
-    whole = all(line_syndromes(c) == (0, 0) for c in block.T)
+    good = ~all_syndromes(block[:-2]).any(axis=1) & ~lost[:-2].any(axis=1)
+    whole = not all_syndromes(block.T).any()
     return block[:-2, :-2], good & (whole | good.all())
