@@ -36,7 +36,7 @@ PATTERN = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L
 PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 LONE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 #: Distinct pre-tokens that a worker remembers; characters of a text that the pattern splits at once.
-MEMORY, STRETCH = 1_500_000, 2_000_000
+MEMORY, STRETCH = 700_000, 2_000_000
 
 #: The character that stands for each byte.
 STANDS = np.zeros(256, "<u2")
