@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from concord.operators import votes
 from concord.operators.graph import components
+from concord.plans.work import cut_small
 
 #: Named weights of similarity: of a header, of a text row, of its length agreeing, and the least similarity of a group.
 PROFILES = {"even": (1.0, 1.0, 0.0, 0.80), "text": (0.25, 1.0, 0.5, 0.85), "strict": (1.0, 1.0, 1.0, 0.92), "loose": (0.0, 1.0, 0.0, 0.65)}
@@ -108,16 +109,25 @@ def choose_grouping(first: DataFrame, second: DataFrame, keys: Sequence[str], ra
 def split_rotation(rows: DataFrame, keys: Sequence[str], copy: str, row: str, text: str) -> DataFrame:
     """copy, part (the least copy of its part): copies of a page belong together if they share a row and contradict none.
 
-    rows: keys, copy (a number that is unique over all keys), row, text. Copies with equal content are one class first.
+    rows: keys, copy (a number that is unique over all keys), row, text (null where it wasn't read). Copies with equal content are
+    one class first. Copies that have rows S meet copies that have rows T at what they read in the rows of both: they contradict
+    nowhere if that is equal, and then all of one kind belong to all of the other. So a copy is listed once for each T of its page,
+    not once for each copy that shares a row number with it.
     """
-    content = rows.groupBy(*keys, copy).agg(F.xxhash64(F.array_sort(F.collect_list(F.struct(row, text)))).alias("_c"))
-    heads = content.groupBy(*keys, "_c").agg(F.min(copy).alias("_h"))
-    of = content.join(heads, [*keys, "_c"]).select(*keys, copy, "_h")
-    one = rows.join(heads.select(*keys, F.col("_h").alias(copy)), [*keys, copy], "left_semi")
-    left, right = one.select(*keys, row, F.col(copy).alias("a"), F.col(text).alias("_x")), one.select(*keys, row, F.col(copy).alias("b"), F.col(text).alias("_y"))
-    met = left.join(right, [*keys, row]).filter("a > b").groupBy("a", "b").agg(F.bool_and(F.col("_x") == F.col("_y")).alias("_same"))
-    roots = components(met.filter("_same").select("a", "b"))
-    return of.join(roots, F.col("_h") == F.col("node"), "left").select(F.col(copy), F.coalesce("root", "_h").alias("part"))
+    content = rows.groupBy(*keys, copy).agg(F.array_sort(F.collect_list(F.struct(F.col(row).alias("r"), F.col(text).alias("t")))).alias("_x"))
+    classes = cut_small(content.groupBy(*keys, F.xxhash64("_x").alias("_c")).agg(F.min(copy).alias("_h"), F.any_value("_x").alias("_x")), "classes")
+    of = content.select(*keys, copy, F.xxhash64("_x").alias("_c")).join(classes.select(*keys, "_c", "_h"), [*keys, "_c"]).select(copy, "_h")
+    one = classes.select(*keys, "_h", F.filter("_x", lambda x: x["t"].isNotNull()).alias("_x")).withColumn("_s", F.transform("_x", lambda x: x["r"]))
+    kinds = one.select(*keys, "_s").distinct()
+    pairs = kinds.join(kinds.withColumnRenamed("_s", "_t"), list(keys)).filter(F.arrays_overlap("_s", "_t"))
+    both = F.filter("_x", lambda x: F.array_contains("_t", x["r"]))
+    key = [F.when(F.col("_s") < F.col("_t"), F.col("_s")).otherwise(F.col("_t")), F.when(F.col("_s") < F.col("_t"), F.col("_t")).otherwise(F.col("_s")), both]
+    side = F.when(F.col("_s") < F.col("_t"), 0).when(F.col("_s") > F.col("_t"), 1)  # null: rows S meet rows S
+    met = one.join(pairs, [*keys, "_s"]).select(*keys, F.xxhash64(*key).alias("_k"), F.xxhash64(F.lit(1), *key).alias("_l"), "_h", side.alias("_side"))
+    groups = met.groupBy(*keys, "_k", "_l").agg(F.min("_h").alias("_m"), F.max("_h").alias("_z"), F.min("_side").alias("_a"), F.max("_side").alias("_b"))
+    groups = groups.filter("_m < _z AND (_a IS NULL OR _a < _b)").select(*keys, "_k", "_l", "_m")
+    links = met.join(groups, [*keys, "_k", "_l"]).filter("_h > _m").select(F.col("_h").alias("a"), F.col("_m").alias("b"))
+    return of.join(components(links), F.col("_h") == F.col("node"), "left").select(F.col(copy), F.coalesce("root", "_h").alias("part"))
 
 
 def snapshots(df: DataFrame, keys: Sequence[str], order: str, row: str, value: str) -> DataFrame:

@@ -1,7 +1,10 @@
 """Clusters of copies, folding, votes with slips, and the writers."""
 
+import random
+
 from pyspark.sql import functions as F
 
+from concord import queries
 from concord.operators import clusters
 from concord.plans import sinks
 
@@ -33,6 +36,33 @@ def test_rotations_split_where_copies_contradict(spark):
     assert {r.copy: r.part for r in clusters.split_rotation(df, ["page"], "copy", "row", "text").collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
 
 
+def test_rotations_are_those_of_all_pairs(spark):
+    draw = random.Random(7)
+    rows = [(c % 3, c, r, draw.choice("ab" if c % 3 else "abcd")) for c in range(180) for r in sorted(draw.sample(range(9), draw.randint(1, 5)))]
+    of, roots = {}, {}
+    for p, c, r, t in rows:
+        of.setdefault((p, c), {})[r] = t
+        roots[c] = c
+
+    def root(c):
+        return c if roots[c] == c else root(roots[c])
+
+    for (p, a), x in of.items():
+        for (q, b), y in of.items():
+            if p == q and a < b and x.keys() & y.keys() and all(x[r] == y[r] for r in x.keys() & y.keys()):
+                lo, hi = sorted((root(a), root(b)))
+                roots[hi] = lo
+    df = spark.createDataFrame(rows, "page int, copy long, row int, text string")
+    assert {r.copy: r.part for r in clusters.split_rotation(df, ["page"], "copy", "row", "text").collect()} == {c: root(c) for c in roots}
+
+
+def test_rotations_of_all_orders(spark, tmp_path):
+    rows = [(10, 1, "A"), (10, 1, "A"), (10, 1, "R"), (4010, 1, "A"), (4010, 2, "N"), (70_010, 2, "N"), (70_060, 2, "R"), (70_061, 2, "N")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {r.copy: r.part for r in queries.G07_split_rotation(spark, str(tmp_path)).collect()}
+    assert got == {10: 10, 4010: 10, 70_010: 10, 70_060: 70_060, 70_061: 70_061}
+
+
 def test_snapshots(spark):
     rows = [("p", 1, 1, "a"), ("p", 1, 2, "b"), ("p", 2, 1, "a"), ("p", 2, 2, "c"), ("p", 3, 1, "a"), ("p", 4, 1, "d")]
     got = clusters.snapshots(spark.createDataFrame(rows, "page string, at int, row int, value string"), ["page"], "at", "row", "value")
