@@ -146,13 +146,14 @@ def _packet(parts: Column) -> Column:
     return run(parts)
 
 
-def to_packets(pages: DataFrame) -> DataFrame:
-    """seq, packet: a clean stream, each page's header and rows (magazine, page, subcode, row, text; row 0 is the header) one after the other."""
-    heads = pages.select("magazine", "page", "subcode").distinct().select("*", F.lit(0).alias("row"), F.lit("").alias("text"))
-    given = pages.filter("row = 0").select("magazine", "page", "subcode", "row", "text")
-    heads = heads.join(given.select("magazine", "page", "subcode"), ["magazine", "page", "subcode"], "left_anti").unionByName(given)
-    every = heads.unionByName(pages.filter("row > 0").select("magazine", "page", "subcode", "row", "text"))
+def to_packets(pages: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, seq, packet: a clean stream for each of keys, each page's header and rows (magazine, page, subcode, row, text; row 0 is the header) one after the other."""
+    page, line = [*keys, "magazine", "page", "subcode"], [*keys, "magazine", "page", "subcode", "row", "text"]
+    heads = pages.select(*page).distinct().select("*", F.lit(0).alias("row"), F.lit("").alias("text"))
+    given = pages.filter("row = 0").select(*line)
+    heads = heads.join(given.select(*page), page, "left_anti").unionByName(given)
+    every = heads.unionByName(pages.filter("row > 0").select(*line))
     code = F.when(F.col("row") == 0, header(F.col("magazine"), F.col("page"), F.col("subcode"), F.col("text"))).otherwise(text_row(F.col("magazine"), F.col("row"), F.col("text")))
     # The order of pages is that of their numbers; a page number, subcode and row fit one long.
     seq = ((F.col("magazine").cast("long") * 256 + F.col("page")) * 16384 + F.col("subcode")) * 32 + F.col("row")
-    return every.select(seq.alias("seq"), code.alias("packet"))
+    return every.select(*keys, seq.alias("seq"), code.alias("packet"))

@@ -802,17 +802,21 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (1 + F.col("doc_id") % 8).cast("int").alias("magazine"), F.floor(F.col("doc_id") / 8 % 200).cast("int").alias("page"), F.floor(F.col("doc_id") / 1600).cast("int").alias("subcode"), "x.row", "x.text")
 
 
-@query(LINES + " SELECT doc_id, CAST(row AS integer) AS row, rpad(line, 40, ' ') AS text FROM r")
-def D01_rt_pages(spark, sf_dir):
-    """Pages to packets, five copies with a bit wrong in one of them at each place in turn, and back by votes."""
-    lines = _lines(spark, sf_dir)
-    one = pages.to_packets(lines)
+def _bent_copies(one: DataFrame, recording) -> DataFrame:
+    """Five copies of packets with a bit wrong in one of them at each place in turn."""
     bent = F.pmod(F.xxhash64("seq", "copy"), F.lit(38)) + 3  # never an address
     flip = F.pmod(F.xxhash64("seq"), F.lit(5)) == F.col("copy")
     byte = F.unhex(F.lpad(F.hex(K.byte_at(F.col("packet"), bent.cast("int") - 1).bitwiseXOR(F.lit(4))), 2, "0"))
     wrong = F.concat(F.substring(F.col("packet"), F.lit(1), (bent - 1).cast("int")), byte, F.substring(F.col("packet"), (bent + 1).cast("int"), F.lit(42)))
     row = F.col("seq") % 32 > 0
-    copies = one.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(F.lit("made").alias("recording"), (F.col("copy") * 10_000_000_000 + F.col("seq")).alias("seq"), F.when(flip & row, wrong).otherwise(F.col("packet")).alias("packet"))
+    return one.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(recording.alias("recording"), (F.col("copy") * 10_000_000_000 + F.col("seq")).alias("seq"), F.when(flip & row, wrong).otherwise(F.col("packet")).alias("packet"))
+
+
+@query(LINES + " SELECT doc_id, CAST(row AS integer) AS row, rpad(line, 40, ' ') AS text FROM r")
+def D01_rt_pages(spark, sf_dir):
+    """Pages to packets, five copies with a bit wrong in one of them at each place in turn, and back by votes."""
+    lines = _lines(spark, sf_dir)
+    copies = _bent_copies(pages.to_packets(lines), F.lit("made"))
     voted = pages.vote_pages(pages.quorum_pages(pages.paginate(pages.parse(copies)))).filter("row > 0")
     return voted.select((F.col("subcode") * 1600 + F.col("page") * 8 + F.col("magazine") - 1).cast("long").alias("doc_id"), "row", "text")
 
@@ -824,6 +828,42 @@ def K06_page_text(spark, sf_dir):
     return text.select((F.col("subcode") * 1600 + F.col("page") * 8 + F.col("magazine") - 1).cast("long").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text"))
 
 
+#: Pages made of all texts from end to end: each document is a recording of its own, with as many pages of 24 rows as it needs.
+WHOLE = """
+WITH t AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents), r AS (SELECT doc_id, i AS row, substr(t, 40 * (i - 1)::int + 1, 40) AS line FROM t, unnest(range(1, (length(t) + 39) // 40 + 1)) AS u(i))"""
+PAGE = ("recording", "magazine", "page", "subcode")
+
+
+def _whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t")).filter("length(t) > 0")
+    every = F.sequence(F.lit(1), F.ceil(F.length("t") / 40).cast("int"))
+    rows = t.select(F.col("doc_id").alias("recording"), F.explode(F.transform(every, lambda i: F.struct(F.floor((i - 1) / 24).alias("n"), ((i - 1) % 24 + 1).alias("row"), F.substring("t", 40 * (i - 1) + 1, F.lit(40)).alias("text")))).alias("x"))
+    n = F.col("x.n")
+    return rows.select("recording", (1 + n % 8).cast("int").alias("magazine"), F.floor(n / 8 % 200).cast("int").alias("page"), F.floor(n / 1600).cast("int").alias("subcode"), "x.row", "x.text")
+
+
+#: Which of its document's pages a page is, from 0.
+NTH = "subcode * 1600 + page * 8 + magazine - 1"
+
+
+@query(WHOLE + " SELECT doc_id, CAST(row AS integer) AS row, rpad(line, 40, ' ') AS text FROM r")
+def D01_rt_whole_pages(spark, sf_dir):
+    """D01_rt_pages over all documents and their whole texts."""
+    copies = _bent_copies(pages.to_packets(_whole_lines(spark, sf_dir), ["recording"]), F.col("recording"))
+    held = pages.quorum_pages(pages.paginate(pages.parse(copies)), keys=PAGE[:3])
+    voted = pages.vote_pages(held, PAGE).filter("row > 0")
+    return voted.select(F.col("recording").alias("doc_id"), (F.expr(NTH) * 24 + F.col("row")).cast("int").alias("row"), "text")
+
+
+@query(WHOLE + " SELECT doc_id, sha256(string_agg(rtrim(line), chr(10) ORDER BY row)) AS text FROM r GROUP BY doc_id")
+def K06_whole_page_text(spark, sf_dir):
+    """K06_page_text over all documents and their whole texts."""
+    copies = pages.to_packets(_whole_lines(spark, sf_dir), ["recording"])
+    text = pages.page_text(pages.vote_pages(pages.paginate(pages.parse(copies)), PAGE), PAGE)
+    every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.expr(NTH).alias("n"), "text"))), lambda x: x["text"]), "\n")
+    return text.groupBy(F.col("recording").alias("doc_id")).agg(F.sha2(every.cast("binary"), 256).alias("text"))
+
+
 @query("SELECT o_orderkey, CAST(1 + o_orderkey % 28 AS integer) AS day, CAST(1 + o_custkey % 12 AS integer) AS month, CAST(o_orderkey % 24 AS integer) AS hour, CAST(o_custkey % 60 AS integer) AS minute, CAST(o_orderkey % 4096 AS integer) AS cni FROM orders")
 def D18_programme_labels(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
