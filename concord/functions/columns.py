@@ -234,12 +234,12 @@ def damage(data: Column, seed: Column, kind: str) -> Column:
                 continue
             raw, rng = np.frombuffer(v, np.uint8).copy(), np.random.default_rng(abs(int(s)))
             unit, bits_of, wrong = {"hamming84": (1, 8, 1), "hamming2418": (3, 24, 1), "hamming74": (1, 7, 1), "bch": (8, 63, 2), "difference_set": (34, 272, 8), "product": (448, 448, 2)}[kind]
-            for k in range(0, len(raw), unit):
-                for b in rng.choice(bits_of, wrong, replace=False):
-                    if kind == "product":
-                        raw[k + b] ^= 0x5A
-                    else:
-                        raw[k + b // 8] ^= 1 << b % 8
+            words = np.arange(0, len(raw), unit)
+            places = rng.random((len(words), bits_of)).argpartition(wrong, axis=1)[:, :wrong]
+            if kind == "product":
+                raw[(words[:, None] + places).ravel()] ^= 0x5A
+            else:
+                np.bitwise_xor.at(raw, words[:, None] + places // 8, (1 << places % 8).astype(np.uint8))
             out.append(raw.tobytes())
         return pd.Series(out)
 

@@ -666,11 +666,13 @@ PAYLOAD = "SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60)
 
 
 def _round_trip(spark: SparkSession, sf_dir: str, kind: str, bent: bool = True) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 60).alias("t")).filter("length(t) > 0")
+    """Whole texts there and back. The payload is the first 60 bytes, as in the SQL, of what came back, and null unless all of it is as it was."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t")).filter("length(t) > 0")
     d = d.withColumn("size", F.length("t")).withColumn("sent", K.encode_bytes(F.col("t").cast("binary"), kind))
     if bent:
         d = d.withColumn("sent", K.damage(F.col("sent"), F.col("doc_id"), kind))
-    return d.select("doc_id", K.decode_bytes(F.col("sent"), F.col("size"), kind).cast("string").alias("payload"))
+    back = d.select("doc_id", "t", K.decode_bytes(F.col("sent"), F.col("size"), kind).cast("string").alias("back"))
+    return back.select("doc_id", F.when(F.col("back") == F.col("t"), F.substring("back", 1, 60)).alias("payload"))
 
 
 @query(PAYLOAD)

@@ -1,5 +1,8 @@
 """Queries that take whole tables and whole texts."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from concord import queries
 
 
@@ -9,3 +12,15 @@ def test_pages_of_all_documents_and_whole_texts(spark, tmp_path):
     want = {(d, 1 + k // 40): t[k : k + 40].ljust(40) for d, t in texts.items() if d != 1_000_004 for k in range(0, len(t), 40)}
     got = queries.D01_rt_whole_pages(spark, str(tmp_path)).collect()
     assert len(got) == len(want) and {(r.doc_id, r.row): r.text for r in got} == want
+
+
+@pytest.mark.parametrize(("name", "byte"), [("E01_rt_hamming84", 600), ("E12_rt_difference_set", 600), ("E13_rt_product_code", 2000)])
+def test_round_trips_are_of_whole_texts(spark, tmp_path, monkeypatch, name, byte):
+    """Damage that can't be mended, far behind the first 60 characters, is noticed."""
+    texts = {1: "short", 2: "some words " * 200}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    run = getattr(queries, name)
+    assert {r.doc_id: r.payload for r in run(spark, str(tmp_path)).collect()} == {d: t[:60] for d, t in texts.items()}
+    junk = F.unhex(F.lit("5A0F33C1" * 80))
+    monkeypatch.setattr(queries.K, "damage", lambda sent, seed, kind: F.when(F.length(sent) > byte + 320, F.overlay(sent, junk, F.lit(byte))).otherwise(sent))
+    assert {r.doc_id: r.payload for r in run(spark, str(tmp_path)).collect()} == {1: "short", 2: None}
