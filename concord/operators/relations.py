@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from concord.plans.work import cut_small, drop
+
 
 def lookup(facts: DataFrame, names: DataFrame, key: str, name: str, default: Column | None = None) -> DataFrame:
     """facts with name from names (one row a key); `#` and the key where there is none. Spark broadcasts names if they are small."""
@@ -108,15 +110,27 @@ def only_candidate(clues: DataFrame, key: str, clue: str, candidate: str) -> Dat
     return full.groupBy(key).agg(F.count("*").alias("_k"), F.min(candidate).alias(candidate)).filter("_k = 1").drop("_k")
 
 
-def chain(links: DataFrame, key: str, following: str, start: DataFrame, most: int = 1000) -> DataFrame:
-    """start key, key, step: the records that `following` leads to, by a recursive query; a chain ends after `most` steps."""
-    links.select(key, following).createOrReplaceTempView("_links")
-    start.select(F.col(key).alias("start")).createOrReplaceTempView("_start")
-    return links.sparkSession.sql(f"""
-        WITH RECURSIVE c(start, {key}, step) MAX RECURSION LEVEL {most + 5} AS (
-          SELECT start, start AS {key}, 0 AS step FROM _start
-          UNION ALL SELECT c.start, l.{following}, c.step + 1 FROM c JOIN _links l ON c.{key} = l.{key} WHERE l.{following} IS NOT NULL AND c.step < {most})
-        SELECT start, {key}, step FROM c""")
+def chain(links: DataFrame, key: str, following: str, start: DataFrame) -> DataFrame:
+    """start key, key, step: the records that `following` leads to, each chain to its end.
+
+    Jumps are doubled: a round joins what was reached so far with jumps as long as that, so a chain of n records takes log2(n)
+    rounds, each a table in the shared folder. A chain that comes back to itself has no end and is refused.
+    """
+    jump = cut_small(links.filter(F.col(following).isNotNull()).select(F.col(key).alias("_from"), F.col(following).alias("_to")), "jumps")
+    records, length = jump.select("_from").union(jump.select("_to")).distinct().count(), 1
+    reached = cut_small(start.select(F.col(key).alias("start"), F.col(key), F.lit(0).alias("step")), "reached")
+    while True:
+        # What was reached has all steps below `length`, and a jump is so many steps.
+        more = cut_small(reached.join(jump, F.col(key) == F.col("_from")).select("start", F.col("_to").alias(key), (F.col("step") + length).alias("step")), "reached")
+        if more.isEmpty():
+            return reached
+        if length >= records:
+            raise ValueError("a chain leads back to itself")
+        new = cut_small(reached.union(more), "reached")
+        twice = cut_small(jump.join(jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_next")), "_to").select("_from", F.col("_next").alias("_to")), "jumps")
+        for df in (reached, more, jump):
+            drop(df)
+        reached, jump, length = new, twice, 2 * length
 
 
 def united(views: Sequence[tuple[str, DataFrame]]) -> DataFrame:

@@ -527,6 +527,18 @@ def J16_continuation_chain(spark, sf_dir):
     return relations.chain(o.withColumn("nx", F.when(F.col("k") * 2 <= most, F.col("k") * 2)), "k", "nx", o.filter("k % 2 = 1 AND k < 100"))
 
 
+@query("""
+WITH RECURSIVE l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey * 2 <= (SELECT max(o_orderkey) FROM orders) THEN o_orderkey * 2 END AS nx FROM orders),
+c AS (SELECT k AS start, k, 0 AS step FROM l WHERE k NOT IN (SELECT nx FROM l WHERE nx IS NOT NULL) UNION ALL SELECT c.start, l.nx, step + 1 FROM c JOIN l ON c.k = l.k WHERE l.nx IS NOT NULL)
+SELECT start, k, step FROM c""")
+def J16_all_chains(spark, sf_dir):
+    """J16_continuation_chain from every record that no other points to."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    most = o.agg(F.max("k")).first()[0]
+    l = o.withColumn("nx", F.when(F.col("k") * 2 <= most, F.col("k") * 2))  # noqa: E741
+    return relations.chain(l, "k", "nx", o.join(l.select(F.col("nx").alias("k")), "k", "left_anti"))
+
+
 @query("""
 SELECT o_orderkey, count(l_orderkey) AS blocks, count(l_orderkey) = 4 AS whole FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 4) ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
 def J17_blocks_of_catalogue(spark, sf_dir):
@@ -957,6 +969,18 @@ def G04_own_orphans(spark, sf_dir):
     return recovery.own_orphans(rows, loose, ["lang"], "row", "text")
 
 
+@query("""
+WITH r AS (SELECT DISTINCT source, lang, line FROM (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 5), o AS (SELECT DISTINCT doc_id AS orphan, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 5),
+m AS (SELECT orphan, lang, count(DISTINCT line) AS n FROM o JOIN (SELECT DISTINCT lang, line FROM r) USING (line) GROUP BY orphan, lang), k AS (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY n DESC, lang DESC) AS rn, lead(n, 1, 0) OVER (PARTITION BY orphan ORDER BY n DESC, lang DESC) AS second FROM m)
+SELECT orphan, lang, n FROM k WHERE rn = 1 AND n >= 3 AND n >= 3 * second""")
+def G04_all_orphans(spark, sf_dir):
+    """G04_own_orphans with every document as an orphan."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).filter("length(line) > 5")
+    rows = d.select("lang", F.col("line").alias("text")).distinct().withColumn("row", F.col("text"))
+    loose = d.select(F.col("doc_id").alias("orphan"), F.col("line").alias("text")).distinct().withColumn("row", F.col("text"))
+    return recovery.own_orphans(rows, loose, ["lang"], "row", "text")
+
+
 @query("""
 WITH p AS (SELECT o_custkey, o_orderkey, i AS k, CASE WHEN (o_orderkey + i) % 3 = 0 THEN 0 ELSE ascii(substr(o_orderpriority, i::int, 1)) END AS b FROM orders, unnest(range(1, 6)) AS t(i)),
 v AS (SELECT o_custkey, k, b, row_number() OVER (PARTITION BY o_custkey, k ORDER BY count(*) DESC, b) AS rn FROM p WHERE b <> 0 GROUP BY o_custkey, k, b)

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concord import queries
+from concord.operators import relations
 
 
 def test_pages_of_all_documents_and_whole_texts(spark, tmp_path):
@@ -24,3 +25,23 @@ def test_round_trips_are_of_whole_texts(spark, tmp_path, monkeypatch, name, byte
     junk = F.unhex(F.lit("5A0F33C1" * 80))
     monkeypatch.setattr(queries.K, "damage", lambda sent, seed, kind: F.when(F.length(sent) > byte + 320, F.overlay(sent, junk, F.lit(byte))).otherwise(sent))
     assert {r.doc_id: r.payload for r in run(spark, str(tmp_path)).collect()} == {1: "short", 2: None}
+
+
+def test_chains_go_to_their_end(spark):
+    links = spark.createDataFrame([(k, k + 1 if k < 1500 else None) for k in range(1501)] + [(9000, 9001), (9001, 9000)], "k long, nx long")
+    got = relations.chain(links, "k", "nx", spark.createDataFrame([(0,), (1498,)], "k long")).collect()
+    assert sorted(map(tuple, got)) == [(0, k, k) for k in range(1501)] + [(1498, 1498 + k, k) for k in range(3)]
+    with pytest.raises(ValueError, match="itself"):
+        relations.chain(links, "k", "nx", spark.createDataFrame([(9000,)], "k long"))
+
+
+def test_chains_of_all_orders(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in range(1, 401)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {(r.start, r.k) for r in queries.J16_all_chains(spark, str(tmp_path)).collect()}
+    assert got == {(s, s << n) for s in range(1, 401, 2) for n in range(9) if s << n <= 400}
+
+
+def test_all_documents_can_be_orphans(spark, tmp_path):
+    text = "first line\nsecond line\nthird line"
+    spark.createDataFrame([(1, "s", "en", text), (7, "s", "en", text)], "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, queries.G04_all_orphans(spark, str(tmp_path)).collect())) == [(1, "en", 3), (7, "en", 3)]
