@@ -901,6 +901,14 @@ def D24_files_from_blocks(spark, sf_dir):
     return services.assemble(blocks, "source", "k", "d", "n").select("source", F.sha2("data", 256).alias("data"), "blocks", "whole")
 
 
+@query("SELECT CAST(source AS varchar) AS source, sha256(string_agg(part, '' ORDER BY k)) AS data, count(*) AS blocks, count(*) = 5 AS whole FROM (SELECT source, doc_id % 5 AS k, min(regexp_replace(text, '[^ -~]', '', 'g')) AS part FROM documents GROUP BY source, doc_id % 5) GROUP BY source")
+def D24_files_from_texts(spark, sf_dir):
+    """D24_files_from_blocks with whole texts as blocks."""
+    whole = F.regexp_replace("text", "[^ -~]", "")
+    blocks = table(spark, sf_dir, "documents").groupBy("source", (F.col("doc_id") % 5).alias("k")).agg(F.min(whole).alias("t")).select("source", "k", F.col("t").cast("binary").alias("d"), F.lit(5).alias("n"))
+    return services.assemble(blocks, "source", "k", "d", "n").select("source", F.sha2("data", 256).alias("data"), "blocks", "whole")
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, grouping_id(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def A20_cube(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.grouping_id().alias("level"))

@@ -1,5 +1,7 @@
 """Queries that take whole tables and whole texts."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,10 @@ def test_all_documents_can_be_orphans(spark, tmp_path):
     text = "first line\nsecond line\nthird line"
     spark.createDataFrame([(1, "s", "en", text), (7, "s", "en", text)], "doc_id long, source string, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert sorted(map(tuple, queries.G04_all_orphans(spark, str(tmp_path)).collect())) == [(1, "en", 3), (7, "en", 3)]
+
+
+def test_files_from_whole_texts(spark, tmp_path):
+    texts = [f"{k} a block of a whole text, longer than ten characters" for k in range(5)]
+    spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = queries.D24_files_from_texts(spark, str(tmp_path)).first()
+    assert (r.data, r.blocks, r.whole) == (hashlib.sha256("".join(texts).encode()).hexdigest(), 5, True)
