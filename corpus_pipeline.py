@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens, n_fixed, round_trip: the ids of each document, checked by decoding."""
+    """doc_id, ids, n_tokens, n_differ, round_trip: the ids of each document, checked by decoding."""
     return sentencepiece_backend.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
