@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from concord.functions import codes
+from concord.plans.work import arrow_udf
 
 # --- built-in expressions over one byte (an int) or over BINARY
 
@@ -137,7 +138,7 @@ def by_length(values: pd.Series, f: Callable[[np.ndarray], np.ndarray]) -> pd.Se
 def crc_column(data: Column, width: int, poly: int, *, init: int = 0, reflected: bool = True) -> Column:
     """Any CRC of BINARY as a long."""
 
-    @F.pandas_udf("long")
+    @arrow_udf("long")
     def run(values: pd.Series) -> pd.Series:
         return by_length(values, lambda rows: codes.crc(rows, width, poly, init=init, reflected=reflected).astype(np.int64)).astype("Int64")
 
@@ -147,7 +148,7 @@ def crc_column(data: Column, width: int, poly: int, *, init: int = 0, reflected:
 def encode_bytes(data: Column, kind: str) -> Column:
     """BINARY of bytes under a code, for round trips: parity (a byte each), hamming84 (two), hamming2418 (three for 18 bits)."""
 
-    @F.pandas_udf("binary")
+    @arrow_udf("binary")
     def run(values: pd.Series) -> pd.Series:
         return by_length(values, lambda rows: [encode(row, kind) for row in rows])
 
@@ -157,7 +158,7 @@ def encode_bytes(data: Column, kind: str) -> Column:
 def decode_bytes(data: Column, size: Column, kind: str) -> Column:
     """The bytes again: BINARY of `size` bytes, null where any byte can't be read."""
 
-    @F.pandas_udf("binary")
+    @arrow_udf("binary")
     def run(values: pd.Series, sizes: pd.Series) -> pd.Series:
         return pd.Series([None if v is None else decode(np.frombuffer(v, np.uint8), int(n), kind) for v, n in zip(values, sizes, strict=True)])
 
@@ -225,7 +226,7 @@ def decode(data: np.ndarray, size: int, kind: str) -> bytes | None:
 def damage(data: Column, seed: Column, kind: str) -> Column:
     """What the code can mend, put into its words at places that `seed` decides: one wrong bit a Hamming word, two a BCH word, eight a difference-set word, two wrong bytes a product block."""
 
-    @F.pandas_udf("binary")
+    @arrow_udf("binary")
     def run(values: pd.Series, seeds: pd.Series) -> pd.Series:
         out = []
         for v, s in zip(values, seeds, strict=True):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from concord.operators import votes
 from concord.operators.graph import components
-from concord.plans.work import cut_small
+from concord.plans.work import cut_small, shipped
 
 #: Named weights of similarity: of a header, of a text row, of its length agreeing, and the least similarity of a group.
 PROFILES = {"even": (1.0, 1.0, 0.0, 0.80), "text": (0.25, 1.0, 0.5, 0.85), "strict": (1.0, 1.0, 1.0, 0.92), "loose": (0.0, 1.0, 0.0, 0.65)}
@@ -57,7 +57,7 @@ def first_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], text: st
         return rows[[*names, "cluster", "members"]]
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(*keys).applyInPandas(fit, f"{kinds}, cluster int, members long")
+    return shipped(df).groupBy(*keys).applyInPandas(fit, f"{kinds}, cluster int, members long")
 
 
 def custom_groups(pages: DataFrame, keys: Sequence[str], order: str, header: str, text: str, profile: str = "even") -> DataFrame:
@@ -84,7 +84,7 @@ def custom_groups(pages: DataFrame, keys: Sequence[str], order: str, header: str
         return rows[[*keys, order, "group"]]
 
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in [*keys, order])
-    return pages.groupBy(*keys).applyInPandas(fit, f"{kinds}, group int")
+    return shipped(pages).groupBy(*keys).applyInPandas(fit, f"{kinds}, group int")
 
 
 def consensus_quality(cells: DataFrame, keys: Sequence[str], group: str, place: str, value: str) -> DataFrame:
@@ -191,7 +191,7 @@ def vote_with_slip(df: DataFrame, keys: Sequence[str], order: str, data: str, *,
         return pd.DataFrame([(*[rows[k].iloc[0] for k in keys], tally.argmax(axis=1).astype(np.uint8).tobytes(), len(copies), dropped)], columns=[*keys, data, "copies", "dropped"])
 
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, {data} binary, copies int, dropped int")
+    return shipped(df).groupBy(*keys).applyInPandas(run, f"{kinds}, {data} binary, copies int, dropped int")
 
 
 def combine_copies(df: DataFrame, keys: Sequence[str], data: str, order: Column) -> DataFrame:

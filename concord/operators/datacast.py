@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from concord.functions import codes
 from concord.functions import columns as K
 from concord.operators import similarity, votes
+from concord.plans.work import arrow_udf, shipped
 
 
 def learnt_check(df: DataFrame, keys: Sequence[str], payload: str, sent: str, *, width: int = 32, poly: int = 0x04C11DB7) -> DataFrame:
@@ -49,13 +50,13 @@ def implied_index(rows: DataFrame, keys: Sequence[str], order: str, data: str, s
 
     names = rows.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, index int, good boolean")
+    return shipped(rows).groupBy(*keys).applyInPandas(run, f"{kinds}, index int, good boolean")
 
 
 def continuations(lines: DataFrame, keys: Sequence[str], order: str, tail: str, head: str, check: str, reach: int = 4, hits: int = 2, lead: int = 3) -> DataFrame:
     """keys, distance: how many lines on a record that a line end cuts goes on. For every distance, the records (tail here, head there) whose CRC-32 comes out right are counted; the best distance needs `hits` and `lead` times the second's."""
 
-    @F.pandas_udf("boolean")
+    @arrow_udf("boolean")
     def right(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([x is not None and y is not None and zlib.crc32(bytes(x) + bytes(y)) == z for x, y, z in zip(a, b, c, strict=True)])
 
@@ -145,13 +146,13 @@ def captions(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
         return pd.DataFrame([(*first, *c) for c in cues], columns=[*keys, "start", "end", "text"]).astype({"start": "int64", "end": "Int64"})
 
     kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
-    return pairs.groupBy(*keys).applyInPandas(run, f"{kinds}, start long, end long, text string")
+    return shipped(pairs).groupBy(*keys).applyInPandas(run, f"{kinds}, start long, end long, text string")
 
 
 def bit_planes(data: Column) -> Column:
     """Eight seven-bit bytes to seven bytes, each bit plane one of them, over all of the data (BINARY of a multiple of eight)."""
 
-    @F.pandas_udf("binary")
+    @arrow_udf("binary")
     def run(values: pd.Series) -> pd.Series:
         out = []
         for v in values:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from concord.functions import codes
 from concord.functions import columns as K
 from concord.operators import votes
+from concord.plans.work import arrow_udf
 
 WIDTH = 40
 
@@ -131,7 +132,7 @@ def text_row(magazine: Column, row: Column, text: Column) -> Column:
 
 
 def _packet(parts: Column) -> Column:
-    @F.pandas_udf("binary")
+    @arrow_udf("binary")
     def run(rows: pd.DataFrame) -> pd.Series:
         out = []
         for m, r, p, s, c, t in zip(rows["m"], rows["r"], rows["p"], rows["s"], rows["c"], rows["t"], strict=True):

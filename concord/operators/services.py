@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import codes
 from concord.functions import columns as K
+from concord.plans.work import arrow_udf
 
 #: What the first three bits of the signalling say, and types of files by their first bytes (hex).
 ASPECTS = ("4:3 full", "14:9 letterbox centre", "14:9 letterbox top", "16:9 letterbox centre", "16:9 letterbox top", "more than 16:9 letterbox centre", "14:9 full", "16:9 full")
@@ -43,7 +44,7 @@ def plausible_label(label: Column) -> Column:
 def make_label(day: Column, month: Column, hour: Column, minute: Column, cni: Column, pty: Column) -> Column:
     """The 13 bytes of a label."""
 
-    @F.pandas_udf("binary")
+    @arrow_udf("binary")
     def run(d: pd.Series, m: pd.Series, h: pd.Series, n: pd.Series, c: pd.Series, p: pd.Series) -> pd.Series:
         d, m, h, n, c, p = (x.to_numpy(np.int64) for x in (d, m, h, n, c, p))
         pil = d << 15 | m << 11 | h << 6 | n
@@ -85,7 +86,7 @@ def monitor_word(word: Column) -> Column:
 def time_code_line(bits: Column) -> Column:
     """h, m, s, f, drop, user (long) of a time code line given as a string of 90 zeros and ones; null where a sync pair or the check is wrong."""
 
-    @F.pandas_udf("h int, m int, s int, f int, drop boolean, user long")
+    @arrow_udf("h int, m int, s int, f int, drop boolean, user long")
     def run(lines: pd.Series) -> pd.DataFrame:
         out = []
         for line in lines:

@@ -7,10 +7,12 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 #: For folders on a mounted file system: no checksum file beside each of a work table's files, and so a third of the processes
@@ -19,9 +21,15 @@ SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.i
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset, a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all run in one process, a folder of our own.
+
+    On a cluster a local folder would lose what other machines write, so there an unset spark.checkpoint.dir is an error.
+    """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         got = "file://" + tempfile.mkdtemp(prefix="concord-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -80,6 +88,29 @@ def drop(df: DataFrame) -> None:
         remove(df.sparkSession, path)
 
 
+def own_session(df: DataFrame, conf: dict[str, str]) -> DataFrame:
+    """df in a session of its own, a copy of the one it came from with some settings changed there and nowhere else."""
+    spark = df.sparkSession
+    copied = spark._jsparkSession.cloneSession()
+    session = SparkSession(spark.sparkContext, copied)
+    for key, value in conf.items():
+        session.conf.set(key, value)
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(copied, df._jdf.logicalPlan()), session)
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, after seeing that Python on the executors has this package."""
+    ship(df.sparkSession)
+    return df
+
+
+def arrow_udf(kind: str) -> Callable[[Callable], Callable]:
+    """pandas_udf with results of this type, for functions that need this package on the executors."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+    return F.pandas_udf(kind)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once a session, so that their Python finds it wherever they run."""
     sc = spark.sparkContext

@@ -81,6 +81,7 @@ class PageStore:
                 held = voted(held, payload)
             return pd.DataFrame([(*key, seen, [{"payload": p, "votes": v} for p, v in held])], columns=[*keys, "seen", "candidates"])
 
+        ship(self.spark)
         merged = self.table.groupBy(*self.KEYS).cogroup(rows.groupBy(*self.KEYS)).applyInPandas(update, self.SCHEMA)
         self.table = cut_small(merged, f"pages-{number}")
         self.done.add(number)
