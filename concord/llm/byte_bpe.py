@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import arrow_limits, pieces, text_buffer
+from .common import bounded, pieces, text_buffer
 from .piece_table import PieceTable, sums
 from .words import hash_words
 
@@ -206,7 +206,7 @@ def byte_bpe(path: str) -> ByteBpe:
 
 def token_counts(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (more tokens than limit), n_whole (pre-tokens that are proven whole tokens) of each row."""
-    arrow_limits(docs.sparkSession)
+    docs = bounded(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -6,29 +6,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from concord.plans.work import cut, cut_small, drop, hold, let_go, shared_dir, ship, work_path
+from concord.plans.work import cut, cut_small, drop, hold, let_go, own_session, shared_dir, ship, work_path
 
-__all__ = ["arrow_limits", "ascii_lower", "cut", "cut_small", "drop", "hold", "let_go", "pieces", "shared_dir", "short_batches", "text_buffer", "text_key", "work_path"]
+__all__ = ["ascii_lower", "bounded", "cut", "cut_small", "drop", "hold", "let_go", "pieces", "shared_dir", "text_buffer", "text_key", "work_path"]
 
 #: What one Python call gets at once: rows and bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
-def arrow_limits(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
-    """Bound the Arrow batches that go to Python, so that long texts don't pile up in a worker, and see that workers have this package."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
-    short_batches(spark)
-
-
-def short_batches(spark: SparkSession) -> None:
-    """Read columns of long texts a few rows at once: a reader's buffers hold whole batches, and double as they fill."""
-    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
-    spark.conf.set("spark.sql.inMemoryColumnarStorage.batchSize", "1000")
+def bounded(docs: DataFrame, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> DataFrame:
+    """docs in a session of its own with short batches, so that long texts don't pile up in readers and workers; the user's settings stay as they are.
+
+    A reader's buffers hold whole batches of rows and double as they fill. Workers are sent this package.
+    """
+    ship(docs.sparkSession)
+    return own_session(
+        docs,
+        {
+            "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+            "spark.sql.execution.arrow.maxBytesPerBatch": str(size),
+            "spark.sql.parquet.columnarReaderBatchSize": "256",
+            "spark.sql.inMemoryColumnarStorage.batchSize": "1000",
+        },
+    )
 
 
 def ascii_lower(c: Column) -> Column:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, cut, pieces, text_buffer
+from .common import bounded, cut, pieces, text_buffer
 from .crf_language import held_out as _held_out
 from .words import LOWER, hash_words, split
 
@@ -283,7 +283,7 @@ def learn_tree(counts: DataFrame, depth: int, nodes: int) -> ContextTree:
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH, nodes: int = NODES, common: int = COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of each row, learnt from the rows that aren't held out."""
     spark = docs.sparkSession
-    arrow_limits(spark)
+    docs = bounded(docs)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
     counts = cut(counted(keyed.filter("doc_id IS NOT NULL AND NOT held_out").select("text"), depth), "counts")

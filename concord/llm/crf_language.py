@@ -5,10 +5,11 @@ hashed into a fixed table of weights for each language; learned transitions join
 every word a distribution over languages, so that the parts of code-switched text are told apart, and a document's language is
 the one with the largest share of words with letters.
 
-Training takes a bounded sample: PER_LANGUAGE documents of each of the MAX_LANGUAGES commonest languages, picked by a hash of
-their id, an excerpt of EXCERPT characters of each. Excerpts are mixed into sequences that switch language after a few words, so
-that transitions can be learnt. Predictions read whole texts: long ones in chunks whose transfer matrices are multiplied
-together, which is the same chain.
+Training takes a bounded sample of every language there is: the PER_LANGUAGE texts with the least hashes, fewer if that is more
+than SAMPLE over all languages but never less than one, and an excerpt of EXCERPT characters of each. The sample and its order
+depend on the texts alone. Excerpts are mixed into sequences that switch language after a few words, so that transitions can be
+learnt. Predictions read whole texts: long ones in chunks whose transfer matrices are multiplied together, which is the same
+chain. Memory grows in proportion to the number of languages, on the driver (weights) and in workers (marginals).
 
 Defined results: null text, or text without a letter, is `und` with score 0; without training documents all are; a row without
 an id is neither trained on nor held out; repeated rows count as often as they are there; an empty table gives no rows.
@@ -21,15 +22,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, pieces, text_buffer
+from .common import bounded, cut_small, pieces, text_buffer
 from .words import LOWER, SEEDS, hash_words, mix, split
 
 U = np.uint64
-PER_LANGUAGE, EXCERPT, MAX_LANGUAGES = 400, 1500, 64
-#: Weights of a language, words of a training sequence, sequences, training steps, words of a chunk.
-SLOTS, LENGTH, SEQUENCES, STEPS, CHUNK = 1 << 16, 48, 3000, 60, 256
+PER_LANGUAGE, EXCERPT, SAMPLE = 400, 1500, 25_600
+#: Weights of a language, words of a training sequence, sequences (or so many a language), training steps, words of a chunk, numbers
+#: of an array over sequences in training.
+SLOTS, LENGTH, SEQUENCES, EACH, STEPS, CHUNK, AT_ONCE = 1 << 16, 48, 3000, 40, 60, 256, 1 << 21
 UNDETERMINED = "und"
 
 
@@ -65,16 +68,17 @@ def forward_backward(pot: np.ndarray, first: np.ndarray, start: np.ndarray, step
     chains = np.flatnonzero(sizes > 0)
     if not len(chains):
         return out
-    parts = -(-sizes[chains] // CHUNK)
+    chunk = CHUNK * max(1, k * k // 4096)  # transfer matrices of many languages are large, so there are fewer
+    parts = -(-sizes[chains] // chunk)
     head = np.concatenate([[0], np.cumsum(parts)])
     of = np.repeat(np.arange(len(chains)), parts)
-    begin = first[chains][of] + CHUNK * (np.arange(len(of)) - head[of])
-    size = np.minimum(CHUNK, first[chains + 1][of] - begin)
+    begin = first[chains][of] + chunk * (np.arange(len(of)) - head[of])
+    size = np.minimum(chunk, first[chains + 1][of] - begin)
     order = np.argsort(-size, kind="stable")  # longest first, so that those still running are a prefix
     begin, size = begin[order], size[order]
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    running = np.searchsorted(-size, -np.arange(CHUNK), "left")  # chunks with more words than t
+    running = np.searchsorted(-size, -np.arange(chunk), "left")  # chunks with more words than t
     steps = int(size[0])
     step = step.astype(np.float32)
     entry = np.tile(start.astype(np.float32), (len(order), 1))
@@ -153,6 +157,31 @@ class Crf:
         return np.where(n > 0, best, -1), np.where(n > 0, score, 0.0)
 
 
+def gradient(pot: np.ndarray, y: np.ndarray, begin: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(truth less expectation of each word's label, and of each pair of neighbouring labels) of sequences of one length.
+
+    pot: sequences x words x languages, y: the true labels, begin and trans: potentials of the first label and of transitions. These
+    are the derivatives of the log likelihood by the scores whose exponentials the potentials are.
+    """
+    n, length, k = pot.shape
+    alpha, beta = np.empty(pot.shape), np.ones(pot.shape)
+    for t in range(length):
+        a = (begin if t == 0 else alpha[:, t - 1] @ trans) * pot[:, t]
+        alpha[:, t] = a / a.sum(axis=1, keepdims=True)
+    pairs = np.zeros((k, k))
+    np.add.at(pairs, (y[:, :-1], y[:, 1:]), 1)
+    for t in range(length - 2, -1, -1):
+        ahead = pot[:, t + 1] * beta[:, t + 1]
+        b = ahead @ trans.T
+        pairs -= trans * ((alpha[:, t] / (alpha[:, t] * b).sum(axis=1, keepdims=True)).T @ ahead)
+        beta[:, t] = b / b.sum(axis=1, keepdims=True)
+    post = alpha * beta
+    post /= post.sum(axis=2, keepdims=True)
+    gap = -post
+    gap[np.arange(n)[:, None], np.arange(length), y] += 1
+    return gap, pairs
+
+
 def fit(excerpts: list[tuple[str, str]], seed: int = 7) -> Crf | None:
     """A field learnt from (text, language) excerpts, by Adam on the conditional likelihood of mixed sequences."""
     languages = sorted({lang for _, lang in excerpts})
@@ -164,10 +193,10 @@ def fit(excerpts: list[tuple[str, str]], seed: int = 7) -> Crf | None:
         return None
     rng, k = np.random.default_rng(seed), len(languages)
     # Sequences: pieces of 4 to 24 words from documents of any language, end to end.
-    docs = [np.flatnonzero(np.array([lang for _, lang in excerpts]) == x) for x in languages]
-    docs = [d[np.diff(first)[d] > 0] for d in docs]
+    of = np.array([languages.index(lang) for _, lang in excerpts])
+    docs = [d[np.diff(first)[d] > 0] for d in (np.flatnonzero(of == j) for j in range(k))]
     some = [j for j in range(k) if len(docs[j])]
-    index = np.zeros((SEQUENCES, LENGTH), np.int64)
+    index = np.zeros((max(SEQUENCES, EACH * len(some)), LENGTH), np.int64)
     for row in index:
         filled = 0
         while filled < LENGTH:
@@ -178,33 +207,29 @@ def fit(excerpts: list[tuple[str, str]], seed: int = 7) -> Crf | None:
             row[filled : filled + take] = np.arange(begin, begin + take)
             filled += take
     _, lead, which = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
-    word, slot = features(data, starts[lead], ends[lead])
+    # Only words of the sequences are learnt from.
+    held, x = np.unique(which[index], return_inverse=True)
+    x, y = x.reshape(index.shape), label[index]
+    word, slot = features(data, starts[lead[held]], ends[lead[held]])
     used, column = np.unique(slot, return_inverse=True)
-    x, y = which[index], label[index]
     weights, start, step = np.zeros((len(used), k)), np.zeros(k), np.eye(k)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (weights, start, step)]
-    truth = np.eye(k)[y]
-    pairs = np.zeros((k, k))
-    np.add.at(pairs, (y[:, :-1], y[:, 1:]), 1)
+    parts = np.array_split(np.arange(len(x)), -(-x.size * k // AT_ONCE))
     for turn in range(1, STEPS + 1):
-        score = np.stack([np.bincount(word, weights[column, j], len(lead)) for j in range(k)], axis=1)
-        pot = np.exp(score - score.max(axis=1, keepdims=True))[x]
-        trans, begin = np.exp(step - step.max()), np.exp(start - start.max())
-        alpha, beta = np.empty(pot.shape), np.ones(pot.shape)
-        for t in range(LENGTH):
-            a = (begin if t == 0 else alpha[:, t - 1] @ trans) * pot[:, t]
-            alpha[:, t] = a / a.sum(axis=1, keepdims=True)
-        for t in range(LENGTH - 2, -1, -1):
-            b = (pot[:, t + 1] * beta[:, t + 1]) @ trans.T
-            beta[:, t] = b / b.sum(axis=1, keepdims=True)
-        post = alpha * beta
-        post /= post.sum(axis=2, keepdims=True)
-        both = alpha[:, :-1, :, None] * trans * (pot[:, 1:] * beta[:, 1:])[:, :, None, :]
-        both /= both.sum(axis=(2, 3), keepdims=True)
-        gap = (truth - post).reshape(-1, k)
-        by_word = np.stack([np.bincount(x.ravel(), gap[:, j], len(lead)) for j in range(k)], axis=1)
-        grads = [np.stack([np.bincount(column, by_word[word, j], len(used)) for j in range(k)], axis=1) - 0.02 * weights, (truth - post)[:, 0].sum(axis=0) - 0.1 * start, pairs - both.sum(axis=(0, 1)) - 0.1 * step]
-        for p, g, m in zip((weights, start, step), grads, moments, strict=True):
+        score = np.stack([np.bincount(word, weights[column, j], len(held)) for j in range(k)], axis=1)
+        pot = np.exp(score - score.max(axis=1, keepdims=True))
+        by_word, grads = np.zeros((len(held), k)), [np.zeros_like(p) for p in (weights, start, step)]
+        for part in parts:
+            gap, pairs = gradient(pot[x[part]], y[part], np.exp(start - start.max()), np.exp(step - step.max()))
+            grads[1] += gap[:, 0].sum(axis=0)
+            grads[2] += pairs
+            flat, gap = x[part].ravel(), gap.reshape(-1, k)
+            for j in range(k):
+                by_word[:, j] += np.bincount(flat, gap[:, j], len(held))
+        for j in range(k):
+            grads[0][:, j] = np.bincount(column, by_word[word, j], len(used))
+        for p, g, m, pull in zip((weights, start, step), grads, moments, (0.02, 0.1, 0.1), strict=True):
+            g -= pull * p
             m[0] += 0.1 * (g - m[0])
             m[1] += 0.01 * (g * g - m[1])
             p += 0.1 * (m[0] / (1 - 0.9**turn)) / (np.sqrt(m[1] / (1 - 0.99**turn)) + 1e-8)
@@ -214,33 +239,35 @@ def fit(excerpts: list[tuple[str, str]], seed: int = 7) -> Crf | None:
 
 
 def excerpts(docs: DataFrame, train: Column, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
-    """The sample that is trained on: at most about PER_LANGUAGE x MAX_LANGUAGES excerpts reach the driver."""
-    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
+    """The sample that is trained on, by language and hash of the text: what reaches the driver is at most SAMPLE excerpts, or one a language.
+
+    Copies of a text count once. A first pass counts the distinct texts of each language roughly, so that the second need not sort
+    many more than are wanted.
+    """
+    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    counts = cut_small(rows.groupBy("l").agg(F.approx_count_distinct("h", 0.05).alias("n")), "languages")
+    each = max(1, min(PER_LANGUAGE, SAMPLE // max(1, counts.count())))
     span = 1 << 40
-    limit = F.lit(None).cast("long")
-    for r in counts:
-        limit = F.when(F.col(lang) == r.l, F.lit(min(span, int(span * PER_LANGUAGE / r.n) + 1))).otherwise(limit)
-    h = F.xxhash64(doc_id, F.length(text))
-    picked = rows.filter(F.pmod(h, F.lit(span)) < limit)
-    where = F.pmod(F.xxhash64(F.lit(3), doc_id), F.greatest(F.length(text) - EXCERPT, F.lit(0)) + 1).cast("int") + 1
-    return [(r.t, r.l) for r in picked.select(F.substring(F.col(text), where, F.lit(EXCERPT)).alias("t"), F.col(lang).alias("l")).limit(2 * PER_LANGUAGE * len(counts)).collect()]
+    limit = F.ceil(F.lit(float(span)) * (2 * each + 20) / F.col("n"))
+    where = F.pmod(F.xxhash64(F.lit(3), "h"), F.greatest(F.length("t") - EXCERPT, F.lit(0)) + 1).cast("int") + 1
+    near = rows.join(counts, "l").filter(F.pmod("h", F.lit(span)) < limit).select("l", "h", F.substring("t", where, F.lit(EXCERPT)).alias("t"))
+    once = near.groupBy("l", "h").agg(F.min("t").alias("t"))
+    picked = once.withColumn("rank", F.row_number().over(W.partitionBy("l").orderBy(F.pmod("h", F.lit(span)), "h"))).filter(F.col("rank") <= each)
+    return [(r.t, r.l) for r in picked.select("l", "rank", "t").orderBy("l", "rank").collect()]
 
 
 def predict(docs: DataFrame, model: Crf | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """row (a struct of the columns in keep, or all), lang_pred, score of each row."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    shared = spark.sparkContext.broadcast(model)
+    docs = bounded(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    size = (2 << 20) * 16 // max(16, len(model.languages) if model else 0)
     names = keep if keep is not None else docs.columns
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("has"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = shared.value
         for batch in batches:
-            for some in pieces(batch, "text"):
+            for some in pieces(batch, "text", size):
                 has = some.column("has").to_numpy(zero_copy_only=False)
                 best, score = crf.predict(some.column("text")) if crf else (np.full(len(has), -1), np.zeros(len(has)))
                 known = np.array([*crf.languages, UNDETERMINED] if crf else [UNDETERMINED], object)
@@ -256,6 +283,7 @@ def held_out(doc_id: str, parts: int = 4, part: int = 2) -> Column:
 
 def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Crf | None:
     """A field from the documents that aren't held out."""
+    docs = bounded(docs)
     return fit(excerpts(docs, F.col(doc_id).isNotNull() & ~held_out(doc_id), doc_id, text, lang))
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, cut_small, short_batches, text_key
+from .common import ascii_lower, bounded, cut, cut_small, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MAX_LITERALS = 20_000
@@ -57,7 +57,7 @@ def rarest_words(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
 
 def find_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, hits, windows): a row for each document (doc_id, k1, k2, n_words); k1, k2, start, len, w of each place where a window occurs, once for identical texts; item_id, w, len."""
-    short_batches(docs.sparkSession)
+    docs = bounded(docs)
     windows = cut_small(item_windows(items, item_id, item_text, window), "item-windows")
     rare = cut_small(rarest_words(docs, text, windows.select("w", "len").distinct()), "rarest")
     rare = rare.filter("n > 0")  # a word that no document has

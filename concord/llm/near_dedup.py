@@ -7,7 +7,7 @@ others, so pairs grow with members and not with their square. Pairs are confirme
 holds members of several components, those outside the hub's are compared with all of the star, block by block inside tasks, and
 only links that join components come out. While that would be very many pairs a member (a giant group), some of those outside
 first become hubs of their own, which joins nearly all of them at a cost that grows with members. Either way no pair of a bucket
-is lost, and the pairs inside what is already one component are never made.
+is lost, and no pair inside what is already one component comes out of a task.
 
 BANDS x ROWS bins: a pair with a similarity of 0.8 shares no bucket with a chance of (1 - 0.8^5)^36, about 6e-7.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from concord.operators.graph import components
 
-from .common import arrow_limits, cut, cut_small, drop, hold, let_go, pieces, text_buffer, text_key
+from .common import bounded, cut, cut_small, drop, hold, let_go, pieces, text_buffer, text_key
 from .words import LOWER, SEEDS, hash_words, mix, split
 
 U = np.uint64
@@ -212,8 +212,6 @@ def searched_out(here: DataFrame, open_: DataFrame, sets: DataFrame, percent: in
 
 def grouped(docs: DataFrame, width: int, percent: int, report: dict | None) -> DataFrame:
     """d, k1, k3, n, root (of the component of the row's set; null without shingles) of each row of docs (d, text)."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
     said = report if report is not None else {}
     held: list[DataFrame] = []
     table = hold(sketches(docs, width), held)
@@ -275,6 +273,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     Rows are linked when 100 x shingles in common >= percent x shingles in either. report: gets the counts of each round.
     """
+    docs = bounded(docs)
     of = grouped(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), width, percent, report)
     heads = cut_small(of.filter("root IS NOT NULL").groupBy("root").agg(F.min("d").alias("component_id")), "heads")
     some = of.filter("root IS NOT NULL").join(heads, "root").select("d", "n", "component_id")
@@ -283,7 +282,11 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component, the least by id and then by text, with all columns as they came; rows without words stay."""
+    """One row of each component, the least by id and then by text, with all columns as they came; rows without words stay.
+
+    Of rows with one id and one text, that with the least other columns, as JSON, stays.
+    """
+    docs = bounded(docs)
     k1, k2 = text_key(F.col(text))
     keyed = docs.select(k1, F.xxhash64(doc_id, k1, k2).alias("k3"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     of = grouped(docs.select(F.col(doc_id).alias("d"), F.col(text).alias("text")), width, percent, None)
@@ -291,5 +294,6 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     wordless = ~F.coalesce(F.col(f"row.`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     heads = cut_small(heads, "heads")
     drop(of)
-    chosen = keyed.join(heads, ["k1", "k3"], "left_semi").dropDuplicates(["k1", "k3"])
+    rest = F.to_json(F.struct(F.lit(0).alias("_"), *[F.col(f"row.`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in (doc_id, text)]))
+    chosen = keyed.join(heads, ["k1", "k3"], "left_semi").groupBy("k1", "k3").agg(F.min_by("row", rest).alias("row")).select("row")
     return chosen.select("row.*").union(keyed.filter(wordless).select("row.*"))

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, cut, drop, pieces, text_buffer, text_key
+from .common import bounded, cut, drop, pieces, text_buffer, text_key
 from .words import SEEDS, SPACE, hash_words, mix, split
 
 U = np.uint64
@@ -103,7 +103,7 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
 
 def frequent_minimisers(docs: DataFrame, text: str, window: int) -> tuple[list[int], int]:
     """(minimisers that are hot, number of buckets), from all texts. What reaches the driver is at most HOT_MOST numbers."""
-    arrow_limits(docs.sparkSession)
+    docs = bounded(docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, waiting, size, total, packed = np.zeros(0, U), np.zeros(0, np.int64), [], 0, 0, 0
@@ -260,7 +260,7 @@ def repeated_stretches(docs: DataFrame, *, text: str = "text", window: int = 35)
 
 def remove_repeats(docs: DataFrame, *, text: str = "text", window: int = 35, as_it_was: bool = False) -> DataFrame:
     """row (a struct of all other columns), n_words, n_removed, kept (the words that stay, joined by one space) of each row. as_it_was: a text that loses nothing is kept as it came."""
-    arrow_limits(docs.sparkSession)
+    docs = bounded(docs)
     spans = repeated_stretches(docs, text=text, window=window)
     rest = [c for c in docs.columns if c != text]
     k1, k2 = text_key(F.col(text))

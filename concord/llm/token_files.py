@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .byte_bpe import byte_bpe
-from .common import arrow_limits, cut, pieces, work_path
+from .common import bounded, cut, pieces, work_path
 
 MAGIC = b"CNCRANS1"
 LANES, BLOCK, FILE_TOKENS, FILE_DOCS = 2048, 1 << 18, 1 << 21, 1 << 18
@@ -158,11 +158,16 @@ class TokenFile:
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int, *, doc_id: str = "doc_id", text: str = "text", partitions: int | None = None) -> DataFrame:
-    """Write the files into folder, and return the manifest: part, seq (the order of files), file, n_docs, n_tokens."""
-    arrow_limits(docs.sparkSession)
+    """Write the files into folder, and return the manifest: part, seq (the order of files), file, n_docs, n_tokens.
+
+    Ids of documents are 64-bit integers; what can't be cast to one counts as null. Nulls come first.
+    """
+    docs = bounded(docs)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n = partitions or max(8, rows.rdd.getNumPartitions())
-    rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Rows with one id can go to several files: by a hash of their text, and copies by their place in the input.
+    order = ["doc_id", F.xxhash64("text"), "place"]
+    rows = rows.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(n, *order).sortWithinPartitions(*order).drop("place")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)

@@ -1,7 +1,9 @@
 """Host reputation, language ID, top-k search, context-tree weighting and the pipeline."""
 
 import math
+import itertools
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -83,6 +85,57 @@ def test_language_of_held_out_texts(spark):
     assert {r.lang_pred for r in crf_language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_the_sample_does_not_depend_on_partitions(spark, monkeypatch):
+    """Two layouts of the same rows, with copies, give one model; of many languages, each is learnt."""
+    rng = random.Random(11)
+    monkeypatch.setattr(crf_language, "PER_LANGUAGE", 20)
+    texts = [(sentence(rng, lang, 30), lang) for _ in range(60) for lang in SYLLABLES] + [("ba da ga ma na", "aa")] * 200
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    one = crf_language.excerpts(docs.repartition(1), F.lit(True), "doc_id", "text", "lang")
+    assert one == crf_language.excerpts(docs.repartition(7, "text"), F.lit(True), "doc_id", "text", "lang")
+    assert len(one) == 60 == len(set(one)) and [lang for _, lang in one] == sorted(lang for _, lang in one)
+
+
+def test_eighty_languages_are_learnt(spark):
+    rng = random.Random(12)
+    names = [f"l{k:02d}" for k in range(80)]
+    own = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 7))) for _ in range(12)] for x in names}
+    rows = [(i, " ".join(rng.choices(own[x], k=25)), x) for i, x in enumerate(names * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    tracemalloc.start()
+    model = crf_language.learn(docs)
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+    assert model.languages == names
+    best, _ = model.predict(pa.array([t for _, t, _ in rows[:320]]))
+    assert sum(names[b] == x for b, (_, _, x) in zip(best, rows, strict=False)) >= 310
+
+
+def test_the_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(6)
+    n, length, k = 3, 4, 3
+    scores, y, start, step = rng.normal(size=(n, length, k)), rng.integers(0, k, (n, length)), rng.normal(size=k), rng.normal(size=(k, k))
+
+    def likelihood(scores, step):
+        total = 0.0
+        for s, labels in zip(scores, y, strict=True):
+            def value(path):
+                return start[path[0]] + sum(s[t, path[t]] for t in range(length)) + sum(step[path[t], path[t + 1]] for t in range(length - 1))
+
+            total += value(labels) - np.log(sum(np.exp(value(p)) for p in itertools.product(range(k), repeat=length)))
+        return total
+
+    gap, pairs = crf_language.gradient(np.exp(scores), y, np.exp(start), np.exp(step))
+    for at in [(0, 0, 1), (1, 2, 0), (2, 3, 2)]:
+        d = np.zeros_like(scores)
+        d[at] = 1e-5
+        assert abs((likelihood(scores + d, step) - likelihood(scores - d, step)) / 2e-5 - gap[at]) < 1e-6
+    for at in [(0, 0), (1, 2)]:
+        d = np.zeros_like(step)
+        d[at] = 1e-5
+        assert abs((likelihood(scores, step + d) - likelihood(scores, step - d)) / 2e-5 - pairs[at]) < 1e-6
+
+
 def test_words_of_switched_text_are_told_apart():
     rng = random.Random(3)
     model = crf_language.fit([(sentence(rng, lang, 40), lang) for lang in SYLLABLES for _ in range(40)])
