@@ -5,9 +5,11 @@ have equal minimisers. Consecutive windows that share a minimiser travel as one
 the bucket of that minimiser, many strings to a compressed blob; there the windows are cut out again, sorted and counted. A
 window is compared by two independent 64-bit fingerprints of its words.
 
-A first pass over all texts finds minimisers so frequent that their bucket would not fit a task: there are at most HOT_MOST of
-them, since each has that share of all strings. Their windows don't travel as strings; they are counted one by one, summed on
-the map side first, so that a passage in a third of all texts costs a row a task and window there.
+A first pass over all texts finds minimisers so frequent that their bucket would not fit a task: every STRIDE-th string of every
+task is a sample, whose minimisers are counted over all tasks, so that one that is spread thin is seen as well as one that is
+not. The sample decides how windows are counted and never which. Windows of hot minimisers don't travel as strings; they are
+counted one by one, summed on the map side first, so that a passage in a third of all texts costs a row a task and window there.
+A bucket is read blob by blob, and what is held of a window is its fingerprint and place.
 
 Texts are told apart by 128 bits of their content: identical texts count as often as they are there, have the same repeats, and
 get the same result. A word covered by any repeated window is removed; windows are judged on the input.
@@ -18,11 +20,12 @@ repeated rows are repeats of each other; other columns pass through, whatever th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +35,11 @@ from .words import SEEDS, SPACE, hash_words, mix, split
 U = np.uint64
 #: Words of a gram, windows of a packed string at most, bytes of a bucket about, bytes packed before blobs are made.
 GRAM, LONGEST, BUCKET, HELD = 8, 256, 8 << 20, 32 << 20
-#: A minimiser is hot with an eighth of a bucket's strings; hot ones are at most so many.
-HOT_MOST = 1 << 20
+#: A minimiser is hot with about an eighth of a bucket's bytes. Of every so many strings one is in the sample that finds them; they
+#: are at most HOT_MOST, as beyond that number each must have a larger share.
+STRIDE, HOT_MOST = 64, 1 << 22
+#: Bytes of packed strings that are cut into words at once, and parts that rows of one hot window go to.
+PART, SALTS = 4 << 20, 16
 
 
 def rolling(h: np.ndarray, width: int, seed: np.uint64) -> np.ndarray:
@@ -101,49 +107,42 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(k1, k2, F.concat(F.coalesce(F.col(text), F.lit("")), F.lit(" ")).alias("text"))
 
 
-def frequent_minimisers(docs: DataFrame, text: str, window: int) -> tuple[list[int], int]:
-    """(minimisers that are hot, number of buckets), from all texts. What reaches the driver is at most HOT_MOST numbers."""
-    docs = bounded(docs)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, waiting, size, total, packed = np.zeros(0, U), np.zeros(0, np.int64), [], 0, 0, 0
-
-        def merge() -> None:
-            nonlocal keys, counts, waiting, size
-            every = np.concatenate([keys, *waiting])
-            weights = np.concatenate([counts, np.ones(len(every) - len(counts), np.int64)])
-            keys, at = np.unique(every, return_inverse=True)
-            counts = np.bincount(at, weights, len(keys)).astype(np.int64)
-            if len(keys) > 1 << 20:  # of so many, one seen once has no large share
-                keys, counts = keys[counts > 1], counts[counts > 1]
-            waiting, size = [], 0
+def frequent_minimisers(docs: DataFrame, text: str, window: int) -> tuple[np.ndarray, int]:
+    """(minimisers that are hot, sorted; number of buckets), from all texts. What reaches the driver is at most HOT_MOST numbers."""
+    docs, stride = bounded(docs), STRIDE
 
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Each task begins at another string, so that short ones together are a fair sample too.
+        seen, packed = int(mix(np.array([TaskContext.get().partitionId() + 1], U))[0] % U(stride)), 0
         for batch in batches:
             for some in pieces(batch, "text"):
                 texts = Texts(some.column("text"), window)
                 _, begin, windows, value = texts.runs()
                 packed += int((texts.place[begin + windows + window - 1] - texts.place[begin]).sum())
-                waiting.append(value)
-                size, total = size + len(value), total + len(value)
-                if size > 1 << 20:
-                    merge()
-        merge()
-        often = counts >= max(8, total >> 14)
-        yield pa.RecordBatch.from_arrays([pa.array([None, *keys[often].view(np.int64).tolist()], pa.int64()), pa.array([total, *counts[often].tolist()], pa.int64()), pa.array([packed, *[0] * int(often.sum())], pa.int64())], ["value", "n", "packed"])
-
-    found = cut(_keyed(docs, text).select("text").mapInArrow(count, "value long, n long, packed long"), "minimisers")
-    sums = found.filter("value IS NULL").agg(F.sum("n").alias("n"), F.sum("packed").alias("packed")).first()
-    total, buckets = sums.n or 0, max(32, -(-(sums.packed or 0) // BUCKET))
-    least = max(64, total // min(8 * buckets, HOT_MOST))
-    hot = [r.value for r in found.filter("value IS NOT NULL").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("value").collect()]
+                picked = value[-seen % stride :: stride].view(np.int64)
+                seen += len(value)
+                yield pa.RecordBatch.from_arrays([pa.array(picked), pa.array(np.zeros(len(picked), np.int64))], ["value", "packed"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([packed], pa.int64())], ["value", "packed"])
+
+    counts = _keyed(docs, text).select("text").mapInArrow(sample, "value long, packed long").groupBy("value").agg(F.count("*").alias("n"), F.sum("packed").alias("packed"))
+    found = cut(counts, "minimisers")
+    sums = found.agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))).alias("n"), F.sum("packed").alias("packed")).first()
+    packed, strings = sums.packed or 0, sums.n or 0
+    # Half the strings that an eighth of a bucket has, to be sure of those that have as many.
+    least = max(2.0, BUCKET / 16 * strings / max(1, packed), strings / HOT_MOST)
+    hot = found.filter(F.col("value").isNotNull() & (F.col("n") >= least)).select("value").toArrow().column("value").to_numpy()
     drop(found)
-    return hot, buckets
+    return np.sort(hot.view(U)), max(32, -(-packed // BUCKET))
+
 
+def is_hot(value: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which of the values are among the sorted hot ones."""
+    return hot[np.minimum(np.searchsorted(hot, value), len(hot) - 1)] == value if len(hot) else np.zeros(len(value), bool)
 
-def spread(docs: DataFrame, text: str, window: int, hot: list[int], buckets: int) -> DataFrame:
+
+def spread(docs: DataFrame, text: str, window: int, hot: np.ndarray, buckets: int) -> DataFrame:
     """bucket, blob: the super-k-mers of all minimisers that aren't hot."""
-    hot_values = np.sort(np.array(hot, np.int64).view(U))
-    shared = docs.sparkSession.sparkContext.broadcast(hot_values)
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, held, size = zstandard.ZstdCompressor(level=3), [], 0
@@ -171,7 +170,7 @@ def spread(docs: DataFrame, text: str, window: int, hot: list[int], buckets: int
             for some in pieces(batch, "text"):
                 texts = Texts(some.column("text"), window)
                 doc, begin, windows, value = texts.runs()
-                cold = np.flatnonzero(~np.isin(value, shared.value))
+                cold = np.flatnonzero(~is_hot(value, shared.value))
                 doc, begin, windows, value = doc[cold], begin[cold], windows[cold], value[cold]
                 a, b = texts.place[begin], texts.place[begin + windows + window - 1]
                 view = memoryview(texts.normal)
@@ -186,34 +185,49 @@ def spread(docs: DataFrame, text: str, window: int, hot: list[int], buckets: int
     return _keyed(docs, text).mapInArrow(pack, "bucket int, blob binary")
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """(k1, k2, start, windows, bytes of each string, strings) of a blob."""
+def unpacked(blob: bytes) -> tuple[np.ndarray, bytes]:
+    """(k1, k2, start, windows and bytes of each string as rows, the strings) of a blob."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    head = np.frombuffer(raw, "<i8", 5 * n, 8).reshape(5, n)
-    return (*head, raw[8 + 40 * n :])
+    return np.frombuffer(raw, "<i8", 5 * n, 8).reshape(5, n), raw[8 + 40 * n :]
+
+
+def parts_of(blobs: Iterable[bytes]) -> Iterator[tuple[np.ndarray, bytes]]:
+    """The strings of some blobs, about PART bytes at a time."""
+    heads, raws, size = [], [], 0
+    for head, raw in map(unpacked, blobs):
+        heads.append(head), raws.append(raw)
+        size += len(raw)
+        if size >= PART:
+            yield np.concatenate(heads, axis=1), b"".join(raws)
+            heads, raws, size = [], [], 0
+    if heads:
+        yield np.concatenate(heads, axis=1), b"".join(raws)
 
 
-def count_bucket(blobs: list[bytes], window: int) -> pa.Table:
+def count_bucket(blobs: Iterable[bytes], window: int) -> pa.Table:
     """k1, k2, start, end (words) of the stretches that repeated windows of a bucket cover, each once."""
-    k1, k2, start, windows, sizes, raw = (list(x) for x in zip(*map(unpacked, blobs), strict=True))
-    k1, k2, start, windows, sizes = map(np.concatenate, (k1, k2, start, windows, sizes))
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    texts = Texts(pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(at.astype(np.int64)), pa.py_buffer(b"".join(raw))), window)
-    del raw
-    f1, f2 = texts.fingerprints()
-    run = np.repeat(np.arange(len(windows)), windows)
-    offset = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = texts.first[:-1][run] + offset
-    f1, f2 = f1[place], f2[place]
-    order = np.argsort(f1, kind="stable")
+    heads, prints, runs, offsets, n = [], [], [], [], 0
+    for head, raw in parts_of(blobs):
+        windows, sizes = head[3], head[4]
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        texts = Texts(pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(at), pa.py_buffer(raw)), window)
+        run = np.repeat(np.arange(len(windows)), windows)
+        offset = np.arange(len(run)) - np.repeat(np.cumsum(windows) - windows, windows)
+        place = texts.first[:-1][run] + offset
+        prints.append(np.stack([f[place] for f in texts.fingerprints()]))
+        runs.append((run + n).astype(np.int32)), offsets.append(offset.astype(np.int16))
+        heads.append(head[:3].copy())
+        n += len(windows)
+    (f1, f2), run, offset = np.concatenate(prints, axis=1), np.concatenate(runs), np.concatenate(offsets)
+    k1, k2, start = np.concatenate(heads, axis=1)
+    del prints, runs, offsets, heads
+    order = np.lexsort((f2, f1))
     same = (f1[order[1:]] == f1[order[:-1]]) & (f2[order[1:]] == f2[order[:-1]])
     repeated = np.zeros(len(order), bool)
     repeated[order[1:]] |= same
     repeated[order[:-1]] |= same
     found = np.flatnonzero(repeated)
-    if not len(found):
-        found = np.zeros(0, np.int64)
     new = np.concatenate([[True], (np.diff(found) != 1) | (np.diff(run[found]) != 0)])[: len(found)]
     lead = np.flatnonzero(new)
     last = np.append(lead[1:], len(found)) - 1 if len(lead) else lead
@@ -222,17 +236,17 @@ def count_bucket(blobs: list[bytes], window: int) -> pa.Table:
     return rows.group_by(["k1", "k2", "start", "end"]).aggregate([])
 
 
-def hot_stretches(docs: DataFrame, text: str, window: int, hot: list[int]) -> DataFrame:
+def hot_stretches(docs: DataFrame, text: str, window: int, hot: np.ndarray) -> DataFrame:
     """k1, k2, start, end of the repeated windows of hot minimisers."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(hot, np.int64).view(U)))
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in pieces(batch, "text", 1 << 20):
                 texts = Texts(some.column("text"), window)
                 doc, begin, windows, value = texts.runs()
-                is_hot = np.flatnonzero(np.isin(value, shared.value))
-                doc, begin, windows = doc[is_hot], begin[is_hot], windows[is_hot]
+                those = np.flatnonzero(is_hot(value, shared.value))
+                doc, begin, windows = doc[those], begin[those], windows[those]
                 place = np.repeat(begin - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
                 of = np.repeat(doc, windows)
                 f1, f2 = texts.fingerprints()
@@ -242,7 +256,9 @@ def hot_stretches(docs: DataFrame, text: str, window: int, hot: list[int]) -> Da
     # Copies of a text are one row with a count from here on.
     rows = cut(_keyed(docs, text).mapInArrow(cut_out, kinds).groupBy("f1", "f2", "k1", "k2", "start").agg(F.count("*").alias("n")), "hot-windows")
     often = cut(rows.groupBy("f1", "f2").agg(F.sum("n").alias("n")).filter("n > 1").select("f1", "f2"), "hot-repeats")
-    return rows.join(often, ["f1", "f2"]).select("k1", "k2", "start", (F.col("start") + window).alias("end"))
+    # Many texts may have one window: their rows are dealt out by a part of the text's key as well.
+    often = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int")).join(often, ["f1", "f2", "salt"]).select("k1", "k2", "start", (F.col("start") + window).alias("end"))
 
 
 def repeated_stretches(docs: DataFrame, *, text: str = "text", window: int = 35) -> DataFrame:
@@ -253,7 +269,7 @@ def repeated_stretches(docs: DataFrame, *, text: str = "text", window: int = 35)
         return count_bucket(table.column("blob").to_pylist(), window)
 
     found = spread(docs, text, window, hot, buckets).groupBy("bucket").applyInArrow(count, "k1 long, k2 long, start long, end long")
-    if hot:
+    if len(hot):
         found = found.union(hot_stretches(docs, text, window, hot))
     return cut(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 

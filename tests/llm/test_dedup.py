@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from concord.llm import common, decontaminate, near_dedup, substring_dedup, words
 from tests.llm import util
@@ -95,12 +96,11 @@ def test_repeated_passages(spark, monkeypatch, seed, hot):
     texts = noisy(seed, 120)
     rows = list(enumerate(texts))
     if hot:
-        monkeypatch.setattr(substring_dedup, "HOT_MOST", 1)
         real = substring_dedup.frequent_minimisers
 
         def some_hot(docs, text, window):
             values = {int(v) for t in texts if t for v in substring_dedup.Texts(pa.array([t + " "]), window).runs()[3].view(np.int64)}
-            return sorted(values)[::2], real(docs, text, window)[1]
+            return np.sort(np.array(sorted(values)[::2], np.int64).view(np.uint64)), real(docs, text, window)[1]
 
         monkeypatch.setattr(substring_dedup, "frequent_minimisers", some_hot)
     found = {r.row.doc_id: r for r in substring_dedup.remove_repeats(documents(spark, rows), window=12).collect()}
@@ -118,15 +118,37 @@ def test_untouched_texts_stay_as_they_were(spark):
     assert substring_dedup.remove_repeats(only).first().kept == "a b"
 
 
-def test_frequent_minimisers_are_found(spark):
+@pytest.mark.parametrize("partitions", [4, 200])
+def test_frequent_minimisers_are_found(spark, monkeypatch, partitions):
+    """One passage in most texts, in few tasks or spread thin over many."""
     passage = " ".join(f"p{i}" for i in range(60))
     rows = [(i, f"{passage} tail{i}") for i in range(400)] + [(1000 + i, " ".join(f"u{i}x{j}" for j in range(80))) for i in range(100)]
-    hot, buckets = substring_dedup.frequent_minimisers(documents(spark, rows), "text", 35)
-    assert hot and buckets >= 32
-    found = {r.row.doc_id: r for r in substring_dedup.remove_repeats(documents(spark, rows)).collect()}
+    docs = documents(spark, rows).repartition(partitions)
+    assert len(substring_dedup.frequent_minimisers(docs, "text", 35)[0]) == 0  # all of it is far less than a bucket
+    monkeypatch.setattr(substring_dedup, "BUCKET", 1 << 17)
+    monkeypatch.setattr(substring_dedup, "STRIDE", 4)
+    hot, buckets = substring_dedup.frequent_minimisers(docs, "text", 35)
+    own = {int(v) for v in substring_dedup.Texts(pa.array([passage + " "]), 35).runs()[3]}
+    assert len(hot) and {int(v) for v in hot} <= own and buckets >= 32
+    found = {r.row.doc_id: r for r in substring_dedup.remove_repeats(docs).collect()}
     assert all(found[i].kept == f"tail{i}" for i in range(400)) and all(found[1000 + i].n_removed == 0 for i in range(100))
 
 
+def test_buckets_are_read_in_parts(monkeypatch):
+    texts = [f"x{i} " + " ".join(f"w{j}" for j in range(30)) + " " for i in range(40)]
+    strings = substring_dedup.Texts(pa.array(texts), 10)
+    doc, begin, windows, _ = strings.runs()
+    a, b = strings.place[begin], strings.place[begin + windows + 9]
+    squeeze = zstandard.ZstdCompressor()
+    blobs = []
+    for k in range(len(doc)):
+        raw = strings.normal[a[k] : b[k]].tobytes()
+        blobs.append(squeeze.compress(b"".join(np.array([x], "<i8").tobytes() for x in (1, doc[k], doc[k], begin[k] - strings.first[doc[k]], windows[k], len(raw))) + raw))
+    whole = substring_dedup.count_bucket(blobs, 10).sort_by([("k1", "ascending"), ("start", "ascending")])
+    monkeypatch.setattr(substring_dedup, "PART", 100)
+    assert whole.equals(substring_dedup.count_bucket(blobs, 10).sort_by([("k1", "ascending"), ("start", "ascending")])) and whole.num_rows
+
+
 def test_word_hashes_tell_words_apart():
     texts = ["a b c", "aaaaaaaa aaaaaaaaa", "x" * 9 + " " + "x" * 17, "é É", "", "tail"]
     data, at = common.text_buffer(pa.array(texts))
