@@ -217,6 +217,32 @@ def test_bounds_hold_and_prune():
     assert sum(looked.values()) < 0.5 * leaves * len(q)
 
 
+def test_a_shard_of_equal_vectors_is_cheap():
+    x = np.tile(np.arange(64), (8192, 1))
+    tracemalloc.start()
+    tree = ball_tree.BallTree.build(x, np.arange(8192), np.arange(8192)[::-1].copy(), 6)
+    q = np.tile(np.arange(64), (4096, 1))
+    score, ids, found = tree.search(q, np.arange(4096) + 8192 - 4096, np.full(4096, ball_tree.LEAST), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.all() and peak < 100 << 20
+    # Rows 8188 to 8191 have ids 3 to 0 and are queries, too.
+    assert ids[0].tolist() == [0, 1, 2, 3, 4] and ids[4095].tolist() == [1, 2, 3, 4, 5] and ids[4094].tolist() == [0, 2, 3, 4, 5]
+
+
+def test_shards_are_left_out(spark):
+    """Far clusters, one of them a third of all rows: most shards are never asked, and results are those of brute force."""
+    rng = random.Random(15)
+    centres = [[3.0 * math.cos(a), 3.0 * math.sin(a), 0.1] for a in np.arange(12) * math.pi / 6]
+    rows = [(i, [x + rng.gauss(0, 0.05) for x in centres[0 if i % 3 == 0 else rng.randrange(12)]]) for i in range(600)]
+    rows += [(1000 + i, list(rows[0][1])) for i in range(200)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    report = {}
+    found = ball_tree.top_k(data, F.col("vec_id") % 50 == 0, shard=20, block=7, report=report)
+    assert sorted(map(tuple, found.collect())) == nearest(rows, 5)
+    assert report["asked"] < 0.5 * report["shards"] * report["queries"], report
+
+
 # --- language model
 
 
