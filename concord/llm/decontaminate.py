@@ -1,16 +1,20 @@
 """Benchmark decontamination [native]: a prefix-filtered join of document windows with item windows.
 
-A window is `window` consecutive words of an item, or the whole of a shorter item. Containment of a whole window needs each of
-its words, so a prefix of one word, the rarest, is a necessary condition: the join is on the rarest word of each window, by its
-count in all documents. Positional and length bounds then say where the window would have to begin and whether the document has
-room for it, and the words there are compared in order. Only windows that pass are hits.
+A window is `window` consecutive words of an item, or the whole of a shorter item. Its shingles are its runs of SHINGLE words (a
+window of fewer words is one shingle). Every document that contains a window contains each of its shingles, so any of them is a
+necessary prefix: shingles are ordered by rarity, their count in all documents, and the rarest of each window is joined. Its place
+in the window then bounds where the window would have to begin and whether the document has room for it. What is left is verified
+exactly, word by word, against the texts.
 
-Everything is DataFrame operations. The words to look for go into the plan as a literal set if there are at most MAX_LITERALS
-of them; with more, every word position is a candidate and the join does the selection alone.
+Everything is DataFrame operations, and one plan at every size. Arrays are exploded by the outer forms: for the others Spark adds a
+filter on the array's size, and pushes it, with the splitting of the text, into the function of each element. Words of texts are made once: each place becomes the hash of the
+shingle that begins there, which is joined with the hashes of the items' shingles. Places with one of those, few next to all
+words, are kept in a table; counts, candidates and hits come from it. Texts are read again only for verification.
 
 Defined results: null or wordless texts have no words and no hits; a document with fewer words than a window cannot hold it;
 identical texts are matched once and get the same result, also under the same doc_id; an item with a null id marks words but is
-not listed; repeated items count once; an empty benchmark leaves every document clean.
+not listed; repeated items count once; an empty benchmark leaves every document clean; an empty table gives no rows; other columns
+are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, bounded, cut, cut_small, text_key
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_LITERALS = 20_000
+#: Words of a shingle.
+SHINGLE = 3
 
 
 def words_of(text: Column) -> Column:
@@ -30,60 +35,77 @@ def words_of(text: Column) -> Column:
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
     """item_id, w (the words joined by a space), len: the windows of all items."""
-    words = items.select(F.col(item_id).cast("string").alias("item_id"), words_of(F.col(text)).alias("words"))
+    words = items.select(F.col(f"`{item_id}`").cast("string").alias("item_id"), words_of(F.col(f"`{text}`")).alias("words"))
     starts = F.expr(f"sequence(1, greatest(size(words) - {window - 1}, 1))")
-    each = words.filter(F.size("words") > 0).select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, F.lit(window)))).alias("words"))
+    each = words.filter(F.size("words") > 0).select("item_id", F.explode_outer(F.transform(starts, lambda i: F.slice("words", i, F.lit(window)))).alias("words"))
     return each.select("item_id", F.concat_ws(" ", "words").alias("w"), F.size("words").alias("len")).distinct()
 
 
-def literals(df: DataFrame, column: str) -> list[str] | None:
-    """The distinct values if they are few enough to go into a plan."""
-    got = [r[0] for r in df.select(column).distinct().limit(MAX_LITERALS + 1).collect()]
-    return got if len(got) <= MAX_LITERALS else None
-
-
-def rarest_words(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
-    """w, len, rare, off: the window's rarest word by its count in all documents, and its place in the window."""
-    terms = windows.select("w", "len", F.posexplode(F.split("w", " ")).alias("off", "word"))
-    vocabulary = terms.select("word").distinct()
-    some = literals(vocabulary, "word")
-    words = words_of(F.col(text))
-    words = F.filter(words, lambda x: x.isin(some)) if some is not None else words
-    each = docs.select(F.explode(words).alias("word"))
-    counts = (each if some is not None else each.join(vocabulary, "word", "left_semi")).groupBy("word").agg(F.count("*").alias("n"))
-    least = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("word"), F.col("off"))).alias("least")
-    return terms.join(cut_small(counts, "word-counts"), "word", "left").groupBy("w", "len").agg(least).select("w", "len", F.col("least.word").alias("rare"), F.col("least.off").alias("off"), F.col("least.n").alias("n"))
-
-
-def find_windows(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, hits, windows): a row for each document (doc_id, k1, k2, n_words); k1, k2, start, len, w of each place where a window occurs, once for identical texts; item_id, w, len."""
+def shingles(words: Column, size: int) -> Column:
+    """The hash of the `size` words from each place of an array on where there are so many."""
+    here = F.transform(words, lambda x, i: F.xxhash64(x, *[F.get(words, i + k) for k in range(1, size)]))
+    return F.slice(here, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+
+
+def window_shingles(windows: DataFrame, size: int) -> DataFrame:
+    """w, len, off (place in the window), width (words), h: the shingles of distinct windows."""
+    words = windows.select("w", "len").distinct().withColumn("words", F.split("w", " "))
+    parts = [words.filter(F.col("len") >= size).select("w", "len", F.lit(size).alias("width"), F.posexplode_outer(shingles(F.col("words"), size)).alias("off", "h"))]
+    for n in range(1, size):
+        parts.append(words.filter(F.col("len") == n).select("w", "len", F.lit(n).alias("width"), F.posexplode_outer(shingles(F.col("words"), n)).alias("off", "h")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+def tokens(docs: DataFrame, widths: list[int], names: list[str]) -> DataFrame:
+    """names, n_words, h1, h2, ...: hashes of the shingles of each width from each place on, of rows with a column text."""
+    words = docs.select(*names, words_of(F.col("text")).alias("words"))
+    return words.select(*names, F.size("words").alias("n_words"), *[shingles(F.col("words"), n).alias(f"h{n}") for n in widths])
+
+
+def find_windows(rows: DataFrame, items: DataFrame, windows: DataFrame, size: int, table: DataFrame | None, widths: list[int]) -> DataFrame:
+    """k1, k2, start, len, w of each place where a window occurs, once for identical texts. rows: k1, k2, text; table: tokens() of them, or None to make them here."""
+    # Each distinct window's shingles, and what to look for.
+    terms = cut_small(window_shingles(windows, size), "shingles")
+    vocabulary = terms.select("width", "h").distinct()
+    read = table if table is not None else tokens(rows, widths, ["k1", "k2"])
+    places = None
+    for n in widths:
+        own = read.select("k1", "k2", "n_words", F.posexplode_outer(f"h{n}").alias("i", "h")).join(vocabulary.filter(F.col("width") == n).select("h"), "h").select("k1", "k2", "n_words", "i", F.lit(n).alias("width"), "h")
+        places = own if places is None else places.union(own)
+    # Copies of a text have one key, and count each for rarity.
+    places = cut(places.groupBy("k1", "k2", "n_words", "i", "width", "h").agg(F.count("*").alias("n")), "places")
+    counts = places.groupBy("width", "h").agg(F.sum("n").alias("n"))
+    rarest = F.min(F.struct("n", "h", "off", "width")).alias("r")
+    rare = cut_small(terms.join(counts, ["width", "h"]).groupBy("w", "len").agg(rarest, F.count("*").alias("found")).filter(F.col("found") == F.greatest(F.col("len") - (size - 1), F.lit(1))).select("w", "len", "r.h", "r.off", "r.width"), "rarest")
+    start = F.col("i") - F.col("off")
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
+    candidates = cut_small(places.join(rare, ["width", "h"]).filter(fits).select("k1", "k2", start.alias("start"), "len", "w"), "candidates")
+    # Verified in the texts: one row for each distinct text with candidates.
+    asked = candidates.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "len", "w")).alias("asked"))
+    texts = rows.join(asked.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
+    words = texts.join(asked, ["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("words"), "asked")
+    same = F.filter("asked", lambda c: (c["start"] + c["len"] <= F.size("words")) & (F.concat_ws(" ", F.slice("words", c["start"] + 1, c["len"])) == c["w"]))
+    return cut_small(words.select("k1", "k2", F.explode_outer(same).alias("x")).filter(F.col("x").isNotNull()).select("k1", "k2", "x.start", "x.len", "x.w"), "hits")
+
+
+def prepared(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame, list[int], int]:
+    """(docs in a session of its own, windows of the items, widths of their shingles, words of a shingle)."""
     docs = bounded(docs)
     windows = cut_small(item_windows(items, item_id, item_text, window), "item-windows")
-    rare = cut_small(rarest_words(docs, text, windows.select("w", "len").distinct()), "rarest")
-    rare = rare.filter("n > 0")  # a word that no document has
-    some = literals(rare, "rare")
-    words = docs.select(F.col(doc_id).alias("doc_id"), *text_key(F.col(text)), words_of(F.col(text)).alias("words"))
-    reach = window - 1
-
-    def near(x: Column, i: Column) -> Column:
-        first = F.greatest(i - reach, F.lit(0))
-        here = F.struct(i.alias("i"), (i - first).alias("c"), F.slice("words", first + 1, F.lit(2 * reach + 1)).alias("ctx"))
-        return here if some is None else F.when(x.isin(some), here)
-
-    found = F.filter(F.transform("words", near), lambda x: x.isNotNull()) if some is None or some else F.array().cast("array<struct<i:int,c:int,ctx:array<string>>>")
-    table = cut(words.select("doc_id", "k1", "k2", F.size("words").alias("n_words"), found.alias("found")), "candidates")
-    places = table.filter(F.size("found") > 0).groupBy("k1", "k2").agg(F.any_value("found").alias("found"), F.any_value("n_words").alias("n_words"))
-    places = places.select("k1", "k2", "n_words", F.explode("found").alias("x")).select("k1", "k2", "n_words", "x.i", "x.c", "x.ctx", F.expr("x.ctx[x.c]").alias("rare"))
-    start = F.col("i") - F.col("off")
-    fits = (F.col("c") >= F.col("off")) & (start + F.col("len") <= F.col("n_words"))
-    same = F.concat_ws(" ", F.slice("ctx", F.greatest(F.col("c") - F.col("off"), F.lit(0)) + 1, F.col("len"))) == F.col("w")
-    hits = places.join(rare.drop("n"), "rare").filter(fits & same).select("k1", "k2", start.alias("start"), "len", "w")
-    return table.select("doc_id", "k1", "k2", "n_words"), cut_small(hits, "hits"), windows
+    size = min(SHINGLE, window)
+    short = windows.filter(F.col("len") < size).select("len").distinct().collect()  # at most two numbers
+    return docs, windows, [size, *sorted(r.len for r in short)], size
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit (words inside an occurrence of a window), items (sorted ids of the items that occur), contaminated."""
-    table, hits, windows = find_windows(docs, items, **names)
+    docs, windows, widths, size = prepared(docs, items, text, item_id, item_text, window)
+    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *text_key(F.col(f"`{text}`")), F.col(f"`{text}`").alias("text"))
+    table = cut(tokens(rows, widths, ["doc_id", "k1", "k2"]), "tokens")
+    hits = find_windows(rows.select("k1", "k2", "text"), items, windows, size, table, widths)
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(start, start + len - 1)")))))
     marks = hits.groupBy("k1", "k2").agg(covered.alias("n_hit"))
     ids = hits.select("k1", "k2", "w").distinct().join(windows.select("w", "item_id"), "w").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
@@ -91,10 +113,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, **names) -> DataFrame:
     return table.join(marks, ["k1", "k2"], "left").select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce(F.col("n_hit").cast("long"), F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"))
 
 
-def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", **names) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
     """The documents without any occurrence of a window, all columns as they came."""
-    _, hits, _ = find_windows(docs.select(F.lit(0).alias("doc_id"), F.col(text).alias("text")), items, **names)
+    docs, windows, widths, size = prepared(docs, items, text, item_id, item_text, window)
+    k1, k2 = text_key(F.col(f"`{text}`"))
+    hits = find_windows(docs.select(k1, k2, F.col(f"`{text}`").alias("text")), items, windows, size, None, widths)
     bad = cut_small(hits.select("k1", "k2").distinct(), "contaminated")
-    k1, k2 = text_key(F.col(text))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), k1, k2)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1, k2)
     return keyed.join(bad, ["k1", "k2"], "left_anti").select("row.*")

@@ -163,9 +163,9 @@ ITEMS = [(1, "alpha beta gamma delta"), (2, "Alpha, BETA gamma!"), (3, None), (4
 TEXTS = [None, "", "alpha beta gamma delta epsilon", "ALPHA-beta_gamma", "the one", "beta gamma delta epsilon zeta null id item words", "éa Éb éc", "ÉA éa éb éc éd", "alpha beta gamma alpha beta gamma delta", "x9 y8", "gamma delta"]
 
 
-@pytest.mark.parametrize("most", [0, 20_000])
-def test_leaks(spark, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "MAX_LITERALS", most)
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_leaks(spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "SHINGLE", size)
     rows = list(enumerate([*TEXTS, *TEXTS]))
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = {r.doc_id: r for r in decontaminate.decontaminate(documents(spark, rows), items, window=3).collect()}
@@ -185,3 +185,17 @@ def test_leaks_in_noisy_texts(spark):
     found = {r.doc_id: r for r in decontaminate.decontaminate(documents(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")).collect()}
     for k, want in enumerate(util.leaks(texts, items, 10)):
         assert (found[k].n_words, found[k].n_hit, found[k].items) == want
+
+
+def test_leaks_among_awkward_columns(spark):
+    """Names with dots and names that clash, a very long text, many windows of one rare shingle, and items of one and two words."""
+    passage = " ".join(f"q{i}" for i in range(40))
+    texts = ["x y " * 40_000 + passage + " z", passage, None, "", "alpha", "alpha beta", "beta", "q1 q2 q3 q4 q5 q6 q7 q8 q9", "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11"]
+    docs = spark.createDataFrame([(i, t, "v", 1, 2) for i, t in enumerate(texts)], "doc_id long, text string, `a.b` string, k1 int, w int")
+    items = [(1, passage), (2, "Alpha"), (3, "beta gamma"), (None, "beta")]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.decontaminate(docs, table).collect()}
+    for k, want in enumerate(util.leaks(texts, items, 10)):
+        assert (found[k].n_words, found[k].n_hit, found[k].items) == want, k
+    kept = decontaminate.clean(docs, table)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [k for k in range(len(texts)) if not found[k].n_hit]
