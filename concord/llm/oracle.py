@@ -8,14 +8,18 @@ WITH p AS (
   SELECT page_id, url,
     coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
-    try_cast(regexp_extract(url, '/(\d+)', 1) AS bigint) AS shows
+    try_cast(regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/([0-9]+)(/|$)', 1) AS bigint) AS shows
   FROM pages),
 o AS (
   SELECT p.host, CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END AS bad
   FROM p JOIN labels l ON p.shows = l.doc_id WHERE coalesce(toxic, quality) IS NOT NULL),
+t AS (
+  SELECT host, name, string_split(name, '.') AS parts, regexp_matches(name, '^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*)$') AS address,
+    CASE WHEN array_to_string(string_split(name, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'gov.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp', 'or.jp', 'ne.jp', 'com.br', 'com.cn', 'com.mx', 'co.in', 'co.za', 'com.tr') THEN 2 ELSE 1 END AS labels
+  FROM (SELECT DISTINCT host, regexp_replace(regexp_replace(host, '^.*@', ''), '\.?(:[0-9]*)?$', '') AS name FROM p)),
 h AS (
-  SELECT a.host, array_to_string(string_split(a.host, '.')[-2:], '.') AS dom, string_split(a.host, '.')[-1] AS suf, coalesce(b.n, 0) AS n, coalesce(b.k, 0) AS k
-  FROM (SELECT DISTINCT host FROM p) a LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS k FROM o GROUP BY host) b ON a.host = b.host),
+  SELECT a.host, CASE WHEN address THEN name ELSE array_to_string(parts[-labels - 1:], '.') END AS dom, CASE WHEN address THEN '(address)' ELSE array_to_string(parts[-labels:], '.') END AS suf, coalesce(b.n, 0) AS n, coalesce(b.k, 0) AS k
+  FROM t a LEFT JOIN (SELECT host, count(*) AS n, sum(bad) AS k FROM o GROUP BY host) b ON a.host = b.host),
 r AS (SELECT (sum(k) + 1) / (sum(n) + 2) AS mu FROM h),
 s0 AS (SELECT suf, sum(n)::double AS n, sum(k)::double AS k FROM h GROUP BY suf),
 s1 AS (SELECT 1 / least(greatest(coalesce(sum(power(k - n * mu, 2) - n * mu * (1 - mu)) / nullif(sum(n * (n - 1) * mu * (1 - mu)), 0), 0), 1e-4), 0.99) - 1 AS s FROM s0, r),
@@ -27,9 +31,9 @@ h1 AS (SELECT 1 / least(greatest(coalesce(sum(power(k - n * mu, 2) - n * mu * (1
 h2 AS (SELECT host, n, k, k + s * mu AS a, n - k + s * (1 - mu) AS b FROM h JOIN d2 USING (dom), h1),
 h3 AS (
   SELECT host, n::bigint AS host_n, k::bigint AS host_bad, round(a / (a + b), 6) AS bad_rate,
-    round(greatest(a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 0), 6) AS low,
-    round(least(a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))), 1), 6) AS high
-  FROM h2),
+    round(least(greatest(m + sd * (-1.645 + (1.645 * 1.645 - 1) * skew / 6), 0), 1), 6) AS low,
+    round(least(greatest(m + sd * (1.645 + (1.645 * 1.645 - 1) * skew / 6), 0), 1), 6) AS high
+  FROM (SELECT *, a / (a + b) AS m, sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS sd, 2 * (b - a) * sqrt(a + b + 1) / ((a + b + 2) * sqrt(a * b)) AS skew FROM h2)),
 f AS (
   SELECT p.page_id, host, path, host_n, host_bad, bad_rate, low, high,
     CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'

@@ -19,10 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """url, bad of the labelled pages: the number in a page's path is the document it shows; toxic or low-quality ones are bad."""
+    """url, bad of the labelled pages: the first part of a page's path that is a number is the document it shows; toxic or low-quality ones are bad."""
     bad = F.when(F.coalesce("toxic", F.lit(0)) == 1, 1).when(F.col("quality") == 0, 1).when(F.coalesce("toxic", "quality").isNotNull(), 0)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("shows"), bad.alias("bad"))
-    shown = table(spark, sf_dir, "pages").select("url", F.expr(r"try_cast(regexp_extract(url, '/(\\d+)', 1) AS bigint)").alias("shows"))
+    number = F.regexp_extract(urls.url_path(F.col("url")), r"/([0-9]+)(/|$)", 1)
+    shown = table(spark, sf_dir, "pages").select("url", number.try_cast("long").alias("shows"))
     return shown.join(labels, "shows").select("url", "bad")
 
 

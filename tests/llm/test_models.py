@@ -54,8 +54,33 @@ def test_reputation_shrinks_to_the_domain(spark):
 
 
 def test_suffixes_and_domains(spark):
-    row = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("x.y.com",), ("com",), ("",)], "h string").select(url_reputation.domain_of(F.col("h")), url_reputation.suffix_of(F.col("h"))).collect()
-    assert list(map(tuple, row)) == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", "")]
+    hosts = ["a.b.co.uk", "b.co.uk", "x.y.com", "com", "", "x.y.com:8080", "me:pw@x.y.com.", "10.0.0.1", "10.0.0.1:80", "[::1]:80", "a.b.c.kobe.jp"]
+    h = F.col("h")
+    row = spark.createDataFrame([(x,) for x in hosts], "h string").select(url_reputation.domain_of(h), url_reputation.suffix_of(h), url_reputation.domain_of(h, ["c.kobe.jp", "kobe.jp"])).collect()
+    found = dict(zip(hosts, map(tuple, row), strict=True))
+    assert [found[x][:2] for x in hosts[:5]] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", "")]
+    assert found["x.y.com:8080"][:2] == found["me:pw@x.y.com."][:2] == ("y.com", "com")
+    assert found["10.0.0.1"][:2] == found["10.0.0.1:80"][:2] == ("10.0.0.1", url_reputation.ADDRESS)
+    assert found["[::1]:80"][:2] == ("[::1]", url_reputation.ADDRESS) and found["a.b.c.kobe.jp"][2] == "b.c.kobe.jp"
+
+
+def test_the_bound_is_a_quantile(spark):
+    """Against the share of a beta distribution below the bound, summed up over fine steps."""
+    rows = [(f"h{i}", int(j < k)) for i, (k, n) in enumerate([(0, 3), (1, 6), (5, 12), (30, 40)]) for j in range(n)]
+    data = spark.createDataFrame(rows, "host string, bad int")
+    assert all(0 <= r.low <= r.bad_rate <= r.high <= 1 for r in url_reputation.host_reputation(data, data).collect())
+    x = (np.arange(200_000) + 0.5) / 200_000
+    for a, b, most in ((1.5, 8.0, 0.045), (4.0, 9.0, 0.02), (40.0, 20.0, 0.005)):
+        mean, sd = a / (a + b), math.sqrt(a * b / ((a + b) ** 2 * (a + b + 1)))
+        low = mean + sd * (-1.645 + (1.645**2 - 1) * 2 * (b - a) * math.sqrt(a + b + 1) / ((a + b + 2) * math.sqrt(a * b)) / 6)
+        density = x ** (a - 1) * (1 - x) ** (b - 1)
+        assert abs(density[x < low].sum() / density.sum() - 0.05) < most
+
+
+def test_pages_of_addresses_are_labelled_by_their_path(spark, tmp_path):
+    spark.createDataFrame([(1, "http://10.0.0.1/en/7", "x"), (2, "http://a.com/12x/3/", "x"), (3, "http://a.com:81/?p=/5", "x"), (4, None, "x")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(7, 1, 0), (3, 0, 0), (5, 1, 1), (12, 1, 1), (10, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(map(tuple, queries.page_outcomes(spark, str(tmp_path)).collect())) == [("http://10.0.0.1/en/7", 0), ("http://a.com/12x/3/", 1)]
 
 
 # --- language
