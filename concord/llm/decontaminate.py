@@ -3,13 +3,14 @@
 A window is `window` consecutive words of an item, or the whole of a shorter item. Its shingles are its runs of SHINGLE words (a
 window of fewer words is one shingle). Every document that contains a window contains each of its shingles, so any of them is a
 necessary prefix: shingles are ordered by rarity, their count in all documents, and the rarest of each window is joined. Its place
-in the window then bounds where the window would have to begin and whether the document has room for it. What is left is verified
-exactly, word by word, against the texts.
+in the window then bounds where the window would have to begin and whether the document has room for it. What is left is verified:
+each of the window's shingles has to be at its place, so every word is compared, most of them in three shingles.
 
-Everything is DataFrame operations, and one plan at every size. Arrays are exploded by the outer forms: for the others Spark adds a
-filter on the array's size, and pushes it, with the splitting of the text, into the function of each element. Words of texts are made once: each place becomes the hash of the
-shingle that begins there, which is joined with the hashes of the items' shingles. Places with one of those, few next to all
-words, are kept in a table; counts, candidates and hits come from it. Texts are read again only for verification.
+Everything is DataFrame operations, and one plan at every size. Texts are read and split once: each place becomes the 64-bit hash
+of the shingle that begins there, which is joined with the hashes of the items' shingles. Places with one of those, few next to
+all words, are kept in a table; counts, candidates and hits come from it, and texts aren't shuffled. A false hit takes a shingle
+that differs and has the same hash, beside others that are right. Arrays are exploded by the outer forms: for the others Spark
+adds a filter on the array's size, and pushes it, with the splitting of the text, into the function of each element.
 
 Defined results: null or wordless texts have no words and no hits; a document with fewer words than a window cannot hold it;
 identical texts are matched once and get the same result, also under the same doc_id; an item with a null id marks words but is
@@ -19,18 +20,24 @@ are left alone, whatever their names.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, bounded, cut, cut_small, text_key
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed value: what is between words, after A-Z are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 #: Words of a shingle.
 SHINGLE = 3
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text. By splitting: extracting all matches copies the text for each of them."""
+    gaps = "".join(c for c in map(chr, range(0x80)) if re.fullmatch(GAP, c))
+    inner = F.btrim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(gaps))
+    return F.when(inner != "", F.split(inner, f"{GAP}+")).otherwise(F.array().cast("array<string>"))
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int) -> DataFrame:
@@ -65,15 +72,14 @@ def tokens(docs: DataFrame, widths: list[int], names: list[str]) -> DataFrame:
     return words.select(*names, F.size("words").alias("n_words"), *[shingles(F.col("words"), n).alias(f"h{n}") for n in widths])
 
 
-def find_windows(rows: DataFrame, items: DataFrame, windows: DataFrame, size: int, table: DataFrame | None, widths: list[int]) -> DataFrame:
-    """k1, k2, start, len, w of each place where a window occurs, once for identical texts. rows: k1, k2, text; table: tokens() of them, or None to make them here."""
+def find_windows(table: DataFrame, windows: DataFrame, size: int, widths: list[int]) -> DataFrame:
+    """k1, k2, start, len, w of each place where a window occurs, once for identical texts. table: tokens() of the texts."""
     # Each distinct window's shingles, and what to look for.
     terms = cut_small(window_shingles(windows, size), "shingles")
     vocabulary = terms.select("width", "h").distinct()
-    read = table if table is not None else tokens(rows, widths, ["k1", "k2"])
     places = None
     for n in widths:
-        own = read.select("k1", "k2", "n_words", F.posexplode_outer(f"h{n}").alias("i", "h")).join(vocabulary.filter(F.col("width") == n).select("h"), "h").select("k1", "k2", "n_words", "i", F.lit(n).alias("width"), "h")
+        own = table.select("k1", "k2", "n_words", F.posexplode_outer(f"h{n}").alias("i", "h")).join(vocabulary.filter(F.col("width") == n).select("h"), "h").select("k1", "k2", "n_words", "i", F.lit(n).alias("width"), "h")
         places = own if places is None else places.union(own)
     # Copies of a text have one key, and count each for rarity.
     places = cut(places.groupBy("k1", "k2", "n_words", "i", "width", "h").agg(F.count("*").alias("n")), "places")
@@ -83,12 +89,10 @@ def find_windows(rows: DataFrame, items: DataFrame, windows: DataFrame, size: in
     start = F.col("i") - F.col("off")
     fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
     candidates = cut_small(places.join(rare, ["width", "h"]).filter(fits).select("k1", "k2", start.alias("start"), "len", "w"), "candidates")
-    # Verified in the texts: one row for each distinct text with candidates.
-    asked = candidates.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "len", "w")).alias("asked"))
-    texts = rows.join(asked.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.any_value("text").alias("text"))
-    words = texts.join(asked, ["k1", "k2"]).select("k1", "k2", words_of(F.col("text")).alias("words"), "asked")
-    same = F.filter("asked", lambda c: (c["start"] + c["len"] <= F.size("words")) & (F.concat_ws(" ", F.slice("words", c["start"] + 1, c["len"])) == c["w"]))
-    return cut_small(words.select("k1", "k2", F.explode_outer(same).alias("x")).filter(F.col("x").isNotNull()).select("k1", "k2", "x.start", "x.len", "x.w"), "hits")
+    # Verified: all shingles of the window are where they have to be.
+    each = candidates.join(terms.select("w", "off", "width", "h"), "w").select("k1", "k2", "start", "len", "w", (F.col("start") + F.col("off")).alias("i"), "width", "h")
+    hits = each.join(places.select("k1", "k2", "i", "width", "h"), ["k1", "k2", "i", "width", "h"]).groupBy("k1", "k2", "start", "len", "w").agg(F.count("*").alias("n"))
+    return cut_small(hits.filter(F.col("n") == F.greatest(F.col("len") - (size - 1), F.lit(1))).drop("n"), "hits")
 
 
 def prepared(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int) -> tuple[DataFrame, DataFrame, list[int], int]:
@@ -105,7 +109,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     docs, windows, widths, size = prepared(docs, items, text, item_id, item_text, window)
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), *text_key(F.col(f"`{text}`")), F.col(f"`{text}`").alias("text"))
     table = cut(tokens(rows, widths, ["doc_id", "k1", "k2"]), "tokens")
-    hits = find_windows(rows.select("k1", "k2", "text"), items, windows, size, table, widths)
+    hits = find_windows(table, windows, size, widths)
     covered = F.size(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(start, start + len - 1)")))))
     marks = hits.groupBy("k1", "k2").agg(covered.alias("n_hit"))
     ids = hits.select("k1", "k2", "w").distinct().join(windows.select("w", "item_id"), "w").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
@@ -117,7 +121,7 @@ def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str
     """The documents without any occurrence of a window, all columns as they came."""
     docs, windows, widths, size = prepared(docs, items, text, item_id, item_text, window)
     k1, k2 = text_key(F.col(f"`{text}`"))
-    hits = find_windows(docs.select(k1, k2, F.col(f"`{text}`").alias("text")), items, windows, size, None, widths)
+    hits = find_windows(tokens(docs.select(k1, k2, F.col(f"`{text}`").alias("text")), widths, ["k1", "k2"]), windows, size, widths)
     bad = cut_small(hits.select("k1", "k2").distinct(), "contaminated")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1, k2)
     return keyed.join(bad, ["k1", "k2"], "left_anti").select("row.*")
