@@ -222,8 +222,12 @@ def count_bucket(blobs: Iterable[bytes], window: int) -> pa.Table:
     (f1, f2), run, offset = np.concatenate(prints, axis=1), np.concatenate(runs), np.concatenate(offsets)
     k1, k2, start = np.concatenate(heads, axis=1)
     del prints, runs, offsets, heads
-    order = np.lexsort((f2, f1))
-    same = (f1[order[1:]] == f1[order[:-1]]) & (f2[order[1:]] == f2[order[:-1]])
+    order = np.argsort(f1)
+    equal, same = f1[order[1:]] == f1[order[:-1]], f2[order[1:]] == f2[order[:-1]]
+    if (equal & ~same).any():  # two windows with one first fingerprint: copies need not be neighbours
+        order = np.lexsort((f2, f1))
+        equal, same = f1[order[1:]] == f1[order[:-1]], f2[order[1:]] == f2[order[:-1]]
+    same &= equal
     repeated = np.zeros(len(order), bool)
     repeated[order[1:]] |= same
     repeated[order[:-1]] |= same
@@ -243,6 +247,8 @@ def hot_stretches(docs: DataFrame, text: str, window: int, hot: np.ndarray) -> D
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in pieces(batch, "text", 1 << 20):
+                doc, _, _, value = Texts(some.column("text"), window).runs()
+                some = some.take(pa.array(np.unique(doc[is_hot(value, shared.value)])))
                 texts = Texts(some.column("text"), window)
                 doc, begin, windows, value = texts.runs()
                 those = np.flatnonzero(is_hot(value, shared.value))
