@@ -40,7 +40,7 @@ DEPTH, SPLIT = 5, 3
 #: Grams and words that are broadcast at most.
 FREQUENT, COMMON = 1 << 20, 1 << 19
 #: Entries that a counting task holds before it merges them, and rows that a task works through at once.
-HELD, ROWS = 1 << 20, 1 << 18
+HELD, ROWS = 1 << 20, 1 << 16
 #: Fixed value: a byte that UTF-8 doesn't have.
 END = 0xFF
 
