@@ -55,16 +55,18 @@ def paginate(parsed: DataFrame, keys: Sequence[str] = ("recording", "magazine"))
 
 
 def cells(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, row, column, byte (seven bits; null where the parity is wrong): headers from column 8 on, where their text begins."""
-    each = rows.select(*keys, "row", F.posexplode(K.byte_list(F.col("payload"))).alias("column", "_b"))
-    return each.filter("row > 0 OR column >= 8").select(*keys, "row", "column", F.when(K.odd_parity(F.col("_b")), F.col("_b").bitwiseAND(F.lit(0x7F))).alias("byte"))
+    """keys, row, column, byte (seven bits; null where the parity is wrong), copies: headers from column 8 on, where their text begins. Equal payloads of a row are one, with the number of copies."""
+    once = rows.groupBy(*keys, "row", "payload").agg(F.count("*").alias("copies"))
+    each = once.select(*keys, "row", "copies", F.posexplode(K.byte_list(F.col("payload"))).alias("column", "_b"))
+    return each.filter("row > 0 OR column >= 8").select(*keys, "row", "column", F.when(K.odd_parity(F.col("_b")), F.col("_b").bitwiseAND(F.lit(0x7F))).alias("byte"), "copies")
 
 
 def vote_pages(rows: DataFrame, keys: Sequence[str] = ("magazine", "page", "subcode")) -> DataFrame:
     """keys, row, text, least: column by column the commonest byte of all copies with right parity (ties to the smallest), a space where none has; least is the fewest copies behind a column."""
-    won = votes.vote(cells(rows, keys), [*keys, "row", "column"], "byte")
-    filled = F.map_from_entries(F.collect_list(F.struct("column", F.col("byte").alias("b"))))
-    by = won.groupBy(*keys, "row").agg(filled.alias("_m"), F.min("votes").alias("least"))
+    by = cells(rows, keys).filter("byte IS NOT NULL").groupBy(*keys, "row", "column", "byte").agg(F.sum("copies").alias("n"))
+    won = by.groupBy(*keys, "row", "column").agg(F.max(F.struct("n", (-F.col("byte")).alias("b"))).alias("_m"))
+    filled = F.map_from_entries(F.collect_list(F.struct("column", (-F.col("_m.b")).alias("b"))))
+    by = won.groupBy(*keys, "row").agg(filled.alias("_m"), F.min("_m.n").alias("least"))
     char = lambda i: F.chr(F.greatest(F.coalesce(F.element_at("_m", i), F.lit(32)), F.lit(32)))
     start = F.when(F.col("row") == 0, 8).otherwise(0)
     return by.select(*keys, "row", F.array_join(F.transform(F.sequence(start, F.lit(WIDTH - 1)), char), "").alias("text"), "least")

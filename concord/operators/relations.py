@@ -24,9 +24,12 @@ def fallback(facts: DataFrame, first: DataFrame, second: DataFrame, key: str, na
 
 
 def prefix_match(left: DataFrame, right: DataFrame, text: str, prefix: str, least: int = 1) -> DataFrame:
-    """left joined with the right rows whose prefix its text begins with: every prefix of the text is a key, so the join is by equality."""
-    keyed = left.withColumn("_key", F.explode(F.transform(F.sequence(F.lit(least), F.greatest(F.length(text), F.lit(least))), lambda n: F.substring(F.col(text), F.lit(1), n))))
-    return keyed.join(right.filter(F.length(prefix) >= least).withColumn("_key", F.col(prefix)), "_key").drop("_key").distinct()
+    """left joined with the right rows whose prefix its text begins with, by equality: a text is listed under its beginnings of the lengths that prefixes have. Repeated rows stay."""
+    known = right.filter(F.length(prefix) >= least)
+    lengths = sorted(r[0] for r in known.select(F.length(prefix)).distinct().collect())  # no more than the longest prefix has characters
+    beginnings = F.filter(F.lit(lengths).cast("array<int>"), lambda n: n <= F.length(text))
+    keyed = left.withColumn("_key", F.explode(F.transform(beginnings, lambda n: F.substring(F.col(text), F.lit(1), n))))
+    return keyed.join(known.withColumn("_key", F.col(prefix)), "_key").drop("_key")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], better: Column) -> DataFrame:
@@ -75,10 +78,13 @@ def best_copy(df: DataFrame, keys: Sequence[str], rank: Sequence[Column], values
 
 
 def fill_from_nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, at: str) -> DataFrame:
-    """A full outer merge: left's value, or the one of the right row of the key that is nearest by `at` (ties to the earlier); keys only right has come from it."""
-    found = left.withColumn("_l", F.lit(1)).join(right.select(*keys, F.col(value).alias("_v"), F.col(at).alias("_t")), list(keys), "full_outer")
-    near = F.min_by("_v", F.struct(F.abs(F.col(at) - F.col("_t")).alias("d"), F.col("_t").alias("t")))
-    return found.groupBy(*keys, at, value).agg(near.alias("_near")).withColumn(value, F.coalesce(value, "_near")).drop("_near")
+    """A full outer merge: left's value, or the one of the right row of the key that is nearest by `at` (ties to the earlier); keys only right has come from its earliest. Equal rows of left are one."""
+    from concord.operators.timeline import nearest
+
+    others = right.select(*keys, F.col(at), F.col(value).alias("_v"))
+    ours = nearest(left.select(*keys, at, value).distinct(), others, keys, at, "_v", 2**62).select(*keys, at, F.coalesce(value, "_v").alias(value))
+    rest = others.join(left.select(*keys).distinct(), list(keys), "left_anti").groupBy(*keys).agg(F.min_by("_v", at).alias(value))
+    return ours.union(rest.select(*keys, F.lit(None).cast(left.schema[at].dataType).alias(at), value))
 
 
 def fold_one_digit(keys: DataFrame, key: str, attested: Column) -> DataFrame:
@@ -142,10 +148,25 @@ def united(views: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     return every
 
 
-def not_contained(loose: DataFrame, text: str, known: DataFrame, whole: str, gram: int = 8) -> DataFrame:
-    """The loose texts that no known text contains, found by the first `gram` characters and then compared; shorter texts stay."""
-    grams = known.select(F.col(whole).alias("_whole"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - gram + 1, F.lit(1))), lambda i: F.substring(F.col(whole), i, F.lit(gram))))).alias("_gram"))
-    held = loose.select(text).distinct().withColumn("_gram", F.substring(text, 1, gram)).join(grams, "_gram").filter(F.col("_whole").contains(F.col(text))).select(text).distinct()
+def stretches(text: Column, size: int, more: int) -> Column:
+    """An array of the stretches of `size` characters of a text, each with `more` of what follows: places within one are found in steps that don't grow with the text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(size))
+    return F.transform(starts, lambda i: F.substring(text, i, F.lit(size + more)))
+
+
+def not_contained(loose: DataFrame, text: str, known: DataFrame, whole: str, gram: int = 8, size: int = 1000) -> DataFrame:
+    """The loose texts that no known text contains, found by the first `gram` characters and then compared; shorter texts stay.
+
+    What is listed of the known texts are hashes of their grams with a key of the text; only texts with a gram that begins a loose
+    text are looked at whole.
+    """
+    keyed = known.filter(F.length(whole) >= gram).select(F.col(whole).alias("_whole"), F.xxhash64(whole).alias("_k1"), F.xxhash64(F.lit(1), whole).alias("_k2"))
+    part = keyed.select("_k1", "_k2", F.explode_outer(stretches(F.col("_whole"), size, gram - 1)).alias("_p"))
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.length("_p") - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col("_p"), i, F.lit(gram))))
+    needles = loose.filter(F.length(text) >= gram).select(F.col(text).alias("_text")).distinct().withColumn("_gram", F.xxhash64(F.substring("_text", 1, gram)))
+    met = part.select("_k1", "_k2", F.explode_outer(places).alias("_gram")).join(needles, "_gram").select("_k1", "_k2", "_text").distinct()
+    texts = keyed.join(met.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi").groupBy("_k1", "_k2").agg(F.any_value("_whole").alias("_whole"))
+    held = texts.join(met, ["_k1", "_k2"]).filter(F.col("_whole").contains(F.col("_text"))).select(F.col("_text").alias(text)).distinct()
     return loose.join(held, text, "left_anti")
 
 

@@ -18,16 +18,20 @@ def distance(a: Column, b: Column, width: int) -> Column:
 def block_pairs(rows: DataFrame, key: str, text: str, *, width: int = 40, most: int = 3) -> DataFrame:
     """a, b (a < b), distance of all rows whose texts differ in at most `most` of `width` places.
 
-    With most + 1 blocks, two such texts share one whole block (the pigeonhole), so equal blocks are candidates. Equal texts are
-    one class that is paired once, and its members are listed under it: see `classes`.
+    Of two such texts the longer, without the spaces at its end, has all differences inside it. Cut in most + 1 blocks by its length,
+    the two share one whole block (the pigeonhole), so a text is listed with the blocks of its own length and those of up to `most`
+    more, and equal blocks of one length are candidates. Spaces that fill a text up are in no block. Equal texts are one class that
+    is paired once, and its members are listed under it: see `classes`.
     """
-    size = -(-width // (most + 1))
     padded = F.rpad(F.substring(text, 1, width), width, " ")
-    one = rows.filter(F.col(text).isNotNull()).select(padded.alias("_t"), F.col(key)).groupBy("_t").agg(F.min(key).alias("_k"))
-    blocks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.substring("_t", 1 + i * size, size).alias("s")) for i in range(most + 1)])).alias("_b")
-    listed = one.select("_k", "_t", blocks)
-    pairs = listed.select(F.col("_k").alias("a"), F.col("_t").alias("_ta"), "_b").join(listed.select(F.col("_k").alias("b"), F.col("_t").alias("_tb"), "_b"), "_b").filter("a < b")
-    return pairs.select("a", "b", "_ta", "_tb").distinct().withColumn("distance", distance(F.col("_ta"), F.col("_tb"), width)).filter(F.col("distance") <= most).select("a", "b", "distance")
+    one = rows.filter(F.col(text).isNotNull()).select(padded.alias("_t"), F.col(key)).groupBy("_t").agg(F.min(key).alias("_k")).withColumn("_n", F.length(F.rtrim("_t")))
+    edge = lambda l, i: F.floor(l * i / (most + 1)).cast("int")  # noqa: E731, E741
+    blocks = lambda l: F.array(*[F.struct(l.alias("l"), F.lit(i).alias("i"), F.substring(F.col("_t"), edge(l, i) + 1, edge(l, i + 1) - edge(l, i)).alias("s")) for i in range(most + 1)])  # noqa: E731, E741
+    lengths = F.sequence("_n", F.least(F.col("_n") + most, F.lit(width)))
+    own = one.select(F.col("_k").alias("_ka"), F.col("_t").alias("_ta"), F.explode(blocks(F.col("_n"))).alias("_b"))
+    guests = one.select(F.col("_k").alias("_kb"), F.col("_t").alias("_tb"), F.explode(F.flatten(F.transform(lengths, blocks))).alias("_b"))
+    pairs = own.join(guests, "_b").filter("_ka <> _kb").select(F.least("_ka", "_kb").alias("a"), F.greatest("_ka", "_kb").alias("b"), F.least("_ta", "_tb").alias("_ta"), F.greatest("_ta", "_tb").alias("_tb"))
+    return pairs.distinct().withColumn("distance", distance(F.col("_ta"), F.col("_tb"), width)).filter(F.col("distance") <= most).select("a", "b", "distance")
 
 
 def classes(rows: DataFrame, key: str, text: str, width: int = 40) -> DataFrame:

@@ -113,10 +113,10 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, val
     """
     ours = left.select(*keys, F.col(at).alias("_at"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.lit(None).cast("long").alias("_t"), F.struct(*left.columns).alias("_row"))
     theirs = right.select(*keys, F.col(at).alias("_at"), F.col(value).alias("_v"), F.col(at).cast("long").alias("_t"), F.lit(None).cast(ours.schema["_row"].dataType).alias("_row"))
-    w = W.partitionBy(*keys).orderBy("_at")
-    upto, since = w.rangeBetween(W.unboundedPreceding, 0), w.rangeBetween(0, W.unboundedFollowing)
+    # Both frames begin with the key and grow, one in either direction: a frame that shrinks would be summed up anew for each row.
+    upto, since = (W.partitionBy(*keys).orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.col("_at"), F.desc("_at")))
     pair = F.when(F.col("_t").isNotNull(), F.struct("_t", "_v"))
-    both = ours.unionByName(theirs).withColumn("_b", F.last(pair, ignorenulls=True).over(upto)).withColumn("_a", F.first(pair, ignorenulls=True).over(since)).filter(F.col("_row").isNotNull())
+    both = ours.unionByName(theirs).withColumn("_b", F.last(pair, ignorenulls=True).over(upto)).withColumn("_a", F.last(pair, ignorenulls=True).over(since)).filter(F.col("_row").isNotNull())
     before, after = F.col("_at") - F.col("_b._t"), F.col("_a._t") - F.col("_at")
     earlier = F.when(after.isNull() | (before <= after), True).otherwise(False) & before.isNotNull()
     distance = F.when(earlier, before).otherwise(after)

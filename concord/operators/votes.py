@@ -74,15 +74,18 @@ def pick(df: DataFrame, keys: Sequence[str], value: str, *, least: int = 2, perc
 def rare_filter(df: DataFrame, keys: Sequence[str], value: str, *, least: int = 3, ratio: int = 10) -> DataFrame:
     """keys, value, n: the values of a key that came at least `least` times and a `ratio`-th as often as its commonest."""
     counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
-    top = F.max("n").over(W.partitionBy(*keys)) if keys else F.max("n").over(W.partitionBy(F.lit(0)))
+    top = F.max("n").over(W.partitionBy(*keys)) if keys else F.lit(counts.agg(F.max("n")).first()[0])
     return counts.withColumn("_top", top).filter((F.col("n") >= least) & (F.col("n") * ratio >= F.col("_top"))).drop("_top")
 
 
-def foreign_rows(rows: DataFrame, page: str, row: str, versions: str | None = None, ratio: int = 3) -> DataFrame:
-    """page, row, n: rows kept where they came a `ratio`-th as often as on the page that has them most, or more."""
-    counts = rows.groupBy(page, row).agg(F.count("*").alias("n"))
+def foreign_rows(rows: DataFrame, page: str, row: str, versions: str | None = None, ratio: int = 3, clean: bool = False) -> DataFrame:
+    """page, row, n: rows kept where they came more than a `ratio`-th as often as on the page that has them most, or in two versions or more of the page's own. A clean stream keeps all."""
+    own = F.countDistinct(versions) if versions else F.lit(1)
+    counts = rows.groupBy(page, row).agg(F.count("*").alias("n"), own.alias("_own"))
+    if clean:
+        return counts.select(page, row, "n")
     top = counts.groupBy(row).agg(F.max("n").alias("_top"))
-    return counts.join(top, row).filter(F.col("n") * ratio > F.col("_top")).select(page, row, "n")
+    return counts.join(top, row).filter((F.col("n") * ratio > F.col("_top")) | (F.col("_own") >= 2)).select(page, row, "n")
 
 
 def majority_kind(df: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
@@ -93,10 +96,11 @@ def majority_kind(df: DataFrame, keys: Sequence[str], kind: str) -> DataFrame:
 def consensus(df: DataFrame, keys: Sequence[str], value: str, evidence: str, *, least: int = 3, lead: int = 2, distinct: int = 3) -> DataFrame:
     """keys, value, n: the commonest value of a key if it has `least` copies, `lead` times the second's, from `distinct` different pieces of evidence."""
     by = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"), F.countDistinct(evidence).alias("_kinds"))
-    first = F.max(F.struct("n", F.col(value).alias("v"), F.col("_kinds").alias("kinds"))).alias("_a")
-    top = by.groupBy(*keys).agg(first, F.sort_array(F.collect_list("n"), False).alias("_ns"))
-    second = F.coalesce(F.get("_ns", F.lit(1)), F.lit(0))
-    return top.filter((F.col("_a.n") >= least) & (F.col("_a.n") >= second * lead) & (F.col("_a.kinds") >= distinct)).select(*keys, F.col("_a.v").alias(value), F.col("_a.n").alias("n"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("n"), F.desc(value), F.desc("_kinds")))
+    two = by.withColumn("_place", place).filter(F.col("_place") <= 2)
+    first = F.max(F.when(F.col("_place") == 1, F.struct("n", F.col(value).alias("v"), F.col("_kinds").alias("kinds")))).alias("_a")
+    top = two.groupBy(*keys).agg(first, F.max(F.when(F.col("_place") == 2, F.col("n"))).alias("_second"))
+    return top.filter((F.col("_a.n") >= least) & (F.col("_a.n") >= F.coalesce("_second", F.lit(0)) * lead) & (F.col("_a.kinds") >= distinct)).select(*keys, F.col("_a.v").alias(value), F.col("_a.n").alias("n"))
 
 
 def entropy(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -120,8 +124,23 @@ def header_shape(df: DataFrame, keys: Sequence[str], header: str) -> DataFrame:
     return vote(shaped.join(shape, [*keys, "_shape"]), keys, header).select(*keys, header, F.col("votes").alias("n"))
 
 
+def distant_slope(df: DataFrame, keys: Sequence[str], x: str, y: str, *, share: float = 0.2, least: int = 10) -> DataFrame:
+    """keys, slope: the median slope between points of a key that are more than `share` of its range apart; 1 where there are at most `least` such pairs.
+
+    Every point is paired with one other, by a permutation-like step through the points in order of x, so pairs grow with points.
+    """
+    w = W.partitionBy(*keys)
+    ranked = df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).withColumn("_i", F.row_number().over(w.orderBy("_x", "_y"))).withColumn("_n", F.count("*").over(w)).withColumn("_wide", F.max("_x").over(w) - F.min("_x").over(w))
+    one = ranked.withColumn("_j", (F.col("_i") * 7919 + 104729) % F.col("_n") + 1)
+    two = ranked.select(*keys, F.col("_i").alias("_j"), F.col("_x").alias("_u"), F.col("_y").alias("_v"))
+    far = one.join(two, [*keys, "_j"]).filter(F.abs(F.col("_u") - F.col("_x")) > share * F.col("_wide"))
+    found = far.groupBy(*keys).agg(F.count("*").alias("_k"), F.median((F.col("_v") - F.col("_y")) / (F.col("_u") - F.col("_x"))).alias("_s"))
+    return df.select(*keys).distinct().join(found, list(keys), "left").select(*keys, F.when(F.col("_k") > least, F.col("_s")).otherwise(F.lit(1.0)).alias("slope"))
+
+
 def robust_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, limit: float) -> DataFrame:
-    """keys, slope, intercept, n: least squares over the points within `limit` of the median of y - x."""
-    middle = df.groupBy(*keys).agg(F.median(F.col(y) - F.col(x)).alias("_m"))
-    near = df.join(middle, list(keys)).filter(F.abs(F.col(y) - F.col(x) - F.col("_m")) <= limit)
+    """keys, slope, intercept, n: least squares over the points within `limit` of the line with the median slope of distant points and the median of what that leaves."""
+    steep = df.join(distant_slope(df, keys, x, y).withColumnRenamed("slope", "_s"), list(keys)).withColumn("_r", F.col(y) - F.col("_s") * F.col(x))
+    middle = steep.groupBy(*keys).agg(F.median("_r").alias("_m"))
+    near = steep.join(middle, list(keys)).filter(F.abs(F.col("_r") - F.col("_m")) <= limit)
     return near.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))

@@ -130,11 +130,14 @@ def A10_pick_60_percent(spark, sf_dir):
 
 @query(f"""
 WITH e AS (SELECT user_id, event_id AS x, {AT} AS y FROM events),
-m AS (SELECT user_id, median(y - x) AS m FROM e GROUP BY user_id)
-SELECT user_id, round(regr_slope(y, x), 6) AS slope, count(*) AS n FROM e JOIN m USING (user_id) WHERE abs(y - x - m) <= 500000 GROUP BY user_id""")
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY x, y) AS i, count(*) OVER (PARTITION BY user_id) AS n, max(x) OVER (PARTITION BY user_id) - min(x) OVER (PARTITION BY user_id) AS wide FROM e),
+p AS (SELECT a.user_id, (b.y - a.y)::double / (b.x - a.x) AS s FROM r a JOIN r b ON a.user_id = b.user_id AND b.i = (a.i * 7919 + 104729) % a.n + 1 WHERE abs(b.x - a.x) > 0.2 * a.wide),
+l AS (SELECT user_id, CASE WHEN count(*) > 10 THEN median(s) ELSE 1 END AS s FROM p GROUP BY user_id), f AS (SELECT e.*, y - coalesce(s, 1) * x AS left_over FROM e LEFT JOIN l USING (user_id)),
+m AS (SELECT user_id, median(left_over) AS m FROM f GROUP BY user_id)
+SELECT user_id, round(regr_slope(y, x), 4) AS slope, count(*) AS n FROM f JOIN m USING (user_id) WHERE abs(left_over - m) <= 200000 GROUP BY user_id""")
 def A11_robust_fit(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("x"), seconds().alias("y"))
-    return votes.robust_fit(e, ["user_id"], "x", "y", 500_000).select("user_id", F.round("slope", 6).alias("slope"), "n")
+    return votes.robust_fit(e, ["user_id"], "x", "y", 200_000).select("user_id", F.round("slope", 4).alias("slope"), "n")
 
 
 @query("""
@@ -208,11 +211,11 @@ def F06_rare_filter(spark, sf_dir):
 
 
 @query("""
-WITH r AS (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT source, line, count(*) AS n FROM r WHERE line <> '' GROUP BY ALL)
-SELECT source, sha256(line) AS line, n FROM (SELECT *, max(n) OVER (PARTITION BY line) AS top FROM c) WHERE n * 3 > top""")
+WITH r AS (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents), c AS (SELECT source, line, count(*) AS n, count(DISTINCT lang) AS own FROM r WHERE line <> '' GROUP BY ALL)
+SELECT source, sha256(line) AS line, n FROM (SELECT *, max(n) OVER (PARTITION BY line) AS top FROM c) WHERE n * 3 > top OR own >= 2""")
 def F09_foreign_rows(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
-    return votes.foreign_rows(rows, "source", "line").withColumn("line", F.sha2(F.col("line").cast("binary"), 256))
+    rows = table(spark, sf_dir, "documents").select("source", "lang", F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    return votes.foreign_rows(rows, "source", "line", "lang").withColumn("line", F.sha2(F.col("line").cast("binary"), 256))
 
 
 @query("""
@@ -228,9 +231,12 @@ def F02_plausible(spark, sf_dir):
     return li.filter(F.col("l_quantity").between(5, 45) & F.col("l_discount").between(0.01, 0.09) & F.expr("l_shipdate BETWEEN TIMESTAMP_NTZ'1993-01-01' AND TIMESTAMP_NTZ'1997-12-31'")).select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT p_partkey FROM part WHERE length(regexp_replace(p_name, '\\s', '', 'g')) >= 12")
+@query("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (length(regexp_replace(line, '[ \\t\\n\\x0B\\f\\r]', '', 'g')) >= 12) AS informative FROM l GROUP BY doc_id""")
 def F03_informative_rows(spark, sf_dir):
-    return table(spark, sf_dir, "part").filter(F.length(F.regexp_replace("p_name", r"\s", "")) >= 12).select("p_partkey")
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(F.length(F.regexp_replace("line", r"\s", "")) >= 12).alias("informative"))
 
 
 @query("""
@@ -517,22 +523,12 @@ def J11_fold_one_digit(spark, sf_dir):
     return relations.fold_one_digit(keys, "k", F.col("good"))
 
 
-@query("""
-WITH RECURSIVE l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey * 2 <= (SELECT max(o_orderkey) FROM orders) THEN o_orderkey * 2 END AS nx FROM orders),
-c AS (SELECT o_orderkey AS start, o_orderkey AS k, 0 AS step FROM orders WHERE o_orderkey % 2 = 1 AND o_orderkey < 100 UNION ALL SELECT c.start, l.nx, step + 1 FROM c JOIN l ON c.k = l.k WHERE l.nx IS NOT NULL)
-SELECT start, k, step FROM c""")
-def J16_continuation_chain(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    most = o.agg(F.max("k")).first()[0]
-    return relations.chain(o.withColumn("nx", F.when(F.col("k") * 2 <= most, F.col("k") * 2)), "k", "nx", o.filter("k % 2 = 1 AND k < 100"))
-
-
 @query("""
 WITH RECURSIVE l AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey * 2 <= (SELECT max(o_orderkey) FROM orders) THEN o_orderkey * 2 END AS nx FROM orders),
 c AS (SELECT k AS start, k, 0 AS step FROM l WHERE k NOT IN (SELECT nx FROM l WHERE nx IS NOT NULL) UNION ALL SELECT c.start, l.nx, step + 1 FROM c JOIN l ON c.k = l.k WHERE l.nx IS NOT NULL)
 SELECT start, k, step FROM c""")
-def J16_all_chains(spark, sf_dir):
-    """J16_continuation_chain from every record that no other points to."""
+def J16_continuation_chain(spark, sf_dir):
+    """From every record that no other points to."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
     most = o.agg(F.max("k")).first()[0]
     l = o.withColumn("nx", F.when(F.col("k") * 2 <= most, F.col("k") * 2))  # noqa: E741
@@ -629,13 +625,12 @@ def G21_snap_ids(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT doc_id * 2 AS k, substr(text, 1, 120) AS t FROM documents UNION ALL SELECT doc_id * 2 + 1, substr(text, 61, 120) FROM documents), p AS (SELECT a.k AS a, b.k AS b, i AS "at", least(length(a.t) - i, length(b.t)) AS overlap, substr(a.t, i + 1, least(length(a.t) - i, length(b.t))::int) AS x, substr(b.t, 1, least(length(a.t) - i, length(b.t))::int) AS y
+WITH t AS (SELECT conv_id * 1000 + turn AS k, text AS t FROM conversations), p AS (SELECT a.k AS a, b.k AS b, i AS "at", least(length(a.t) - i, length(b.t)) AS overlap, substr(a.t, i + 1, least(length(a.t) - i, length(b.t))::int) AS x, substr(b.t, 1, least(length(a.t) - i, length(b.t))::int) AS y
   FROM t a, unnest(range(0, length(a.t) - 7)) AS u(i), t b WHERE a.k <> b.k AND substr(a.t, i::int + 1, 8) = substr(b.t, 1, 8)),
 q AS (SELECT *, len(list_filter(range(1, overlap + 1), lambda j: substr(x, j::int, 1) <> substr(y, j::int, 1))) AS off FROM p)
 SELECT a, b, CAST("at" AS integer) AS "at", CAST(overlap AS integer) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY overlap DESC, "at") AS rn FROM q WHERE off * 12 <= overlap) WHERE rn = 1""")
 def J12_gram_overlap(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    cuts = d.select((F.col("doc_id") * 2).alias("k"), F.substring("text", 1, 120).alias("t")).union(d.select(F.col("doc_id") * 2 + 1, F.substring("text", 61, 120)))
+    cuts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.col("text").alias("t"))
     return similarity.gram_overlaps(cuts, "k", "t")
 
 
@@ -673,18 +668,17 @@ def G24_best_copy(spark, sf_dir):
 
 # --- codes and packets: values are encoded, damaged as far as the code can mend, decoded, and must be what they were
 
-#: The first 60 bytes of a text, as DuckDB sees them.
-PAYLOAD = "SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 60) AS payload FROM documents WHERE length(regexp_replace(text, '[^ -~]', '', 'g')) > 0"
+#: A digest of whole texts, as DuckDB sees them.
+PAYLOAD = "SELECT doc_id, sha256(regexp_replace(text, '[^ -~]', '', 'g')) AS payload FROM documents WHERE length(regexp_replace(text, '[^ -~]', '', 'g')) > 0"
 
 
 def _round_trip(spark: SparkSession, sf_dir: str, kind: str, bent: bool = True) -> DataFrame:
-    """Whole texts there and back. The payload is the first 60 bytes, as in the SQL, of what came back, and null unless all of it is as it was."""
+    """Whole texts there and back: a digest of what came back."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t")).filter("length(t) > 0")
     d = d.withColumn("size", F.length("t")).withColumn("sent", K.encode_bytes(F.col("t").cast("binary"), kind))
     if bent:
         d = d.withColumn("sent", K.damage(F.col("sent"), F.col("doc_id"), kind))
-    back = d.select("doc_id", "t", K.decode_bytes(F.col("sent"), F.col("size"), kind).cast("string").alias("back"))
-    return back.select("doc_id", F.when(F.col("back") == F.col("t"), F.substring("back", 1, 60)).alias("payload"))
+    return d.select("doc_id", F.sha2(K.decode_bytes(F.col("sent"), F.col("size"), kind), 256).alias("payload"))
 
 
 @query(PAYLOAD)
@@ -804,18 +798,6 @@ def C20_type_sniff(spark, sf_dir):
     return d.select("page_id", F.when(F.upper("html").startswith("<!DOCTYPE"), "html").otherwise(F.col("kind")).alias("kind"))
 
 
-#: Pages made of texts: page and subcode from the id, six rows of 40 characters.
-LINES = """
-WITH t AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents WHERE doc_id < 4000), r AS (SELECT doc_id, i AS row, substr(t, 40 * (i - 1)::int + 1, 40) AS line FROM t, unnest(range(1, 7)) AS u(i))"""
-
-
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = table(spark, sf_dir, "documents").filter("doc_id < 4000").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t"))
-    rows = t.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.struct(i.alias("row"), F.substring("t", 40 * (i - 1) + 1, F.lit(40)).alias("text")))).alias("x"))
-    # A page number is eight bits without the filler, a subcode thirteen.
-    return rows.select("doc_id", (1 + F.col("doc_id") % 8).cast("int").alias("magazine"), F.floor(F.col("doc_id") / 8 % 200).cast("int").alias("page"), F.floor(F.col("doc_id") / 1600).cast("int").alias("subcode"), "x.row", "x.text")
-
-
 def _bent_copies(one: DataFrame, recording) -> DataFrame:
     """Five copies of packets with a bit wrong in one of them at each place in turn."""
     bent = F.pmod(F.xxhash64("seq", "copy"), F.lit(38)) + 3  # never an address
@@ -826,22 +808,6 @@ def _bent_copies(one: DataFrame, recording) -> DataFrame:
     return one.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(recording.alias("recording"), (F.col("copy") * 10_000_000_000 + F.col("seq")).alias("seq"), F.when(flip & row, wrong).otherwise(F.col("packet")).alias("packet"))
 
 
-@query(LINES + " SELECT doc_id, CAST(row AS integer) AS row, rpad(line, 40, ' ') AS text FROM r")
-def D01_rt_pages(spark, sf_dir):
-    """Pages to packets, five copies with a bit wrong in one of them at each place in turn, and back by votes."""
-    lines = _lines(spark, sf_dir)
-    copies = _bent_copies(pages.to_packets(lines), F.lit("made"))
-    voted = pages.vote_pages(pages.quorum_pages(pages.paginate(pages.parse(copies)))).filter("row > 0")
-    return voted.select((F.col("subcode") * 1600 + F.col("page") * 8 + F.col("magazine") - 1).cast("long").alias("doc_id"), "row", "text")
-
-
-@query(LINES + " SELECT doc_id, sha256(string_agg(rtrim(line), chr(10) ORDER BY row)) AS text FROM r GROUP BY doc_id")
-def K06_page_text(spark, sf_dir):
-    copies = pages.to_packets(_lines(spark, sf_dir)).select(F.lit("made").alias("recording"), "seq", "packet")
-    text = pages.page_text(pages.vote_pages(pages.paginate(pages.parse(copies))))
-    return text.select((F.col("subcode") * 1600 + F.col("page") * 8 + F.col("magazine") - 1).cast("long").alias("doc_id"), F.sha2(F.col("text").cast("binary"), 256).alias("text"))
-
-
 #: Pages made of all texts from end to end: each document is a recording of its own, with as many pages of 24 rows as it needs.
 WHOLE = """
 WITH t AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '', 'g') AS t FROM documents), r AS (SELECT doc_id, i AS row, substr(t, 40 * (i - 1)::int + 1, 40) AS line FROM t, unnest(range(1, (length(t) + 39) // 40 + 1)) AS u(i))"""
@@ -861,8 +827,8 @@ NTH = "subcode * 1600 + page * 8 + magazine - 1"
 
 
 @query(WHOLE + " SELECT doc_id, CAST(row AS integer) AS row, rpad(line, 40, ' ') AS text FROM r")
-def D01_rt_whole_pages(spark, sf_dir):
-    """D01_rt_pages over all documents and their whole texts."""
+def D01_rt_pages(spark, sf_dir):
+    """Pages to packets, five copies with a bit wrong in one of them at each place in turn, and back by votes."""
     copies = _bent_copies(pages.to_packets(_whole_lines(spark, sf_dir), ["recording"]), F.col("recording"))
     held = pages.quorum_pages(pages.paginate(pages.parse(copies)), keys=PAGE[:3])
     voted = pages.vote_pages(held, PAGE).filter("row > 0")
@@ -870,8 +836,7 @@ def D01_rt_whole_pages(spark, sf_dir):
 
 
 @query(WHOLE + " SELECT doc_id, sha256(string_agg(rtrim(line), chr(10) ORDER BY row)) AS text FROM r GROUP BY doc_id")
-def K06_whole_page_text(spark, sf_dir):
-    """K06_page_text over all documents and their whole texts."""
+def K06_page_text(spark, sf_dir):
     copies = pages.to_packets(_whole_lines(spark, sf_dir), ["recording"])
     text = pages.page_text(pages.vote_pages(pages.paginate(pages.parse(copies)), PAGE), PAGE)
     every = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.expr(NTH).alias("n"), "text"))), lambda x: x["text"]), "\n")
@@ -886,24 +851,16 @@ def D18_programme_labels(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT user_id, event_type, (event_id * 37) % 1000 AS minute_at FROM events WHERE event_type = 'view'), s AS (SELECT s_suppkey, s_suppkey * 20 AS a, 15 + s_suppkey % 30 AS m, lead(s_suppkey * 20) OVER (ORDER BY s_suppkey * 20) AS following FROM supplier)
+WITH c AS (SELECT user_id, event_type, (event_id * 37) % 1000 AS minute_at FROM events), s AS (SELECT s_suppkey, s_suppkey * 20 AS a, 15 + s_suppkey % 30 AS m, lead(s_suppkey * 20) OVER (ORDER BY s_suppkey * 20) AS following FROM supplier)
 SELECT user_id, minute_at, s_suppkey, following FROM c JOIN s ON minute_at >= a AND minute_at < a + m""")
 def D36_on_air(spark, sf_dir):
-    clock = table(spark, sf_dir, "events").filter("event_type = 'view'").select("user_id", (F.col("event_id") * 37 % 1000).alias("minute_at"), F.lit("c").alias("channel"))
+    clock = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") * 37 % 1000).alias("minute_at"), F.lit("c").alias("channel"))
     slots = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") * 20).alias("a"), (15 + F.col("s_suppkey") % 30).alias("m"), F.lit("c").alias("channel"))
     return services.on_air(clock, slots, ["channel"], "minute_at", "a", "m").select("user_id", "minute_at", "s_suppkey", "following")
 
 
-@query("SELECT CAST(source AS varchar) AS source, sha256(string_agg(part, '' ORDER BY k)) AS data, count(*) AS blocks, count(*) = 5 AS whole FROM (SELECT source, doc_id % 5 AS k, min(encode(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 10))) AS b, min(substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 10)) AS part FROM documents GROUP BY source, doc_id % 5) GROUP BY source")
-def D24_files_from_blocks(spark, sf_dir):
-    head = F.substring(F.regexp_replace("text", "[^ -~]", ""), 1, 10)
-    blocks = table(spark, sf_dir, "documents").groupBy("source", (F.col("doc_id") % 5).alias("k")).agg(F.min(head).alias("t")).select("source", "k", F.col("t").cast("binary").alias("d"), F.lit(5).alias("n"))
-    return services.assemble(blocks, "source", "k", "d", "n").select("source", F.sha2("data", 256).alias("data"), "blocks", "whole")
-
-
 @query("SELECT CAST(source AS varchar) AS source, sha256(string_agg(part, '' ORDER BY k)) AS data, count(*) AS blocks, count(*) = 5 AS whole FROM (SELECT source, doc_id % 5 AS k, min(regexp_replace(text, '[^ -~]', '', 'g')) AS part FROM documents GROUP BY source, doc_id % 5) GROUP BY source")
-def D24_files_from_texts(spark, sf_dir):
-    """D24_files_from_blocks with whole texts as blocks."""
+def D24_files_from_blocks(spark, sf_dir):
     whole = F.regexp_replace("text", "[^ -~]", "")
     blocks = table(spark, sf_dir, "documents").groupBy("source", (F.col("doc_id") % 5).alias("k")).agg(F.min(whole).alias("t")).select("source", "k", F.col("t").cast("binary").alias("d"), F.lit(5).alias("n"))
     return services.assemble(blocks, "source", "k", "d", "n").select("source", F.sha2("data", 256).alias("data"), "blocks", "whole")
@@ -966,23 +923,11 @@ def G03_recover_headers(spark, sf_dir):
     return recovery.recover_headers(h, ["user_id"], percent=40).select("user_id", F.col("seq").alias("event_id"), "page", "guessed")
 
 
-@query("""
-WITH r AS (SELECT DISTINCT source, lang, line FROM (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 5), o AS (SELECT DISTINCT doc_id AS orphan, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE doc_id % 7 = 0) WHERE length(line) > 5),
-m AS (SELECT orphan, lang, count(DISTINCT line) AS n FROM o JOIN (SELECT DISTINCT lang, line FROM r) USING (line) GROUP BY orphan, lang), k AS (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY n DESC, lang DESC) AS rn, lead(n, 1, 0) OVER (PARTITION BY orphan ORDER BY n DESC, lang DESC) AS second FROM m)
-SELECT orphan, lang, n FROM k WHERE rn = 1 AND n >= 3 AND n >= 3 * second""")
-def G04_own_orphans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).filter("length(line) > 5")
-    rows = d.select("lang", F.col("line").alias("text")).distinct().withColumn("row", F.col("text"))
-    loose = d.filter("doc_id % 7 = 0").select(F.col("doc_id").alias("orphan"), F.col("line").alias("text")).distinct().withColumn("row", F.col("text"))
-    return recovery.own_orphans(rows, loose, ["lang"], "row", "text")
-
-
 @query("""
 WITH r AS (SELECT DISTINCT source, lang, line FROM (SELECT source, lang, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 5), o AS (SELECT DISTINCT doc_id AS orphan, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) > 5),
 m AS (SELECT orphan, lang, count(DISTINCT line) AS n FROM o JOIN (SELECT DISTINCT lang, line FROM r) USING (line) GROUP BY orphan, lang), k AS (SELECT *, row_number() OVER (PARTITION BY orphan ORDER BY n DESC, lang DESC) AS rn, lead(n, 1, 0) OVER (PARTITION BY orphan ORDER BY n DESC, lang DESC) AS second FROM m)
 SELECT orphan, lang, n FROM k WHERE rn = 1 AND n >= 3 AND n >= 3 * second""")
-def G04_all_orphans(spark, sf_dir):
-    """G04_own_orphans with every document as an orphan."""
+def G04_own_orphans(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.split("text", "\n")).alias("line")).filter("length(line) > 5")
     rows = d.select("lang", F.col("line").alias("text")).distinct().withColumn("row", F.col("text"))
     loose = d.select(F.col("doc_id").alias("orphan"), F.col("line").alias("text")).distinct().withColumn("row", F.col("text"))
