@@ -52,9 +52,9 @@ def encode_hamming84(value: Column) -> Column:
     return F.element_at(F.lit(list(_literal("words"))), value.cast("int") + 1)
 
 
-def packet_address(first: Column, second: Column) -> Column:
-    """magazine (1 to 8) and row of a packet, from its first two Hamming bytes; null where either can't be read."""
-    a, b = hamming84(first), hamming84(second)
+def packet_address(first: Column, second: Column, correct: bool = True) -> Column:
+    """magazine (1 to 8) and row of a packet, from its first two Hamming bytes; null where either can't be read. Not correct: nor where a bit is wrong, as on tape, where a slip of a bit looks like another row."""
+    a, b = hamming84(first, correct), hamming84(second, correct)
     low = a.bitwiseAND(F.lit(7))
     return F.when((a >= 0) & (b >= 0), F.struct(F.when(low == 0, 8).otherwise(low).alias("magazine"), (F.shiftright(a, 3) + b * 2).alias("row")))
 
@@ -245,3 +245,21 @@ def damage(data: Column, seed: Column, kind: str) -> Column:
         return pd.Series(out)
 
     return run(data, seed)
+
+
+def tv_line(stored: Column, lines: int, first: int, pal: bool = True, starts: tuple[int, int] = (0, 0)) -> Column:
+    """line (of its field) and field of a stored line, from 0, of frames with so many lines; first: the TV line of the first one, starts: those of each field's first line where they are known."""
+    half, later, total = lines // 2, (313 if pal else 263), (625 if pal else 525)
+
+    def of(field: int) -> Column:
+        place = stored % half
+        return (starts[field] - 1 + place) % total + 1 if starts[field] > 0 else first + place + field * later
+
+    tv = F.when(stored < half, of(0)).otherwise(of(1))
+    return F.struct(F.when(tv > later, tv - later).otherwise(tv).cast("int").alias("line"), F.when(tv > later, 2).otherwise(1).alias("field"))
+
+
+def recording_time(seconds: Column) -> Column:
+    """hh:mm:ss.s of a time from the beginning of a recording; what is before it is 0."""
+    s = F.greatest(seconds.cast("double"), F.lit(0.0))
+    return F.format_string("%02d:%02d:%04.1f", F.floor(s / 3600), F.floor(s / 60) % 60, F.bround(s % 60, 1))

@@ -22,9 +22,9 @@ from concord.plans.work import arrow_udf
 WIDTH = 40
 
 
-def parse(packets: DataFrame) -> DataFrame:
-    """recording, seq, magazine, row, payload (bytes 3 to 42), and for headers page (0 to 255, null if unreadable), subcode, control (11 bits); packets whose address can't be read are left out."""
-    address = K.packet_address(K.byte_at(F.col("packet"), 0), K.byte_at(F.col("packet"), 1))
+def parse(packets: DataFrame, exact: bool = False) -> DataFrame:
+    """recording, seq, magazine, row, payload (bytes 3 to 42), and for headers page (0 to 255, null if unreadable), subcode, control (11 bits); packets whose address can't be read are left out. exact: addresses with a wrong bit are not mended."""
+    address = K.packet_address(K.byte_at(F.col("packet"), 0), K.byte_at(F.col("packet"), 1), not exact)
     rows = packets.filter(F.length("packet") == 42).withColumn("_a", address).filter("_a IS NOT NULL")
     nibble = lambda k: K.hamming84(K.byte_at(F.col("packet"), k))
     digits = F.transform(F.array(*[nibble(k) for k in range(2, 10)]), lambda x: x.cast("int"))
@@ -160,3 +160,17 @@ def to_packets(pages: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     # The order of pages is that of their numbers; a page number, subcode and row fit one long.
     seq = ((F.col("magazine").cast("long") * 256 + F.col("page")) * 16384 + F.col("subcode")) * 32 + F.col("row")
     return every.select(*keys, seq.alias("seq"), code.alias("packet"))
+
+
+def packet_times(rows: DataFrame, keys: Sequence[str], order: str, known: str | None = None, rate: float = 650.0) -> DataFrame:
+    """rows with second: the time of the frame that a line map gives (`known`, seconds, null where it has none), carried on from the last one that has it; without any before, the packet's number over `rate`."""
+    w = W.partitionBy(*keys).orderBy(order)
+    number = F.row_number().over(w) - 1
+    if known is None:
+        return rows.withColumn("second", number / rate)
+    return rows.withColumn("second", F.coalesce(F.last(known, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)), number / rate))
+
+
+def subcode_groups(rows: DataFrame, keys: Sequence[str], subcode: str = "subcode") -> DataFrame:
+    """rows with group: copies of a page with the same lower two digits of the subcode, seven bits, are one; a copy without a subcode has none."""
+    return rows.withColumn("group", F.col(subcode).bitwiseAND(F.lit(0x7F)))

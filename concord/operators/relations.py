@@ -173,3 +173,10 @@ def not_contained(loose: DataFrame, text: str, known: DataFrame, whole: str, gra
 def rank_in_window(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """df with rank: its place in the key, from 1."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
+def upsert_files(files: DataFrame, keys: Sequence[str], complete: str, size: str, order: str) -> DataFrame:
+    """keys, complete, size, at (order of the one that stays), copies (complete ones): a complete file replaces a part, a longer part a shorter one; of equal ones the first stays."""
+    key = F.struct(F.col(complete).cast("int").alias("c"), F.when(F.col(complete), 0).otherwise(F.col(size)).alias("s"), (-F.col(order)).alias("o"), F.col(size).alias("z"))
+    best = files.groupBy(*keys).agg(F.max(key).alias("_m"), F.count_if(complete).alias("copies"))
+    return best.select(*keys, (F.col("_m.c") == 1).alias("complete"), F.col("_m.z").alias("size"), (-F.col("_m.o")).alias("at"), "copies")

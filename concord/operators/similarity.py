@@ -18,16 +18,16 @@ def distance(a: Column, b: Column, width: int) -> Column:
 def block_pairs(rows: DataFrame, key: str, text: str, *, width: int = 40, most: int = 3) -> DataFrame:
     """a, b (a < b), distance of all rows whose texts differ in at most `most` of `width` places.
 
-    Of two such texts the longer, without the spaces at its end, has all differences inside it. Cut in most + 1 blocks by its length,
-    the two share one whole block (the pigeonhole), so a text is listed with the blocks of its own length and those of up to `most`
-    more, and equal blocks of one length are candidates. Spaces that fill a text up are in no block. Equal texts are one class that
-    is paired once, and its members are listed under it: see `classes`.
+    Of two such texts the longer, without the spaces at its end, has all differences inside it. Cut in most + 1 blocks by its length
+    (rounded up to a multiple of most + 1), the two share one whole block, by the pigeonhole. So a text is listed with the blocks of
+    its own length, and as the shorter one with those of all lengths above; equal blocks of one length are candidates. The longer's
+    blocks hold text, so that spaces that fill texts up bring none together. Equal texts are one class that is paired once, and its
+    members are listed under it: see `classes`.
     """
     padded = F.rpad(F.substring(text, 1, width), width, " ")
-    one = rows.filter(F.col(text).isNotNull()).select(padded.alias("_t"), F.col(key)).groupBy("_t").agg(F.min(key).alias("_k")).withColumn("_n", F.length(F.rtrim("_t")))
-    edge = lambda l, i: F.floor(l * i / (most + 1)).cast("int")  # noqa: E731, E741
-    blocks = lambda l: F.array(*[F.struct(l.alias("l"), F.lit(i).alias("i"), F.substring(F.col("_t"), edge(l, i) + 1, edge(l, i + 1) - edge(l, i)).alias("s")) for i in range(most + 1)])  # noqa: E731, E741
-    lengths = F.sequence("_n", F.least(F.col("_n") + most, F.lit(width)))
+    one = rows.filter(F.col(text).isNotNull()).select(padded.alias("_t"), F.col(key)).groupBy("_t").agg(F.min(key).alias("_k")).withColumn("_n", F.greatest(F.ceil(F.length(F.rtrim("_t")) / (most + 1)), F.lit(1)).cast("int"))
+    blocks = lambda size: F.array(*[F.struct(size.alias("l"), F.lit(i).alias("i"), F.substring(F.col("_t"), size * i + 1, size).alias("s")) for i in range(most + 1)])
+    lengths = F.sequence("_n", F.lit(-(-width // (most + 1))))  # of a block
     own = one.select(F.col("_k").alias("_ka"), F.col("_t").alias("_ta"), F.explode(blocks(F.col("_n"))).alias("_b"))
     guests = one.select(F.col("_k").alias("_kb"), F.col("_t").alias("_tb"), F.explode(F.flatten(F.transform(lengths, blocks))).alias("_b"))
     pairs = own.join(guests, "_b").filter("_ka <> _kb").select(F.least("_ka", "_kb").alias("a"), F.greatest("_ka", "_kb").alias("b"), F.least("_ta", "_tb").alias("_ta"), F.greatest("_ta", "_tb").alias("_tb"))
@@ -111,3 +111,11 @@ def restore_words(words: DataFrame, word: str, *, often: int = 5, ratio: int = 1
     bad = listed.filter(F.col("n") < often)
     met = bad.join(good, "_m").filter((F.col("_k") >= F.col("n") * ratio)).groupBy(word).agg(F.min("_good").alias("_a"), F.max("_good").alias("_b"))
     return counts.join(met, word, "left").select(word, "n", F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.col(word)).alias("restored"))
+
+
+def known_words(words: DataFrame, word: str, stems: DataFrame, stem: str, endings: Sequence[str]) -> DataFrame:
+    """word, known: whether a word is a stem of the dictionary with one of the endings; words are listed under each stem they may have, so the join is by equality."""
+    once = words.filter(F.length(word) > 0).select(word).distinct()
+    cut = F.array_compact(F.array(*[F.when(F.col(word).endswith(e) & (F.length(word) > len(e)), F.expr(f"left(`{word}`, length(`{word}`) - {len(e)})")) for e in endings]))
+    found = once.select(word, F.explode(cut).alias("_stem")).join(stems.select(F.col(stem).alias("_stem")).distinct(), "_stem", "left_semi").select(word).distinct().withColumn("_known", F.lit(True))
+    return once.join(found, word, "left").select(word, F.coalesce("_known", F.lit(False)).alias("known"))

@@ -144,3 +144,13 @@ def robust_fit(df: DataFrame, keys: Sequence[str], x: str, y: str, limit: float)
     middle = steep.groupBy(*keys).agg(F.median("_r").alias("_m"))
     near = steep.join(middle, list(keys)).filter(F.abs(F.col("_r") - F.col("_m")) <= limit)
     return near.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.count("*").alias("n"))
+
+
+def vote_or_whole(df: DataFrame, keys: Sequence[str], slot: str, value: str, copy: str, whole: str) -> DataFrame:
+    """keys, slot, value, from_copy: a block as the first copy whose check is right has it (`whole` is true in all its slots); else slot by slot the commonest value, ties to the smallest."""
+    copies = df.groupBy(*keys, copy).agg(F.min(F.col(whole).cast("int")).alias("_ok"))
+    first = copies.filter("_ok = 1").groupBy(*keys).agg(F.min(copy).alias("_first"))
+    marked = df.join(first, list(keys), "left")
+    taken = marked.filter(F.col("_first").isNotNull() & (F.col(copy) == F.col("_first"))).groupBy(*keys, slot).agg(F.min(value).alias(value)).withColumn("from_copy", F.lit(True))
+    voted = vote(marked.filter(F.col("_first").isNull()), [*keys, slot], value).select(*keys, slot, value, F.lit(False).alias("from_copy"))
+    return taken.unionByName(voted)

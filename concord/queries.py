@@ -625,12 +625,13 @@ def G21_snap_ids(spark, sf_dir):
 
 
 @query("""
-WITH t AS (SELECT conv_id * 1000 + turn AS k, text AS t FROM conversations), p AS (SELECT a.k AS a, b.k AS b, i AS "at", least(length(a.t) - i, length(b.t)) AS overlap, substr(a.t, i + 1, least(length(a.t) - i, length(b.t))::int) AS x, substr(b.t, 1, least(length(a.t) - i, length(b.t))::int) AS y
+WITH t AS (SELECT (conv_id * 1000 + turn) * 1000 + i // 60 AS k, substr(text, i::int + 1, 120) AS t FROM conversations, unnest(range(0, length(text), 60)) AS v(i)), p AS (SELECT a.k AS a, b.k AS b, i AS "at", least(length(a.t) - i, length(b.t)) AS overlap, substr(a.t, i + 1, least(length(a.t) - i, length(b.t))::int) AS x, substr(b.t, 1, least(length(a.t) - i, length(b.t))::int) AS y
   FROM t a, unnest(range(0, length(a.t) - 7)) AS u(i), t b WHERE a.k <> b.k AND substr(a.t, i::int + 1, 8) = substr(b.t, 1, 8)),
 q AS (SELECT *, len(list_filter(range(1, overlap + 1), lambda j: substr(x, j::int, 1) <> substr(y, j::int, 1))) AS off FROM p)
 SELECT a, b, CAST("at" AS integer) AS "at", CAST(overlap AS integer) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY overlap DESC, "at") AS rn FROM q WHERE off * 12 <= overlap) WHERE rn = 1""")
 def J12_gram_overlap(spark, sf_dir):
-    cuts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), F.col("text").alias("t"))
+    part = table(spark, sf_dir, "conversations").filter("length(text) > 0").select("conv_id", "turn", F.posexplode(relations.stretches(F.col("text"), 60, 60)).alias("i", "t"))
+    cuts = part.select(((F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("i")).alias("k"), "t")
     return similarity.gram_overlaps(cuts, "k", "t")
 
 
