@@ -413,3 +413,14 @@ def test_pipeline(spark, tmp_path):
         before = got
     again = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert again == {d: r.ids for d, r in before.items()}
+
+
+# --- the session
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_leave_settings_alone(spark, name):
+    settings = lambda: {k: v for k, v in spark.conf.getAll.items() if k != "spark.checkpoint.dir"}
+    before = settings()
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert settings() == before
