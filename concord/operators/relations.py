@@ -180,3 +180,19 @@ def upsert_files(files: DataFrame, keys: Sequence[str], complete: str, size: str
     key = F.struct(F.col(complete).cast("int").alias("c"), F.when(F.col(complete), 0).otherwise(F.col(size)).alias("s"), (-F.col(order)).alias("o"), F.col(size).alias("z"))
     best = files.groupBy(*keys).agg(F.max(key).alias("_m"), F.count_if(complete).alias("copies"))
     return best.select(*keys, (F.col("_m.c") == 1).alias("complete"), F.col("_m.z").alias("size"), (-F.col("_m.o")).alias("at"), "copies")
+
+
+def chain_pieces(pieces: DataFrame, key: str, text: str, overlap: int) -> DataFrame:
+    """start, text, pieces: pieces of a repeated file put together: a piece goes on with the one whose first `overlap` characters are its last, if that is the only one and the only one before it; each chain is one text."""
+    long = pieces.filter(F.length(text) > overlap).groupBy(text).agg(F.min(key).alias(key))
+    tails = long.select(F.col(key).alias("_from"), F.expr(f"right(`{text}`, {overlap})").alias("_g"))
+    heads = long.select(F.col(key).alias("_to"), F.expr(f"left(`{text}`, {overlap})").alias("_g"))
+    # An end that several pieces have says nothing.
+    one = lambda df, c: df.groupBy("_g").agg(F.min(c).alias(c), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    links = one(tails, "_from").join(one(heads, "_to"), "_g").filter("_from <> _to").select(F.col("_from").alias(key), F.col("_to").alias("_next"))
+    links = cut_small(links, "links")
+    starts = long.select(key).join(links.select(F.col("_next").alias(key)), key, "left_anti")
+    reached = chain(links, key, "_next", starts).join(long, key)
+    body = F.when(F.col("step") == 0, F.col(text)).otherwise(F.expr(f"substring(`{text}`, {overlap + 1})"))
+    parts = F.array_sort(F.collect_list(F.struct("step", body.alias("t"))))
+    return reached.groupBy("start").agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("text"), F.count("*").alias("pieces"))

@@ -145,3 +145,19 @@ def sliding_best(df: DataFrame, at: str, width: str, step: str, value: str) -> D
 
     held = df.select(F.window(at, width, step).alias("_w"), value).select(F.col("_w.start").alias("window_start"), value)
     return vote(held, ["window_start"], value).drop("total")
+
+
+def second_sight(df: DataFrame, keys: Sequence[str], order: str, content: str) -> DataFrame:
+    """keys, content, order: new content of a key is taken when it comes for the second time, so that what was read wrong once never is; at that sighting."""
+    n = F.row_number().over(W.partitionBy(*keys, content).orderBy(order))
+    return df.withColumn("_n", n).filter("_n = 2").select(*keys, content, order)
+
+
+def erased(df: DataFrame, keys: Sequence[str], copy: str, row: str, text: str, flag: str, percent: int = 50) -> DataFrame:
+    """keys, copy, replaces: whether a copy takes the place of what was there (its erase flag is set and fewer than `percent` of its rows are as in the copy before it) or is laid over it. The first copy replaces."""
+    copies = df.groupBy(*keys, copy).agg(F.max(flag).alias("_flag"), F.count("*").alias("_rows")).withColumn("_before", F.lag(copy).over(W.partitionBy(*keys).orderBy(copy)))
+    old = df.select(*keys, F.col(copy).alias("_before"), row, F.col(text).alias("_old"))
+    same = df.join(copies.select(*keys, copy, "_before"), [*keys, copy]).join(old, [*keys, "_before", row]).filter(F.col(text) == F.col("_old")).groupBy(*keys, copy).agg(F.count("*").alias("_same"))
+    held = copies.join(same, [*keys, copy], "left")
+    few = F.coalesce("_same", F.lit(0)) * 100 < F.col("_rows") * percent
+    return held.select(*keys, copy, (F.col("_before").isNull() | (F.col("_flag") & few)).alias("replaces"))

@@ -6,9 +6,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from concord.functions import columns as K
-from concord.operators import pages, recovery, relations, services, similarity, votes
+from concord.operators import pages, recovery, relations, services, similarity, timeline, votes
+from concord.plans import sinks
 from concord.plans.work import work_path
-from concord.queries import QUERIES, SQL, query, table
+from concord.queries import QUERIES, SQL, WHOLE, _whole_lines, query, table
 from concord.sources import packets as files
 from concord.streaming import live
 
@@ -215,3 +216,128 @@ SELECT l_suppkey, round(CASE WHEN k > 10 THEN s ELSE 1 END, 6) AS slope FROM (SE
 def J15_distant_slope(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return votes.distant_slope(li, ["l_suppkey"], "l_quantity", "l_extendedprice").select("l_suppkey", F.round("slope", 6).alias("slope"))
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events) WHERE n = 2")
+def R09_second_sight(spark, sf_dir):
+    return timeline.second_sight(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
+
+
+@query("""
+WITH d AS (SELECT DISTINCT l_suppkey, l_orderkey, l_linenumber, min(l_returnflag) AS t, max(l_orderkey % 3 = 0) AS flag FROM lineitem GROUP BY ALL), c AS (SELECT l_suppkey, l_orderkey, max(flag) AS flag, count(*) AS n, lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS before FROM d GROUP BY l_suppkey, l_orderkey),
+s AS (SELECT d.l_suppkey, d.l_orderkey, count(*) AS same FROM d JOIN c USING (l_suppkey, l_orderkey) JOIN d o ON o.l_suppkey = d.l_suppkey AND o.l_orderkey = c.before AND o.l_linenumber = d.l_linenumber AND o.t = d.t GROUP BY ALL)
+SELECT c.l_suppkey, c.l_orderkey, before IS NULL OR (flag AND coalesce(same, 0) * 100 < n * 50) AS replaces FROM c LEFT JOIN s ON s.l_suppkey = c.l_suppkey AND s.l_orderkey = c.l_orderkey""")
+def R10_erase_flag(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("t")).withColumn("flag", F.col("l_orderkey") % 3 == 0)
+    return timeline.erased(d, ["l_suppkey"], "l_orderkey", "l_linenumber", "t", "flag")
+
+
+@query("SELECT o_orderkey, sha256(CAST(o_orderkey AS varchar)) AS text, 4 AS pieces FROM orders")
+def J14_carousel_pieces(spark, sf_dir):
+    """Texts cut into four pieces, each with the last 12 characters of the one before; of every piece two copies come."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256).alias("t"))
+    places = F.array(*[F.struct(F.lit(k).alias("k"), F.substring("t", 1 + at, size).alias("p")) for k, (at, size) in enumerate([(0, 28), (16, 28), (32, 24), (44, 20)])])
+    each = o.select("o_orderkey", F.explode(places).alias("x"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    pieces = each.select((F.col("o_orderkey") * 8 + F.col("x.k") * 2 + F.col("copy")).alias("key"), F.col("x.p").alias("p"))
+    found = relations.chain_pieces(pieces, "key", "p", 12)
+    return found.select(F.floor(F.col("start") / 8).alias("o_orderkey"), "text", F.col("pieces").cast("int").alias("pieces"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey, c_custkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey")
+def K01_export_all(spark, sf_dir):
+    """Two tables written below one folder, and read from there."""
+    folder = work_path(spark, "export")
+    sinks.export_all({n: table(spark, sf_dir, n) for n in ("nation", "customer")}, folder)
+    customers = spark.read.parquet(f"{folder}/customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+    return spark.read.parquet(f"{folder}/nation").join(customers, "n_nationkey", "left").select("n_nationkey", "n_name", "n_regionkey", "c_custkey")
+
+
+@query("SELECT o_orderkey, o_orderpriority, upper(hex(o_orderstatus)) AS status, o_totalprice FROM orders")
+def K02_csv(spark, sf_dir):
+    folder = work_path(spark, "csv")
+    sinks.write_csv(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.col("o_orderstatus").cast("binary").alias("status"), "o_totalprice"), folder, separator=";")
+    return spark.read.option("header", True).option("sep", ";").schema("o_orderkey long, o_orderpriority string, status string, o_totalprice double").csv(folder)
+
+
+@query("SELECT c_nationkey AS channel, n_name AS name, c_custkey AS start, c_custkey % 90 AS minutes, c_name AS title FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def K03_guide_json(spark, sf_dir):
+    """Channels, programmes and listings as JSON documents, and back."""
+    c = table(spark, sf_dir, "customer")
+    channels = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    listings = c.select(F.col("c_nationkey").cast("long").alias("channel"), F.col("c_custkey").alias("start"), (F.col("c_custkey") % 90).alias("minutes"), F.col("c_custkey").alias("program"))
+    folder = work_path(spark, "guide")
+    sinks.guide_json(channels, c.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title")), listings).write.text(folder)
+    a, b, slots = sinks.read_guide(spark.read.text(folder).withColumnRenamed("value", "doc"))
+    named = slots.join(a.select(F.col("id").alias("channel"), "name"), "channel").join(b.select(F.col("id").alias("program"), "title"), "program")
+    return named.select(F.col("channel").cast("int").alias("channel"), "name", "start", "minutes", "title")
+
+
+@query("SELECT s_suppkey AS id, replace(s_name, '#', ' ') AS name FROM supplier WHERE s_suppkey % 10 <> 0")
+def S13_channel_names(spark, sf_dir):
+    """Lines with a number and a name; every tenth has no number."""
+    s = table(spark, sf_dir, "supplier")
+    number = F.when(F.col("s_suppkey") % 10 == 0, F.lit("x")).otherwise(F.col("s_suppkey").cast("string"))
+    return sinks.names_from_text(s.select(F.concat(F.lit("  "), number, F.lit("\t"), F.replace("s_name", F.lit("#"), F.lit(" ")), F.lit("  # note 7")).alias("value")))
+
+
+def _bytes(values):
+    """BINARY of some byte columns."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(v.cast("int")), 2, "0") for v in values]))
+
+
+@query("""
+SELECT o_orderkey AS seq, CAST(place AS integer) AS place, CAST((o_custkey + place) % 255 AS integer) AS page, CAST((o_orderkey * 7 + place) % 128 AS integer) AS subcode, CAST(CASE WHEN xor((1 + o_orderkey % 8) % 8, (o_custkey + place) % 8) = 0 THEN 8 ELSE xor((1 + o_orderkey % 8) % 8, (o_custkey + place) % 8) END AS integer) AS magazine
+FROM orders, unnest(range(0, 6)) AS t(place) WHERE NOT (place = 5 AND o_orderkey % 2 = 0)""")
+def D02_page_links(spark, sf_dir):
+    """Six links in the Hamming bytes of a row 27; of even orders the last is the filler, which is no link."""
+    nib = lambda v: K.encode_hamming84(v.cast("int"))
+    out = [nib(F.lit(0))]
+    for place in range(6):
+        page = (F.col("o_custkey") + place) % 255
+        if place == 5:
+            page = F.when(F.col("o_orderkey") % 2 == 0, 255).otherwise(page)
+        sub, flips = (F.col("o_orderkey") * 7 + place) % 128, (F.col("o_custkey") + place) % 8
+        out += [nib(page % 16), nib(F.floor(page / 16)), nib(sub % 16), nib(F.floor(sub / 16) % 8 + flips % 2 * 8), nib(F.lit(0)), nib(F.floor(flips / 2) * 4)]
+    out += [F.lit(0x20)] * 3
+    o = table(spark, sf_dir, "orders").select(F.lit("made").alias("recording"), F.col("o_orderkey").alias("seq"), (1 + F.col("o_orderkey") % 8).cast("int").alias("magazine"), F.lit(27).alias("row"), _bytes(out).alias("payload"))
+    return recovery.links(o).select("seq", F.col("place").cast("int").alias("place"), F.col("page").cast("int").alias("page"), F.col("subcode").cast("int").alias("subcode"), F.col("magazine").cast("int").alias("magazine"))
+
+
+@query("""
+SELECT o_orderkey, o_custkey % 65536 AS network, CAST(30 * (o_orderkey % 24) * CASE WHEN o_orderkey % 2 = 1 THEN -1 ELSE 1 END AS integer) AS offset_minutes, CAST(CAST(DATE '1858-11-17' + CAST(50000 + o_custkey AS integer) AS date) AS varchar) AS date, CAST((o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + o_custkey % 60 AS bigint) AS time, o_orderpriority AS status FROM orders""")
+def D03_service_information(spark, sf_dir):
+    """Network, offset, date, time and status as a service packet has them: bits the other way round, digits raised by one."""
+    digit = lambda v, k: F.floor(v / 10**k) % 10 + 1
+    two = lambda v: digit(v, 1) * 16 + digit(v, 0)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    mjd, net = 50000 + c, c % 65536
+    head = [F.lit(0)] * 7 + [K.reverse_bits(F.floor(net / 256).cast("int")), K.reverse_bits((net % 256).cast("int")), (k % 24) * 2 + F.when(k % 2 == 1, 64).otherwise(0)]
+    head += [digit(mjd, 4), digit(mjd, 3) * 16 + digit(mjd, 2), two(mjd), two(k % 24), two(k % 60), two(c % 60)] + [F.lit(0)] * 4
+    text = F.rpad(F.substring("o_orderpriority", 1, 20), 20, " ").cast("binary")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", _bytes(head).alias("head"), K.byte_list(text).alias("t"))
+    sent = F.unhex(F.array_join(F.transform("t", lambda b: F.lpad(F.hex(b + F.when(F.bit_count(b) % 2 == 1, 0).otherwise(128)), 2, "0")), ""))
+    found = o.select("o_orderkey", services.service_information(F.concat("head", sent)).alias("s"))
+    return found.select("o_orderkey", F.col("s.network").cast("long").alias("network"), F.col("s.offset_minutes").cast("int").alias("offset_minutes"), F.col("s.date").cast("string").alias("date"), F.col("s.time").cast("long").alias("time"), "s.status")
+
+
+@query(WHOLE + " SELECT doc_id, max((row - 1) // 24) + 1 AS pages, count(*) AS rows FROM r GROUP BY doc_id")
+def G01_paginate(spark, sf_dir):
+    """Every document as a stream of its own: the transmissions that its headers open, and their rows."""
+    sent = pages.to_packets(_whole_lines(spark, sf_dir), ["recording"])
+    found = pages.paginate(pages.parse(sent))
+    return found.groupBy(F.col("recording").alias("doc_id")).agg(F.countDistinct("magazine", "tx").alias("pages"), F.count_if(F.col("row") > 0).alias("rows"))
+
+
+@query("""
+WITH h AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), t AS (SELECT o_custkey, regexp_replace(o_orderpriority, '^[0-9]-', '') AS t, n FROM h), v AS (SELECT o_custkey, 'NEWS ' || t AS title, sum(n) AS n FROM t GROUP BY ALL)
+SELECT o_custkey, title FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, title) AS rn FROM v) WHERE rn = 1""")
+def P06_titles(spark, sf_dir):
+    """Headers with a page number, a title, a date and a clock."""
+    name = F.regexp_replace("o_orderpriority", "^[0-9]-", "")
+    text = F.concat(F.lit("P"), (100 + F.col("o_orderkey") % 800).cast("string"), F.lit(" NEWS "), name, F.lit(" 12.03.99 "), F.format_string("%02d:%02d:%02d", F.col("o_orderkey") % 24, F.col("o_orderkey") % 60, F.col("o_orderkey") % 60))
+    return recovery.title(table(spark, sf_dir, "orders").select("o_custkey", text.alias("text")), ["o_custkey"], "text")
+
+
+@query("SELECT event_id, CAST(CAST(DATE '1858-11-17' + CAST(event_id AS integer) AS date) AS varchar) AS day, CASE WHEN (event_id % 256) // 16 < 10 AND event_id % 16 < 10 THEN CAST((event_id % 256) // 16 * 10 + event_id % 16 AS bigint) END AS two FROM events")
+def C10_dates_and_digits(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", K.mjd_date(F.col("event_id")).cast("string").alias("day"), K.bcd(F.col("event_id") % 256).cast("long").alias("two"))
