@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from concord.operators import pages
-from concord.plans.work import cut_small, ship
+from concord.plans.work import cut_small, drop, ship
 
 CLOSED = "recording string, magazine int, tx long, seq long, page int, subcode int, control int, row int, payload binary"
 #: What a read value gains, the most it can have, candidates a row keeps; a subpage unseen for 4 n + 40 transmissions goes.
@@ -83,7 +83,8 @@ class PageStore:
 
         ship(self.spark)
         merged = self.table.groupBy(*self.KEYS).cogroup(rows.groupBy(*self.KEYS)).applyInPandas(update, self.SCHEMA)
-        self.table = cut_small(merged, f"pages-{number}")
+        old, self.table = self.table, cut_small(merged, f"pages-{number}")
+        drop(old)
         self.done.add(number)
 
     def snapshot(self) -> DataFrame:
@@ -95,7 +96,8 @@ class PageStore:
         """Forget subpages that their page's other subpages have long overtaken."""
         n = self.table.filter("row = 0").groupBy("magazine", "page").agg(F.count("*").alias("_n"), F.max("seen").alias("_top"))
         kept = self.table.join(n, ["magazine", "page"], "left").filter(F.col("_top").isNull() | (F.col("_top") - F.col("seen") <= 4 * F.col("_n") + PATIENCE))
-        self.table = cut_small(kept.drop("_n", "_top"), "pages-kept")
+        old, self.table = self.table, cut_small(kept.drop("_n", "_top"), "pages-kept")
+        drop(old)
 
 
 def voted(held: list[tuple[bytes, int]], payload: bytes) -> list[tuple[bytes, int]]:
