@@ -25,7 +25,8 @@ def byte_at(data: Column, place: int | Column) -> Column:
 
 def byte_list(data: Column) -> Column:
     """BINARY as an array of ints."""
-    return F.when(F.length(data) > 0, F.transform(F.sequence(F.lit(0), F.length(data) - 1), lambda i: byte_at(data, i))).otherwise(F.array().cast("array<int>"))
+    # In this charset a byte is the character of its number.
+    return F.when(F.length(data) > 0, F.transform(F.split(F.decode(data, "ISO-8859-1"), ""), F.ascii)).otherwise(F.when(F.length(data) == 0, F.array().cast("array<int>")))
 
 
 def odd_parity(byte: Column) -> Column:

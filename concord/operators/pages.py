@@ -136,15 +136,17 @@ def text_row(magazine: Column, row: Column, text: Column) -> Column:
 def _packet(parts: Column) -> Column:
     @arrow_udf("binary")
     def run(rows: pd.DataFrame) -> pd.Series:
-        out = []
-        for m, r, p, s, c, t in zip(rows["m"], rows["r"], rows["p"], rows["s"], rows["c"], rows["t"], strict=True):
-            digits = [(m & 7) | (r & 1) << 3, r >> 1]
-            if r == 0:
-                digits += [p & 15, p >> 4, s & 15, (s >> 4 & 7) | (c & 1) << 3, s >> 8 & 15, (s >> 12 & 3) | (c >> 1 & 3) << 2, c >> 3 & 15, c >> 7 & 15]
-            wide = 42 - len(digits)
-            raw = np.frombuffer((t or "").encode("ascii", "replace")[:wide].ljust(wide), np.uint8)
-            out.append(codes.encode_hamming84(np.array(digits)).tobytes() + codes.with_odd_parity(raw).tobytes())
-        return pd.Series(out)
+        m, r, p, s, c = (rows[x].to_numpy(np.int64) for x in "mrpsc")
+        out = np.zeros((len(rows), 42), np.uint8)
+        out[:, :2] = codes.encode_hamming84(np.stack([(m & 7) | (r & 1) << 3, r >> 1], axis=1).ravel()).reshape(-1, 2)
+        for width, own in ((32, np.flatnonzero(r == 0)), (40, np.flatnonzero(r != 0))):
+            texts = b"".join((t or "").encode("ascii", "replace")[:width].ljust(width) for t in rows["t"].to_numpy()[own])
+            out[own, 42 - width :] = codes.with_odd_parity(np.frombuffer(texts, np.uint8)).reshape(-1, width)
+            if width == 32 and len(own):
+                p, s, c = p[own], s[own], c[own]
+                digits = [p & 15, p >> 4, s & 15, (s >> 4 & 7) | (c & 1) << 3, s >> 8 & 15, (s >> 12 & 3) | (c >> 1 & 3) << 2, c >> 3 & 15, c >> 7 & 15]
+                out[own, 2:10] = codes.encode_hamming84(np.stack(digits, axis=1).ravel()).reshape(-1, 8)
+        return pd.Series([x.tobytes() for x in out])
 
     return run(parts)
 
@@ -156,7 +158,7 @@ def to_packets(pages: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     given = pages.filter("row = 0").select(*line)
     heads = heads.join(given.select(*page), page, "left_anti").unionByName(given)
     every = heads.unionByName(pages.filter("row > 0").select(*line))
-    code = F.when(F.col("row") == 0, header(F.col("magazine"), F.col("page"), F.col("subcode"), F.col("text"))).otherwise(text_row(F.col("magazine"), F.col("row"), F.col("text")))
+    code = _packet(F.struct(F.col("magazine").alias("m"), F.col("row").alias("r"), F.col("page").alias("p"), F.col("subcode").alias("s"), F.lit(0).alias("c"), F.col("text").alias("t")))
     # The order of pages is that of their numbers; a page number, subcode and row fit one long.
     seq = ((F.col("magazine").cast("long") * 256 + F.col("page")) * 16384 + F.col("subcode")) * 32 + F.col("row")
     return every.select(*keys, seq.alias("seq"), code.alias("packet"))

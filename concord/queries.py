@@ -817,8 +817,13 @@ PAGE = ("recording", "magazine", "page", "subcode")
 
 def _whole_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("t")).filter("length(t) > 0")
-    every = F.sequence(F.lit(1), F.ceil(F.length("t") / 40).cast("int"))
-    rows = t.select(F.col("doc_id").alias("recording"), F.explode(F.transform(every, lambda i: F.struct(F.floor((i - 1) / 24).alias("n"), ((i - 1) % 24 + 1).alias("row"), F.substring("t", 40 * (i - 1) + 1, F.lit(40)).alias("text")))).alias("x"))
+    # A place in a text is found from its beginning, so long texts are cut into stretches first. The outer forms: for the others Spark
+    # adds a filter that cleans the text again.
+    parts = t.select(F.col("doc_id").alias("recording"), F.posexplode_outer(relations.stretches(F.col("t"), 4000, 0)).alias("j", "p"))
+    every = F.sequence(F.lit(0), F.ceil(F.length("p") / 40).cast("int") - 1)
+    lines = parts.select("recording", "j", F.explode_outer(F.transform(every, lambda i: F.struct(i.alias("i"), F.substring("p", 40 * i + 1, F.lit(40)).alias("text")))).alias("x"))
+    at = F.col("j") * 100 + F.col("x.i")
+    rows = lines.select("recording", F.struct(F.floor(at / 24).alias("n"), (at % 24 + 1).alias("row"), F.col("x.text").alias("text")).alias("x"))
     n = F.col("x.n")
     return rows.select("recording", (1 + n % 8).cast("int").alias("magazine"), F.floor(n / 8 % 200).cast("int").alias("page"), F.floor(n / 1600).cast("int").alias("subcode"), "x.row", "x.text")
 
