@@ -90,6 +90,11 @@ def mjd_date(mjd: Column) -> Column:
     return F.date_add(F.lit("1858-11-17").cast("date"), mjd.cast("int"))
 
 
+def date_text(date: Column) -> Column:
+    """A date as text, years beyond 9999 without Spark's plus sign."""
+    return F.ltrim(date.cast("string"), F.lit("+"))
+
+
 def epoch_minutes(minutes: Column) -> Column:
     """Minutes since 1992-01-01 as a timestamp without zone."""
     return F.expr("TIMESTAMP_NTZ'1992-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), minutes)

@@ -138,3 +138,8 @@ def test_drop_frame_time_codes(spark):
     df = spark.createDataFrame(cases, "h int, m int, s int, f int, n long")
     got = df.select("n", K.timecode_to_count(*map(F.col, "hmsf")).alias("c"), K.timecode_of(F.col("n")).alias("t"), F.format_string("%02d:%02d:%02d:%02d", "h", "m", "s", "f").alias("w")).collect()
     assert all(r.c == r.n and r.t == r.w for r in got)
+
+
+def test_dates_beyond_the_year_9999(spark):
+    v = spark.range(1).select(K.date_text(K.mjd_date(F.lit(2973483))).alias("a"), K.date_text(K.mjd_date(F.lit(2973484))).alias("b"), K.date_text(K.mjd_date(F.lit(5999999))).alias("c")).first()
+    assert tuple(v) == ("9999-12-31", "10000-01-01", "18286-04-26")
