@@ -1,9 +1,11 @@
 """Services: labels, signalling, time codes, extended data, files from blocks."""
 
 import base64
+import datetime
 
 from pyspark.sql import functions as F
 
+from concord import service_queries
 from concord.functions import codes
 from concord.operators import services
 
@@ -91,3 +93,11 @@ def test_on_air(spark):
     clock = spark.createDataFrame([("c", 29), ("c", 30), ("c", 629), ("d", 15)], "channel string, at long")
     got = sorted((r.channel, r.at, r.title, r.following) for r in services.on_air(clock, slots, ["channel"], "at", "start", "minutes").collect())
     assert got == [("c", 29, "one", 30), ("c", 30, "two", None), ("c", 629, "two", None)]
+
+
+def test_service_dates_of_six_digits(spark, tmp_path):
+    rows = [(1, 15000, "1-URGENT"), (2, 50000, "2-HIGH"), (3, 899999, "5-LOW")]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.o_orderkey: (r.date, r.status) for r in service_queries.D03_service_information(spark, str(tmp_path)).collect()}
+    day = datetime.date(1858, 11, 17)
+    assert got == {k: (str(day + datetime.timedelta(50000 + c)), s) for k, c, s in rows}
