@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from concord.plans.work import cut_small, drop
+from concord.plans.work import cut, cut_small, drop
 
 
 def lookup(facts: DataFrame, names: DataFrame, key: str, name: str, default: Column | None = None) -> DataFrame:
@@ -182,14 +182,27 @@ def upsert_files(files: DataFrame, keys: Sequence[str], complete: str, size: str
     return best.select(*keys, (F.col("_m.c") == 1).alias("complete"), F.col("_m.z").alias("size"), (-F.col("_m.o")).alias("at"), "copies")
 
 
-def chain_pieces(pieces: DataFrame, key: str, text: str, overlap: int) -> DataFrame:
-    """start, text, pieces: pieces of a repeated file put together: a piece goes on with the one whose first `overlap` characters are its last, if that is the only one and the only one before it; each chain is one text."""
+def chain_pieces(pieces: DataFrame, key: str, text: str, overlap: int, within: int | None = None) -> DataFrame:
+    """start, text, pieces: pieces of a repeated file put together: a piece goes on with the one whose first `overlap` characters are its last, if that is the only one and the only one before it; each chain is one text.
+
+    within: keys are in the order of sending, and a piece goes on only with one whose first copy has a key larger by at most that; so ends
+    that are equal by chance, as some are among millions, are told apart by where they were sent.
+    """
     long = pieces.filter(F.length(text) > overlap).groupBy(text).agg(F.min(key).alias(key))
     tails = long.select(F.col(key).alias("_from"), F.expr(f"right(`{text}`, {overlap})").alias("_g"))
     heads = long.select(F.col(key).alias("_to"), F.expr(f"left(`{text}`, {overlap})").alias("_g"))
-    # An end that several pieces have says nothing.
-    one = lambda df, c: df.groupBy("_g").agg(F.min(c).alias(c), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
-    links = one(tails, "_from").join(one(heads, "_to"), "_g").filter("_from <> _to").select(F.col("_from").alias(key), F.col("_to").alias("_next"))
+    # What several pieces have, or could go on with, says nothing.
+    one = lambda df, by, c: df.groupBy(by).agg(F.min(c).alias(c), F.count("*").alias("_n")).filter("_n = 1").drop("_n")
+    if within is None:
+        met = one(tails, "_g", "_from").join(one(heads, "_g", "_to"), "_g").filter("_from <> _to")
+    else:
+        # By stretches of keys, so that an end which very many pieces have meets only those sent near it.
+        stretch = lambda c: F.floor(F.col(c) / (within + 1))
+        ahead = tails.withColumn("_s", F.explode(F.array(stretch("_from"), stretch("_from") + 1)))
+        near = ahead.join(heads.withColumn("_s", stretch("_to")), ["_g", "_s"]).filter((F.col("_to") > F.col("_from")) & (F.col("_to") - F.col("_from") <= within))
+        near = cut(near.select("_from", "_to"), "near")
+        met = one(near, "_from", "_to").join(one(near, "_to", "_from"), ["_from", "_to"])
+    links = met.select(F.col("_from").alias(key), F.col("_to").alias("_next"))
     links = cut_small(links, "links")
     starts = long.select(key).join(links.select(F.col("_next").alias(key)), key, "left_anti")
     reached = chain(links, key, "_next", starts).join(long, key)

@@ -55,3 +55,10 @@ def test_files_from_whole_texts(spark, tmp_path):
     spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     r = queries.D24_files_from_blocks(spark, str(tmp_path)).first()
     assert (r.data, r.blocks, r.whole) == (hashlib.sha256("".join(texts).encode()).hexdigest(), 5, True)
+
+
+def test_equal_ends_of_pieces_far_apart(spark):
+    """Two files with the same end of a piece by chance, and a third that begins as the second ends."""
+    rows = [(0, "aaaaXY"), (2, "XYbbbb"), (100, "ccccXY"), (102, "XYddZZ"), (200, "ZZeeee")]
+    got = relations.chain_pieces(spark.createDataFrame(rows, "k long, t string"), "k", "t", 2, within=7).collect()
+    assert sorted(map(tuple, got)) == [(0, "aaaaXYbbbb", 2), (100, "ccccXYddZZ", 2), (200, "ZZeeee", 1)]
