@@ -141,6 +141,18 @@ def by_length(values: pd.Series, f: Callable[[np.ndarray], np.ndarray]) -> pd.Se
     return out
 
 
+def by_blocks(values: pd.Series, size: int, f: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> pd.Series:
+    """f over the blocks of all values at once (blocks x bytes, the last of a value filled with zeros), which gives new blocks and whether each is good; null stays null, and so is a value with a bad one."""
+    count = np.array([0 if v is None else -(-len(v) // size) for v in values], np.int64)
+    at = np.concatenate([[0], np.cumsum(count)])
+    blocks = np.frombuffer(b"".join(bytes(v).ljust(n * size, b"\0") for v, n in zip(values, count.tolist(), strict=True) if v is not None), np.uint8).reshape(-1, size)
+    found, good = f(blocks)
+    wrong = np.concatenate([[0], np.cumsum(~good)])[at]
+    raw, wide = found.tobytes(), found.shape[1]
+    spans = zip(values, (at * wide).tolist(), (at[1:] * wide).tolist(), np.diff(wrong).tolist(), strict=False)
+    return pd.Series([None if v is None or bad else raw[a:b] for v, a, b, bad in spans], index=values.index, dtype=object)
+
+
 def crc_column(data: Column, width: int, poly: int, *, init: int = 0, reflected: bool = True) -> Column:
     """Any CRC of BINARY as a long."""
 
@@ -156,6 +168,8 @@ def encode_bytes(data: Column, kind: str) -> Column:
 
     @arrow_udf("binary")
     def run(values: pd.Series) -> pd.Series:
+        if kind == "difference_set":
+            return by_blocks(values, 23, lambda rows: (codes.encode_difference_sets(rows), np.ones(len(rows), bool)))
         return by_length(values, lambda rows: [encode(row, kind) for row in rows])
 
     return run(data)
@@ -166,6 +180,8 @@ def decode_bytes(data: Column, size: Column, kind: str) -> Column:
 
     @arrow_udf("binary")
     def run(values: pd.Series, sizes: pd.Series) -> pd.Series:
+        if kind == "difference_set":
+            return pd.Series([None if v is None else v[: int(n)] for v, n in zip(by_blocks(values, 34, codes.decode_difference_sets), sizes, strict=True)], dtype=object)
         return pd.Series([None if v is None else decode(np.frombuffer(v, np.uint8), int(n), kind) for v, n in zip(values, sizes, strict=True)])
 
     return run(data, size)
@@ -195,9 +211,6 @@ def encode(data: np.ndarray, kind: str) -> bytes:
         return codes.encode_hamming74(packed(data, 4)).astype(np.uint8).tobytes()
     if kind == "bch":
         return b"".join(codes.encode_bch(int(v)).to_bytes(8, "little") for v in packed(data, 51))
-    if kind == "difference_set":
-        wide = data.tobytes() + bytes(-len(data) % 23)
-        return b"".join(codes.encode_difference_set(int.from_bytes(wide[k : k + 23], "little")).to_bytes(34, "little") for k in range(0, len(wide), 23))
     if kind == "product":
         block = np.zeros((14, 26), np.uint8)
         whole = np.concatenate([data, np.zeros(-len(data) % block.size, np.uint8)]).reshape(-1, 14, 26)
@@ -220,9 +233,6 @@ def decode(data: np.ndarray, size: int, kind: str) -> bytes | None:
     if kind == "bch":
         values = np.array([codes.decode_bch(int.from_bytes(data[k : k + 8].tobytes(), "little")) for k in range(0, len(data), 8)])
         return unpacked(values, 51, size).tobytes() if (values >= 0).all() else None
-    if kind == "difference_set":
-        values = codes.decode_difference_set([int.from_bytes(data[k : k + 34].tobytes(), "little") for k in range(0, len(data), 34)])
-        return None if min(values, default=0) < 0 else b"".join(v.to_bytes(24, "little")[:23] for v in values)[:size]
     if kind == "product":
         out = [codes.decode_product(b, np.zeros(b.shape, bool)) for b in data.reshape(-1, 16, 28)]
         return b"".join(d.tobytes() for d, _ in out)[:size] if all(g.all() for _, g in out) else None

@@ -1,6 +1,7 @@
 """Codes: published check values, round trips, and seeded damage: what is called good must equal the truth."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -143,3 +144,22 @@ def test_drop_frame_time_codes(spark):
 def test_dates_beyond_the_year_9999(spark):
     v = spark.range(1).select(K.date_text(K.mjd_date(F.lit(2973483))).alias("a"), K.date_text(K.mjd_date(F.lit(2973484))).alias("b"), K.date_text(K.mjd_date(F.lit(5999999))).alias("c")).first()
     assert tuple(v) == ("9999-12-31", "10000-01-01", "18286-04-26")
+
+
+def test_difference_sets_of_many_words():
+    """As the plain decoder has them, with up to twice as many wrong bits as it mends for sure, and in time that it doesn't take."""
+    rng = np.random.default_rng(5)
+    blocks = rng.integers(0, 256, (300, 23)).astype(np.uint8)
+    sent = codes.encode_difference_sets(blocks).copy()
+    assert [int.from_bytes(w.tobytes(), "little") for w in sent] == [codes.encode_difference_set(int.from_bytes(b.tobytes(), "little")) for b in blocks]
+    for k, word in enumerate(sent):
+        for bit in rng.choice(272, k % 17, replace=False):
+            word[bit // 8] ^= 1 << bit % 8
+    got, good = codes.decode_difference_sets(sent, chunk=128)
+    plain = codes.decode_difference_set([int.from_bytes(w.tobytes(), "little") for w in sent])
+    assert good.tolist() == [v >= 0 for v in plain] and 0 < good.sum() < 300
+    assert all(g.tobytes() == v.to_bytes(24, "little")[:23] for g, v, ok in zip(got, plain, good, strict=True) if ok)
+    many = np.tile(blocks, (200, 1))
+    began = time.process_time()
+    got, good = codes.decode_difference_sets(codes.encode_difference_sets(many))
+    assert good.all() and np.array_equal(got, many) and time.process_time() - began < 20  # the plain one takes minutes
