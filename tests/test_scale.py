@@ -95,3 +95,16 @@ def test_settings_of_an_own_session_stay_there(spark):
     own = work.own_session(df, {key: "77"})
     assert own.sparkSession.conf.get(key) == "77" and spark.conf.get(key) == before
     assert own.join(df, "id").count() == 3 and own.filter(F.col("id") > 0).count() == 2
+
+
+def test_overlaps_are_dealt_over_tasks_and_far_pairs_left_out_first(spark):
+    """One file of texts is worked through by more than one task; pairs at the limit of what may differ are kept, one place more is not."""
+    base = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyz", k=200))
+
+    def bent(places):
+        return "".join("#" if k in places else c for k, c in enumerate(base[60:180]))
+
+    rows = [(1, base[:120]), (2, bent({8, 20, 32, 44, 56})), (3, bent({8, 20, 32, 44, 56, 57})), (4, bent({8, 9, 10, 11, 12, 13})), (5, base[60:71]), (6, base[60:70] + "#"), (7, base[60:71] + "#")]
+    got = similarity.gram_overlaps(spark.createDataFrame(rows, "k long, t string").coalesce(1), "k", "t")
+    assert {(r.a, r.b, r["at"], r.overlap) for r in got.collect() if r.a == 1} == {(1, 2, 60, 60), (1, 5, 60, 11), (1, 7, 60, 12)}
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
