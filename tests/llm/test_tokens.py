@@ -204,3 +204,10 @@ def test_a_unigram_model_that_squeezes(tmp_path):
     for text in ["ab  abab", " a ", "  ba   ab  ", "   ", "z  a"]:
         ids, _, differ, whole = ours.encode(pa.array([text]))
         assert ids.tolist() == judge.encode(text) and whole.all() and not differ.any(), text
+
+
+def test_every_segment_is_verified():
+    """A library that always disagrees is noticed for each segment, not for some."""
+    backend = sentencepiece_backend.Backend(MODEL)
+    backend.judge = type("Other", (), {"encode": lambda self, texts, num_threads: [[-1]] * len(texts)})()
+    assert backend.learn([f"word{k}" for k in range(100)])[2].tolist() == [1] * 100
