@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from concord import queries
 from concord.functions import codes
@@ -51,7 +52,17 @@ def test_streams_of_texts_are_packets_of_pages(spark):
     assert sorted(got[k : k + 42] for k in range(0, len(got), 42)) == sorted(bytes(r.packet) for r in pages.to_packets(one).collect())
 
 
-@pytest.mark.parametrize("name", ["K06_page_text"])
+def test_every_text_packet_is_bent_in_one_copy(spark):
+    one = streams.of_texts(spark.createDataFrame([(k, "some words " * 200) for k in range(3)], "k long, t string"), "k", "t")
+    got = streams.bent(one).groupBy("recording").agg(F.collect_list("data").alias("d")).collect()
+    clean = bytes(one.first().data)
+    for r in got:
+        for at in range(0, len(clean), 42):
+            wrong = [i for d in r.d for i in range(42) if d[at + i] != clean[at + i]]
+            assert len(r.d) == 5 and len(wrong) == (at % (25 * 42) > 0) and all(i >= 2 for i in wrong)
+
+
+@pytest.mark.parametrize("name", ["D01_rt_pages", "K06_page_text"])
 def test_no_packet_is_a_row(spark, tmp_path, name):
     """A row for each packet, and windows over them, took too long for a gigabyte of texts."""
     spark.createDataFrame([(1, "some words " * 200)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
