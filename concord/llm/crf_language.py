@@ -5,11 +5,13 @@ hashed into a fixed table of weights for each language; learned transitions join
 every word a distribution over languages, so that the parts of code-switched text are told apart, and a document's language is
 the one with the largest share of words with letters.
 
-Training takes a bounded sample of every language there is: the PER_LANGUAGE texts with the least hashes, fewer if that is more
-than SAMPLE over all languages but never less than one, and an excerpt of EXCERPT characters of each. The sample and its order
-depend on the texts alone. Excerpts are mixed into sequences that switch language after a few words, so that transitions can be
-learnt. Predictions read whole texts: long ones in chunks whose transfer matrices are multiplied together, which is the same
-chain. Memory grows in proportion to the number of languages, on the driver (weights) and in workers (marginals).
+Training takes all words of all distinct texts. Texts are dealt by a hash to shards of about SHARD bytes; each shard learns a field of
+the languages in it, in small steps over sequences that switch language after a few words, so that transitions can be learnt, and
+a weight is the mean of those of the shards that have its language. The field depends on the texts alone, not on partitions. Pieces
+of a language with few words in a shard are repeated there, so that it isn't drowned; nothing is left out. Predictions read whole
+texts: long ones in chunks whose transfer matrices are multiplied together, which is the same chain. Memory grows in proportion to
+the number of languages, on the driver (weights) and in workers (weights of a shard's languages, marginals). `fit` learns from
+excerpts instead, and `excerpts` takes a bounded sample for it; no query does.
 
 Defined results: null text, or text without a letter, is `und` with score 0; without training documents all are; a row without
 an id is neither trained on nor held out; repeated rows count as often as they are there; an empty table gives no rows.
@@ -33,6 +35,9 @@ PER_LANGUAGE, EXCERPT, SAMPLE = 400, 1500, 25_600
 #: Weights of a language, words of a training sequence, sequences (or so many a language), training steps, words of a chunk, numbers
 #: of an array over sequences in training.
 SLOTS, LENGTH, SEQUENCES, EACH, STEPS, CHUNK, AT_ONCE = 1 << 16, 48, 3000, 40, 60, 256, 1 << 21
+#: Bytes of text of a shard, how often pieces of a language with few words are there at most, parts in which weights travel, texts
+#: that a task remembers to leave out their copies.
+SHARD, AGAIN, BLOCKS, SEEN = 8 << 20, 16, 16, 500_000
 UNDETERMINED = "und"
 
 
@@ -238,6 +243,189 @@ def fit(excerpts: list[tuple[str, str]], seed: int = 7) -> Crf | None:
     return Crf(languages, full, start, step)
 
 
+class Learner:
+    """A field learnt by Adam in small steps from all words of all texts that it is given."""
+
+    def __init__(self, languages: list[str], shard: int):
+        self.languages, self.rng, self.turn = languages, np.random.default_rng([7, shard]), 0
+        k = len(languages)
+        self.seen = np.zeros(k, bool)
+        self.weights, self.start, self.step = np.zeros((SLOTS, k)), np.zeros(k), np.eye(k)
+        self.moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (self.weights, self.start, self.step)]
+
+    def _adam(self, which: int, p: np.ndarray, g: np.ndarray, pull: float, at=slice(None)) -> None:
+        one, two = self.moments[which]
+        now = p[at]
+        g = g - pull * now
+        one[at] += 0.1 * (g - one[at])
+        two[at] += 0.01 * (g * g - two[at])
+        p[at] = now + 0.1 * (one[at] / (1 - 0.9**self.turn)) / (np.sqrt(two[at] / (1 - 0.99**self.turn)) + 1e-8)
+
+    def _sequences(self, first: np.ndarray, of: np.ndarray) -> np.ndarray:
+        """Word numbers, LENGTH a row: every text cut into pieces of 4 to 24 words, and all of them dealt anew. Pieces of languages with few are there several times."""
+        begin = []
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            at = a + np.cumsum(self.rng.integers(4, 25, (b - a) // 4 + 1))
+            begin.append(np.concatenate([[a], at[at < b]]) if b > a else np.zeros(0, np.int64))
+        which = np.repeat(of, [len(x) for x in begin])
+        begin = np.concatenate(begin)
+        size = np.diff(np.append(begin, first[-1]))
+        words = np.bincount(which, size, len(self.languages))
+        again = np.clip(np.round(words[words > 0].mean() / np.maximum(words, 1)), 1, AGAIN).astype(np.int64)
+        order = self.rng.permutation(np.repeat(np.arange(len(begin)), again[which]))
+        size, lead = size[order], begin[order]
+        flat = np.repeat(lead - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        return np.resize(flat, (-(-len(flat) // LENGTH), LENGTH))  # the last row is filled up from the beginning
+
+    def learn(self, texts: list[str], languages: list[int]) -> None:
+        data, at = text_buffer(pa.array(texts, pa.large_string()))
+        data = LOWER[data]
+        starts, ends, first = split(data, at)
+        if not len(starts):
+            return
+        of, k = np.array(languages), len(self.languages)
+        label = np.repeat(of, np.diff(first))
+        self.seen[label] = True
+        _, lead, which = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        word, slot = features(data, starts[lead], ends[lead])
+        order = np.argsort(word, kind="stable")
+        slot, begin = slot[order], np.searchsorted(word[order], np.arange(len(lead) + 1))
+        todo = STEPS
+        while todo > 0:
+            index = self._sequences(first, of)
+            rows = int(np.clip(-(-len(index) // STEPS), 64, max(64, AT_ONCE // (LENGTH * k * 16))))
+            for at in range(0, len(index), rows):
+                self._turn(which[index[at : at + rows]], label[index[at : at + rows]], slot, begin)
+                todo -= 1
+
+    def _turn(self, words: np.ndarray, y: np.ndarray, slot: np.ndarray, begin: np.ndarray) -> None:
+        self.turn += 1
+        k = len(self.languages)
+        held, x = np.unique(words, return_inverse=True)
+        x = x.reshape(words.shape)
+        n = begin[held + 1] - begin[held]
+        word = np.repeat(np.arange(len(held)), n)
+        own = slot[np.arange(len(word)) + np.repeat(begin[held] - (np.cumsum(n) - n), n)]
+        there = np.zeros(SLOTS, bool)
+        there[own] = True
+        used = np.flatnonzero(there)
+        column = (np.cumsum(there) - 1)[own]
+        now = self.weights[used]
+        score = np.stack([np.bincount(word, now[column, j], len(held)) for j in range(k)], axis=1)
+        pot = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30))
+        gap, pairs = gradient(pot[x], y, np.exp(self.start - self.start.max()), np.exp(self.step - self.step.max()))
+        by_start, flat, gap = gap[:, 0].sum(axis=0), x.ravel(), gap.reshape(-1, k)
+        by_word = np.stack([np.bincount(flat, gap[:, j], len(held)) for j in range(k)], axis=1)
+        grads = np.stack([np.bincount(column, by_word[word, j], len(used)) for j in range(k)], axis=1)
+        part = len(y) / SEQUENCES
+        self._adam(0, self.weights, grads, 0.02 * part, used)
+        self._adam(1, self.start, by_start, 0.1 * part)
+        self._adam(2, self.step, pairs, 0.1 * part)
+
+
+def cuts(text: str, size: int) -> Iterator[str]:
+    """The text in stretches of at most so many characters, cut behind a space where there is one."""
+    begin = 0
+    while len(text) - begin > size:
+        end = text.rfind(" ", begin, begin + size) + 1
+        end = end if end > begin else begin + size
+        yield text[begin:end]
+        begin = end
+    yield text[begin:]
+
+
+def fit_all(docs: DataFrame, train: Column, text: str, lang: str) -> Crf | None:
+    """A field from all words of all texts that train: each shard of the distinct texts is learnt by itself, and a weight is the mean over the shards that have its language.
+
+    A text's shard is a hash of it, and shards are sorted, so that the field depends on the texts alone.
+    """
+    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.sum(F.octet_length("t").cast("long")).alias("n")).collect()}
+    if not sizes:
+        return None
+    languages, shards = sorted(sizes), max(1, -(-sum(sizes.values()) // SHARD))
+    number = {lang: j for j, lang in enumerate(languages)}
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Most copies go before texts travel, so that those of one text don't fill a shard; those left go where it is learnt.
+        seen = set()
+        for batch in batches:
+            keep = []
+            for key in zip(batch.column("h").to_pylist(), batch.column("l").to_pylist(), strict=True):
+                keep.append(key not in seen)
+                seen.add(key)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+            if len(seen) > SEEN:
+                seen.clear()
+
+    once = bounded(rows).mapInArrow(fresh, rows.schema).withColumn("s", F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(shards)))
+    dealt = once.repartition(min(2 * shards, 10_000), "s").sortWithinPartitions("s", "h", "l", "t")
+
+    def learnt(shard: int, texts: list[str], labels: list[str]) -> Iterator[pa.RecordBatch]:
+        own = sorted(set(labels))
+        field = Learner(own, shard)
+        local = {lang: j for j, lang in enumerate(own)}
+        some, of, size = [], [], 0
+        for t, lang in zip(texts, labels, strict=True):
+            for piece in cuts(t, SHARD):
+                if some and size + len(piece) > 2 * SHARD:
+                    field.learn(some, of)
+                    some, of, size = [], [], 0
+                some.append(piece)
+                of.append(local[lang])
+                size += len(piece)
+        field.learn(some, of)
+        place = np.array([number[lang] for lang in own])
+        for j in np.flatnonzero(field.seen):
+            links = np.zeros((2, len(languages)))
+            links[0, place[field.seen]], links[1, place[field.seen]] = field.step[j, field.seen], 1
+            parts = [*np.split(field.weights[:, j], BLOCKS), np.concatenate([[field.start[j], 1.0], links.ravel()])]
+            yield pa.RecordBatch.from_arrays([pa.array([int(place[j])] * len(parts), pa.int32()), pa.array(range(len(parts)), pa.int32()), pa.array([shard] * len(parts), pa.int64()), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())], ["j", "b", "s", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, texts, labels, before = None, [], [], None
+        for batch in batches:
+            for s, h, lang, t in zip(*(batch.column(c).to_pylist() for c in "shlt"), strict=True):
+                if (h, lang) == before:
+                    continue
+                before = h, lang
+                if s != shard and texts:
+                    yield from learnt(shard, texts, labels)
+                    texts, labels = [], []
+                shard = s
+                texts.append(t)
+                labels.append(lang)
+        if texts:
+            yield from learnt(shard, texts, labels)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["j", "b", "p"])
+        for batch in batches:
+            for j, b, p in zip(*(batch.column(c).to_pylist() for c in "jbp"), strict=True):
+                if (j, b) != key:
+                    if key is not None:
+                        yield out()
+                    key, total = (j, b), 0.0
+                total = total + np.frombuffer(p, "<f4").astype("<f8")
+        if key is not None:
+            yield out()
+
+    shares = dealt.mapInArrow(run, "j int, b int, s long, p binary")
+    sums = {(r.j, r.b): np.frombuffer(bytes(r.p), "<f8") for r in shares.repartition("j", "b").sortWithinPartitions("j", "b", "s").mapInArrow(add, "j int, b int, p binary").collect()}
+    some = sorted({j for j, _ in sums})
+    if not some:
+        return None
+    weights, start, step = np.zeros((SLOTS, len(some)), np.float32), np.zeros(len(some)), np.eye(len(some))
+    for i, j in enumerate(some):
+        last = sums[j, BLOCKS]
+        weights[:, i] = np.concatenate([sums[j, b] for b in range(BLOCKS)]) / last[1]
+        start[i] = last[0] / last[1]
+        total, n = last[2:].reshape(2, -1)[:, some]
+        step[i] = np.where(n > 0, total / np.maximum(n, 1), step[i])
+    return Crf([languages[j] for j in some], weights, start, step)
+
+
 def excerpts(docs: DataFrame, train: Column, doc_id: str, text: str, lang: str) -> list[tuple[str, str]]:
     """The sample that is trained on, by language and hash of the text: what reaches the driver is at most SAMPLE excerpts, or one a language.
 
@@ -284,7 +472,7 @@ def held_out(doc_id: str, parts: int = 4, part: int = 2) -> Column:
 def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Crf | None:
     """A field from the documents that aren't held out."""
     docs = bounded(docs)
-    return fit(excerpts(docs, F.col(doc_id).isNotNull() & ~held_out(doc_id), doc_id, text, lang))
+    return fit_all(docs, F.col(doc_id).isNotNull() & ~held_out(doc_id), text, lang)
 
 
 def identify(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

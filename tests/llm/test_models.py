@@ -136,6 +136,25 @@ def test_eighty_languages_are_learnt(spark):
     assert sum(names[b] == x for b, (_, _, x) in zip(best, rows, strict=False)) >= 310
 
 
+def test_all_words_of_all_texts_are_learnt_from(spark, monkeypatch):
+    """The words that tell two languages apart stand once, deep inside long texts; any layout and copies give the same model."""
+    long = "mm " * 20_000
+    texts = [(long + "kstprz " * 30 + long, "aa"), (long + "ilolul " * 30 + long, "bb")]
+    docs = spark.createDataFrame([(k, *texts[k % 2]) for k in (1, 4, 5)], "doc_id long, text string, lang string")
+    train = F.col("doc_id").isNotNull()
+    model = crf_language.fit_all(docs.repartition(1), train, "text", "lang")
+    best, score = model.predict(pa.array(["kstprz kstprz", "ilolul ilolul"]))
+    assert [model.languages[b] for b in best] == ["aa", "bb"] and min(score) > 0.6
+    monkeypatch.setattr(crf_language, "SHARD", 2000)
+    rng = random.Random(13)
+    small = [(sentence(rng, lang, 30), lang) for _ in range(20) for lang in SYLLABLES]
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(small)], "doc_id long, text string, lang string")
+    one, other = (crf_language.fit_all(d, train, "text", "lang") for d in (docs.repartition(1), docs.repartition(5, "text")))
+    assert np.array_equal(one.weights, other.weights) and np.array_equal(one.step, other.step)
+    best, _ = one.predict(pa.array([sentence(rng, lang, 20) for lang in SYLLABLES]))
+    assert [one.languages[b] for b in best] == list(SYLLABLES)
+
+
 def test_the_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(6)
     n, length, k = 3, 4, 3
