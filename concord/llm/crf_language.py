@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import bounded, cut_small, pieces, text_buffer
-from .words import LOWER, SEEDS, hash_words, mix, split
+from .words import LOWER, SEEDS, SPACE, hash_words, mix, split
 
 U = np.uint64
 PER_LANGUAGE, EXCERPT, SAMPLE = 400, 1500, 25_600
@@ -38,7 +38,10 @@ SLOTS, LENGTH, SEQUENCES, EACH, STEPS, CHUNK, AT_ONCE = 1 << 16, 48, 3000, 40, 6
 #: Bytes of text of a shard, how often pieces of a language with few words are there at most, parts in which weights travel, texts
 #: that a task remembers to leave out their copies.
 SHARD, AGAIN, BLOCKS, SEEN = 8 << 20, 16, 16, 500_000
+#: Bytes of text that a learner splits into words at once, features that it looks at at once: an executor has room for little more.
+GROUP, FEATURES = 1 << 18, 1 << 20
 UNDETERMINED = "und"
+BLANKS = [bytes([b]) for b in np.flatnonzero(SPACE)]
 
 
 def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -262,40 +265,78 @@ class Learner:
         p[at] = now + 0.1 * (one[at] / (1 - 0.9**self.turn)) / (np.sqrt(two[at] / (1 - 0.99**self.turn)) + 1e-8)
 
     def _sequences(self, first: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Word numbers, LENGTH a row: every text cut into pieces of 4 to 24 words, and all of them dealt anew. Pieces of languages with few are there several times."""
-        begin = []
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            at = a + np.cumsum(self.rng.integers(4, 25, (b - a) // 4 + 1))
-            begin.append(np.concatenate([[a], at[at < b]]) if b > a else np.zeros(0, np.int64))
-        which = np.repeat(of, [len(x) for x in begin])
-        begin = np.concatenate(begin)
+        """Word numbers, to be read LENGTH at a time: every text cut into pieces of 4 to 24 words, and all of them dealt anew. Pieces of languages with few are there several times."""
+        most = np.diff(first) // 4 + 1
+        steps = self.rng.integers(4, 25, int(most.sum()))
+        begin = np.cumsum(steps) - steps  # of the pieces of all texts, as if each text ended where its last piece does
+        begin -= np.repeat(begin[np.cumsum(most) - most] - first[:-1], most)
+        there = begin < np.repeat(first[1:], most)
+        begin, which = begin[there], np.repeat(of, most)[there]
         size = np.diff(np.append(begin, first[-1]))
         words = np.bincount(which, size, len(self.languages))
         again = np.clip(np.round(words[words > 0].mean() / np.maximum(words, 1)), 1, AGAIN).astype(np.int64)
         order = self.rng.permutation(np.repeat(np.arange(len(begin)), again[which]))
         size, lead = size[order], begin[order]
-        flat = np.repeat(lead - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        return np.resize(flat, (-(-len(flat) // LENGTH), LENGTH))  # the last row is filled up from the beginning
-
-    def learn(self, texts: list[str], languages: list[int]) -> None:
-        data, at = text_buffer(pa.array(texts, pa.large_string()))
-        data = LOWER[data]
-        starts, ends, first = split(data, at)
-        if not len(starts):
+        flat = np.arange(int(size.sum()), dtype=np.int32)
+        flat += np.repeat((lead - (np.cumsum(size) - size)).astype(np.int32), size)
+        return flat
+
+    def _words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first word of each text, the distinct word that each is, features of distinct words, where those of each begin). Distinct words are in the order of their hashes.
+
+        Texts are split GROUP bytes at a time, so that only four bytes a word stay, and two a feature of a distinct word.
+        """
+        known, number = np.zeros(0, U), np.zeros(0, np.int32)
+        counts, which, slots, sizes = [], [], [], []
+        begin = 0
+        while begin < len(texts):
+            end, size = begin + 1, len(texts[begin])
+            while end < len(texts) and size + len(texts[end]) <= GROUP:
+                size += len(texts[end])
+                end += 1
+            data = LOWER[np.frombuffer(b"".join(texts[begin:end]), np.uint8)]
+            starts, ends, first = split(data, np.cumsum([0, *map(len, texts[begin:end])]))
+            counts.append(np.diff(first))
+            begin = end
+            hashes, lead, local = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+            at = np.searchsorted(known, hashes)
+            new = np.append(known, U(0))[at] != hashes
+            new[at == len(known)] = True
+            mine = np.append(number, np.int32(0))[at]
+            mine[new] = np.arange(len(known), len(known) + int(new.sum()))
+            which.append(mine[local])
+            known, number = np.insert(known, at[new], hashes[new]), np.insert(number, at[new], mine[new])
+            word, slot = features(data, starts[lead[new]], ends[lead[new]])
+            slots.append(slot[np.argsort(word, kind="stable")].astype(np.uint16 if SLOTS <= 1 << 16 else np.uint32))
+            sizes.append(np.bincount(word, minlength=int(new.sum())))
+        which, slots, sizes = np.concatenate(which), np.concatenate(slots), np.concatenate(sizes)
+        rank = np.empty_like(number)
+        rank[number] = np.arange(len(number))
+        old, size = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        place = np.concatenate([[0], np.cumsum(size)])
+        sorted_slots = np.empty_like(slots)
+        for a, b in _runs(size, FEATURES):
+            sorted_slots[place[a] : place[b]] = slots[np.arange(place[a], place[b]) + np.repeat(old[a:b] - place[a:b], size[a:b])]
+        return np.concatenate([[0], np.cumsum(np.concatenate(counts))]), rank[which], sorted_slots, place
+
+    def learn(self, texts: list[bytes], languages: list[int]) -> None:
+        if not texts:
+            return
+        first, which, slot, begin = self._words(texts)
+        if not len(which):
             return
         of, k = np.array(languages), len(self.languages)
-        label = np.repeat(of, np.diff(first))
+        label = np.repeat(of.astype(np.int32), np.diff(first))
         self.seen[label] = True
-        _, lead, which = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
-        word, slot = features(data, starts[lead], ends[lead])
-        order = np.argsort(word, kind="stable")
-        slot, begin = slot[order], np.searchsorted(word[order], np.arange(len(lead) + 1))
         todo = STEPS
         while todo > 0:
-            index = self._sequences(first, of)
-            rows = int(np.clip(-(-len(index) // STEPS), 64, max(64, AT_ONCE // (LENGTH * k * 16))))
-            for at in range(0, len(index), rows):
-                self._turn(which[index[at : at + rows]], label[index[at : at + rows]], slot, begin)
+            flat = self._sequences(first, of)
+            count = -(-len(flat) // LENGTH)
+            rows = int(np.clip(-(-count // STEPS), 64, max(64, AT_ONCE // (LENGTH * k * 16))))
+            for at in range(0, count, rows):
+                # The last row is filled up from the beginning.
+                index = flat.take(np.arange(at * LENGTH, min(at + rows, count) * LENGTH), mode="wrap").reshape(-1, LENGTH)
+                self._turn(which[index], label[index], slot, begin)
                 todo -= 1
 
     def _turn(self, words: np.ndarray, y: np.ndarray, slot: np.ndarray, begin: np.ndarray) -> None:
@@ -304,31 +345,53 @@ class Learner:
         held, x = np.unique(words, return_inverse=True)
         x = x.reshape(words.shape)
         n = begin[held + 1] - begin[held]
-        word = np.repeat(np.arange(len(held)), n)
-        own = slot[np.arange(len(word)) + np.repeat(begin[held] - (np.cumsum(n) - n), n)]
-        there = np.zeros(SLOTS, bool)
-        there[own] = True
-        used = np.flatnonzero(there)
-        column = (np.cumsum(there) - 1)[own]
-        now = self.weights[used]
-        score = np.stack([np.bincount(word, now[column, j], len(held)) for j in range(k)], axis=1)
+        runs = _runs(n, FEATURES)
+
+        def spread(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+            word = np.repeat(np.arange(b - a), n[a:b])
+            return word, slot[np.arange(len(word)) + np.repeat(begin[held[a:b]] - (np.cumsum(n[a:b]) - n[a:b]), n[a:b])].astype(np.int64)
+
+        kept = spread(*runs[0]) if len(runs) == 1 else None
+        score, there = np.empty((len(held), k)), np.zeros(SLOTS, bool)
+        for a, b in runs:
+            word, own = kept or spread(a, b)
+            there[own] = True
+            score[a:b] = np.stack([np.bincount(word, self.weights[own, j], b - a) for j in range(k)], axis=1)
         pot = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30))
         gap, pairs = gradient(pot[x], y, np.exp(self.start - self.start.max()), np.exp(self.step - self.step.max()))
         by_start, flat, gap = gap[:, 0].sum(axis=0), x.ravel(), gap.reshape(-1, k)
         by_word = np.stack([np.bincount(flat, gap[:, j], len(held)) for j in range(k)], axis=1)
-        grads = np.stack([np.bincount(column, by_word[word, j], len(used)) for j in range(k)], axis=1)
+        used = np.flatnonzero(there)
+        grads = np.zeros((len(used), k))
+        for a, b in runs:
+            word, own = kept or spread(a, b)
+            for j in range(k):
+                grads[:, j] += np.bincount(own, by_word[a:b][word, j], SLOTS)[used]
         part = len(y) / SEQUENCES
         self._adam(0, self.weights, grads, 0.02 * part, used)
         self._adam(1, self.start, by_start, 0.1 * part)
         self._adam(2, self.step, pairs, 0.1 * part)
 
 
-def cuts(text: str, size: int) -> Iterator[str]:
-    """The text in stretches of at most so many characters, cut behind a space where there is one."""
+def _runs(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Neighbours whose sizes come to `most` together, or one that is larger: (begin, end) of each run."""
+    total, found, begin = np.concatenate([[0], np.cumsum(sizes)]), [], 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + most, "right")) - 1)
+        found.append((begin, end))
+        begin = end
+    return found
+
+
+def cuts(text: bytes, size: int, most: int) -> Iterator[bytes]:
+    """The text in stretches of at most `size` bytes, cut behind a blank; where there is none, in one of at most `most`."""
     begin = 0
     while len(text) - begin > size:
-        end = text.rfind(" ", begin, begin + size) + 1
-        end = end if end > begin else begin + size
+        end = max(text.rfind(blank, begin, begin + size) for blank in BLANKS) + 1
+        if end <= begin:
+            end = min((at + 1 for at in (text.find(blank, begin + size, begin + most) for blank in BLANKS) if at >= 0), default=begin + most)
+            if end >= len(text):
+                break
         yield text[begin:end]
         begin = end
     yield text[begin:]
@@ -339,7 +402,7 @@ def fit_all(docs: DataFrame, train: Column, text: str, lang: str) -> Crf | None:
 
     A text's shard is a hash of it, and shards are sorted, so that the field depends on the texts alone.
     """
-    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    rows = docs.filter(train & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.xxhash64(text).alias("h"), F.col(text).cast("binary").alias("t"))
     sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.sum(F.octet_length("t").cast("long")).alias("n")).collect()}
     if not sizes:
         return None
@@ -361,13 +424,13 @@ def fit_all(docs: DataFrame, train: Column, text: str, lang: str) -> Crf | None:
     once = bounded(rows).mapInArrow(fresh, rows.schema).withColumn("s", F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(shards)))
     dealt = once.repartition(min(2 * shards, 10_000), "s").sortWithinPartitions("s", "h", "l", "t")
 
-    def learnt(shard: int, texts: list[str], labels: list[str]) -> Iterator[pa.RecordBatch]:
+    def learnt(shard: int, texts: list[bytes], labels: list[str]) -> Iterator[pa.RecordBatch]:
         own = sorted(set(labels))
         field = Learner(own, shard)
         local = {lang: j for j, lang in enumerate(own)}
         some, of, size = [], [], 0
         for t, lang in zip(texts, labels, strict=True):
-            for piece in cuts(t, SHARD):
+            for piece in cuts(t, min(GROUP, SHARD), SHARD):
                 if some and size + len(piece) > 2 * SHARD:
                     field.learn(some, of)
                     some, of, size = [], [], 0

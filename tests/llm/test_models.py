@@ -155,6 +155,41 @@ def test_all_words_of_all_texts_are_learnt_from(spark, monkeypatch):
     assert [one.languages[b] for b in best] == list(SYLLABLES)
 
 
+def test_a_shard_is_learnt_in_little_memory():
+    """A learner takes few bytes for each byte of text, however many words are distinct and however long they are; groups of texts don't matter."""
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    short = [" ".join("".join(rng.choices(letters[:16], k=5)) for _ in range(700)).encode() for _ in range(1000)]
+    long = [" ".join("".join(rng.choices(letters, k=2000)) for _ in range(10)).encode() for _ in range(200)]
+    for texts in (short, long):
+        field = crf_language.Learner(["aa", "bb"], 1)
+        size = sum(map(len, texts))
+        tracemalloc.start()
+        field.learn(texts, [i % 2 for i in range(len(texts))])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 100 * 2**20 + 16 * size, (most, size)
+
+
+def test_groups_of_texts_make_the_same_field(monkeypatch):
+    rng = random.Random(15)
+    texts, of = [sentence(rng, lang, rng.randint(0, 40)).encode() for _ in range(40) for lang in SYLLABLES], [0, 1, 2] * 40
+    fields = []
+    for group in (1 << 18, 100):
+        monkeypatch.setattr(crf_language, "GROUP", group)
+        fields.append(crf_language.Learner(list(SYLLABLES), 1))
+        fields[-1].learn(texts, of)
+    assert np.array_equal(fields[0].weights, fields[1].weights) and np.array_equal(fields[0].step, fields[1].step)
+    monkeypatch.setattr(crf_language, "FEATURES", 50)
+    fields.append(crf_language.Learner(list(SYLLABLES), 1))
+    fields[-1].learn(texts, of)
+    assert np.allclose(fields[0].weights, fields[2].weights, atol=1e-3)
+    for text in (b"ab cd\nef\tgh " * 9, b"x" * 50, b"x" * 33 + b" yy" * 20, b""):
+        parts = list(crf_language.cuts(text, 7, 20))
+        assert b"".join(parts) == text and max(map(len, parts)) <= 20
+        assert all(len(p) == 20 or p[-1:].isspace() for p in parts[:-1])
+
+
 def test_the_gradient_is_that_of_the_likelihood():
     rng = np.random.default_rng(6)
     n, length, k = 3, 4, 3
