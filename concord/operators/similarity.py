@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from concord.operators import overlaps
+
 
 def distance(a: Column, b: Column, width: int) -> Column:
     """Places at which two texts differ, both padded with spaces to `width`."""
@@ -62,22 +64,10 @@ def merge_near_names(names: DataFrame, name: str, ratio: int = 3) -> DataFrame:
 def gram_overlaps(texts: DataFrame, key: str, text: str, *, gram: int = 8, share: int = 12) -> DataFrame:
     """a, b, at, overlap: text b begins inside text a at `at` and agrees with it to its end, but for one place in `share`; the longest overlap of each pair.
 
-    The first `gram` characters of b are looked for at all places of a. A place that differs spoils one stretch of four, so those pairs
-    are left out first of which too many of the stretches behind the gram differ: that needs no arrays, and few of the pairs that one
-    gram brings together are more alike. All others are compared place by place.
+    The first `gram` characters of b are looked for at all places of a. The pairs that one gram brings together grow with the square
+    of the texts, and few of them are more alike; so they are compared in arrays, eight places at once, and only overlaps become rows.
     """
-    # Few files of short texts make much work, so the texts are dealt over the cluster before their places are listed.
-    long = texts.filter(F.length(text) >= gram).repartition(max(8, 4 * texts.sparkSession.sparkContext.defaultParallelism), key)
-    places = long.select(F.col(key).alias("a"), F.col(text).alias("_ta"), F.posexplode(F.transform(F.sequence(F.lit(1), F.length(text) - gram + 1), lambda i: F.substring(F.col(text), i, F.lit(gram)))).alias("at", "_g"))
-    heads = long.select(F.col(key).alias("b"), F.col(text).alias("_tb"), F.substring(text, 1, gram).alias("_g"))
-    met = places.join(heads, "_g").filter("a <> b").withColumn("overlap", F.least(F.expr("length(_ta) - at"), F.length("_tb")))
-    wide = lambda i: F.greatest(F.least(F.col("overlap") - i, F.lit(4)), F.lit(0))
-    unlike = lambda i: F.when(F.substring("_ta", F.col("at") + (i + 1), wide(i)) == F.substring("_tb", F.lit(i + 1), wide(i)), 0).otherwise(1)
-    met = met.filter(sum((unlike(gram + 4 * k) for k in range(1, 12)), unlike(gram)) * share <= F.col("overlap"))
-    x, y = F.split(F.expr("substring(_ta, at + 1, overlap)"), ""), F.split(F.expr("substring(_tb, 1, overlap)"), "")
-    off = F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 0).otherwise(1)), F.lit(0), lambda s, v: s + v)
-    good = met.withColumn("_off", off).filter(F.col("_off") * share <= F.col("overlap"))
-    return good.groupBy("a", "b").agg(F.max(F.struct("overlap", -F.col("at"))).alias("_m")).select("a", "b", (-F.col("_m.col2")).alias("at"), F.col("_m.overlap").alias("overlap"))
+    return overlaps.overlaps(texts, key, text, gram, share)
 
 
 def snap(readings: DataFrame, keys: Sequence[str], value: str, *, percent: int = 3, bits: int = 2) -> DataFrame:

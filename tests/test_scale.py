@@ -108,3 +108,28 @@ def test_overlaps_are_dealt_over_tasks_and_far_pairs_left_out_first(spark):
     got = similarity.gram_overlaps(spark.createDataFrame(rows, "k long, t string").coalesce(1), "k", "t")
     assert {(r.a, r.b, r["at"], r.overlap) for r in got.collect() if r.a == 1} == {(1, 2, 60, 60), (1, 5, 60, 11), (1, 7, 60, 12)}
     assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("letters", ["ab", "aéš字\U0001f600"])
+def test_pairs_that_share_a_gram_become_no_rows(spark, letters):
+    """Overlaps as by brute force, also of characters beyond a byte and of keys with several texts; the plan joins nothing, so pairs that are unlike stay out of rows."""
+    rng = random.Random(5)
+    stem = [rng.choice(letters) for _ in range(60)]
+    rows = []
+    for k in range(150):
+        start = rng.randint(0, 30)
+        t = stem[start : start + rng.randint(6, 40)]
+        if rng.random() < 0.6:
+            t[rng.randrange(len(t))] = rng.choice(letters)
+        rows.append((k % 140, "".join(t)))
+    frame = spark.createDataFrame([*rows, (None, "".join(stem)), (999, None)], "k long, t string")
+    got = similarity.gram_overlaps(frame, "k", "t")
+    want = {}
+    for a, x in rows:
+        for b, y in rows:
+            for at in range(len(x) - 7) if a != b and len(y) >= 8 else ():
+                n = min(len(x) - at, len(y))
+                if x[at : at + 8] == y[:8] and sum(p != q for p, q in zip(x[at : at + n], y[:n], strict=True)) * 12 <= n:
+                    want[a, b] = max(want.get((a, b), (0, 0)), (n, -at))
+    assert len(want) > 1000 and sorted((r.a, r.b, r.overlap, -r["at"]) for r in got.collect()) == sorted((*k, *v) for k, v in want.items())
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
