@@ -133,3 +133,21 @@ def test_pairs_that_share_a_gram_become_no_rows(spark, letters):
                     want[a, b] = max(want.get((a, b), (0, 0)), (n, -at))
     assert len(want) > 1000 and sorted((r.a, r.b, r.overlap, -r["at"]) for r in got.collect()) == sorted((*k, *v) for k, v in want.items())
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_points_of_one_place_are_joined_once(spark, tmp_path):
+    """The result as by brute force, for columns that may be null, repeated rows and places with more points than go together; and small in a file, as its rows come in runs."""
+    rng = random.Random(6)
+    points = [(rng.randint(0, 1), rng.choice([None, *range(30), *[7] * 30]), rng.choice([None, 1, 2]), rng.choice("xy")) for _ in range(300)]
+    spans = [(rng.randint(0, 1), start := rng.randint(0, 25), start + rng.randint(-1, 9), k) for k in range(60)]
+    right = spark.createDataFrame(spans, "g long, a long, z long, s long")
+    for columns in ([0, 1, 2, 3], [0, 1, 2], [0, 1]):
+        names = ["g long", "m long", "v long", "w string"]
+        left = spark.createDataFrame([tuple(p[c] for c in columns) for p in points], ", ".join(names[c] for c in columns))
+        got = timeline.in_interval(left, right, ["g"], "m", "a", "z", 5, 20)
+        want = [(*[p[c] for c in columns], *s[1:]) for p in points for s in spans if p[0] == s[0] and p[1] is not None and s[1] <= p[1] < s[2]]
+        assert got.columns == [*left.columns, "a", "z", "s"] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    dense = timeline.in_interval(spark.range(64).selectExpr("id AS e", "id % 2 AS m"), spark.range(6000).selectExpr("id AS s", "0L AS a", "2 + id % 2 AS z").hint("merge"), [], "m", "a", "z", 60)
+    dense.select("e", "s").write.parquet(f"{tmp_path}/dense")
+    size = sum(f.stat().st_size for f in (tmp_path / "dense").glob("*.parquet"))
+    assert spark.read.parquet(f"{tmp_path}/dense").count() == 64 * 6000 and size < 64 * 6000 / 4
